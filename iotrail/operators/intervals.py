@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from iotrail.operators.ordered import BUCKET, carry_last, running, time_bucket
+from iotrail.operators.ordered import BUCKET, carry_last, time_bucket
 from iotrail.operators.stats import on_keys
 
 MINUTE_NS = 60_000_000_000
@@ -45,14 +45,23 @@ def merge_intervals(
     rows = df.select(*keys, F.col(start).alias("start_ns"), F.col(end).alias("end_ns"))
     rows = rows.filter(F.col("end_ns") >= F.col("start_ns") if keep_empty else F.col("end_ns") > F.col("start_ns"))
     local = _local_islands(rows.withColumn(BUCKET, time_bucket("start_ns", width_ns)), keys, gap_ns)
-    reach = running(local, keys, ["start_ns"], maxima={"reach": F.col("end_ns")})
-    marked = carry_last(reach, keys, ["start_ns"], {"before": F.col("reach")})
-    opens = F.col("before").isNull() | (F.col("start_ns") - F.col("before") > gap_ns)
-    grouped = carry_last(
-        marked.withColumn("opens", opens), keys, ["start_ns"], {"open_start": F.when(F.col("opens"), F.col("start_ns"))}
+    # Islands of a bucket are disjoint, so only the reach of earlier buckets can absorb
+    # them, and whatever it absorbs belongs to the last island opened before the bucket.
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        local.groupBy(*keys, BUCKET)
+        .agg(F.max("start_ns").alias("__last_start"), F.max("end_ns").alias("__last_end"))
+        .withColumn("__reach", F.max("__last_end").over(before))
+        .withColumn(
+            "__opened",
+            F.when(F.col("__reach").isNull() | (F.col("__last_start") - F.col("__reach") > gap_ns), F.col("__last_start")),
+        )
+        .select(*keys, BUCKET, "__reach", F.last("__opened", ignorenulls=True).over(before).alias("__open_start"))
     )
-    island = F.when(F.col("opens"), F.col("start_ns")).otherwise(F.col("open_start"))
-    return grouped.groupBy(*keys, island.alias("start_ns")).agg(F.max("end_ns").alias("end_ns"))
+    placed = local.join(carry, [*keys, BUCKET])
+    opens = F.col("__reach").isNull() | (F.col("start_ns") - F.col("__reach") > gap_ns)
+    island = F.when(opens, F.col("start_ns")).otherwise(F.col("__open_start"))
+    return placed.groupBy(*keys, island.alias("start_ns")).agg(F.max("end_ns").alias("end_ns"))
 
 
 def merge_small(
@@ -167,6 +176,9 @@ def interval_join(
 
     widths = [width_ns * 128**lv for lv in range(levels)]
 
+    def cell_of(lv: int):
+        return lambda b: F.struct(F.lit(lv).alias("lv"), b.alias("b"))
+
     def spread(df: DataFrame, s: str, e: str, own: str) -> DataFrame:
         span = F.expr(f"(`{e}` - `{s}`) div {width_ns * long_buckets}")
         exponent = F.when(span <= 0, 0).otherwise(F.ceil(F.length(F.bin(span)) / 7))
@@ -174,10 +186,7 @@ def interval_join(
         cells = [
             F.when(
                 F.col(own) <= lv,
-                F.transform(
-                    F.sequence(F.expr(f"`{s}` div {w}"), F.expr(f"`{e}` div {w}")),
-                    lambda b, lv=lv: F.struct(F.lit(lv).alias("lv"), b.alias("b")),
-                ),
+                F.transform(F.sequence(F.expr(f"`{s}` div {w}"), F.expr(f"`{e}` div {w}")), cell_of(lv)),
             ).otherwise(F.array().cast("array<struct<lv:int,b:bigint>>"))
             for lv, w in enumerate(widths)
         ]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iotrail.operators.correlate import TTL_NS, annotate_lifetimes, completed_io
+from iotrail.operators.intervals import merge_intervals
 from iotrail.operators.ordered import with_sequence
 from iotrail.session import staged_once
 
@@ -98,3 +99,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged_once(
         spark, f"completed|{sf_dir}", lambda: completed_io(block_lifetimes(spark, sf_dir), TTL_NS)
     )
+
+
+def device_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Busy intervals per device, from every request."""
+    from iotrail.plans.activity import device_activity as build
+
+    return staged_once(spark, f"activity|{sf_dir}", lambda: build(requests(spark, sf_dir)))
+
+
+def busy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Busy intervals over all devices together (a union of the per-device unions)."""
+    return staged_once(spark, f"busy|{sf_dir}", lambda: merge_intervals(device_activity(spark, sf_dir), []))
