@@ -1,13 +1,65 @@
-"""When stored evidence may belong to a request."""
+"""Joining stack observations, file syscalls and stored origins to requests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from iotrail.functions.confidence import from_rank, rank
+from iotrail.functions.scalars import (
+    EDGE_FILE,
+    EDGE_LOWER,
+    EDGE_QUEUE,
+    EDGE_SPAN_BASE,
+    EDGE_UPPER,
+    NODE_FILE,
+    NODE_QUEUE,
+    NODE_REQUEST,
+    NODE_SPAN_BASE,
+    origin_edge_id,
+    origin_node_id,
+    path_deleted,
+    synthetic_id,
+)
+from iotrail.operators.graph import KEY, valid_edges, valid_nodes
+from iotrail.operators.intervals import interval_join, merge_intervals
 from iotrail.operators.ordered import BUCKET, SHIFT, carry_last, seq_bucket
 
+_IDENTITY = ["fs_major", "fs_minor", "inode", "generation", "mount"]
 REACH_NS = 30_000_000_000
+NEAR_NS = 10_000_000
+CELL_NS = 1_000_000_000
+
+# Storage-stack layers from top to bottom, and the node kind of each.
+LAYERS = {
+    "syscall": "syscall",
+    "vfs": "vfs",
+    "filesystem": "filesystem",
+    "page_cache": "page_cache",
+    "writeback": "writeback",
+    "bio": "bio",
+    "block_queue": "block_queue",
+    "block_device": "block_request",
+    "scsi": "scsi_command",
+    "ufs": "ufs_command",
+    "scheduler_context": "scheduler_context",
+    "uic_context": "uic_context",
+}
+
+
+def layer_rank(layer: Column) -> Column:
+    out: Column = F.lit(None).cast("int")
+    for i, name in enumerate(LAYERS):
+        out = F.when(layer == name, i).otherwise(out)
+    return out
+
+
+def node_kind(layer: Column) -> Column:
+    out: Column = F.lit(None).cast("string")
+    for name, kind in LAYERS.items():
+        out = F.when(layer == name, kind).otherwise(out)
+    return out
 
 
 def evidence_windows(requests: DataFrame, order: str = "seq", shift: int = SHIFT) -> DataFrame:
@@ -26,3 +78,504 @@ def evidence_windows(requests: DataFrame, order: str = "seq", shift: int = SHIFT
     return previous.withColumn(
         "evidence_from", F.greatest(earliest, F.coalesce(F.col("previous_completion_ts") + 1, earliest))
     )
+
+
+def _lifetimes(requests: DataFrame) -> DataFrame:
+    """The request columns the evidence joins need, under names that cannot clash."""
+    return requests.select(
+        "session_id",
+        "seq",
+        F.col("request_id").alias("r_id"),
+        F.col("operation").alias("r_operation"),
+        F.col("sector").alias("r_sector"),
+        F.col("bytes").alias("r_bytes"),
+        F.col("pid").alias("r_pid"),
+        F.col("tid").alias("r_tid"),
+        F.coalesce("insert_ts", "issue_ts").alias("r_start"),
+        F.col("complete_ts").alias("r_end"),
+        "evidence_from",
+    )
+
+
+def match_observations(requests: DataFrame, observations: DataFrame) -> DataFrame:
+    """Observation-request pairs: by request id, by task, by storage address, or by time for context.
+
+    ``requests`` carries ``evidence_from``.  Three of the four ways are equi-joins,
+    and the time conditions are cut into cells, so no key gathers a whole trace.
+    A layer with an exact match keeps no probable one.
+    """
+    req = _lifetimes(requests)
+    obs = observations.withColumn("o_end", F.coalesce("end_ns", "ts_ns")).filter(F.col("o_end") >= F.col("ts_ns"))
+    obs = obs.withColumnRenamed("seq", "obs_seq")
+    same_op = F.col("operation").isNull() | (F.col("operation") == F.col("r_operation"))
+    named, free = obs.filter(F.col("correlation_id").isNotNull()), obs.filter(F.col("correlation_id").isNull())
+    exact = (
+        named.join(req.withColumn("correlation_id", F.col("r_id")), ["session_id", "correlation_id"])
+        .filter(same_op & F.col("ts_ns").between(F.col("evidence_from"), F.col("r_end")))
+        .withColumn("is_exact", F.lit(True))
+    )
+    causal = free.filter(F.col("confidence") != "context_only")
+    context = free.filter(F.col("confidence") == "context_only")
+    by_task = interval_join(
+        causal.withColumn("__pid", F.col("pid")),
+        req.withColumn("__pid", F.col("r_pid")),
+        ["session_id", "__pid"],
+        ("ts_ns", "o_end"),
+        ("r_start", "r_end"),
+        CELL_NS,
+    ).filter((F.col("tid") == 0) | (F.col("tid") == F.col("r_tid")))
+    by_address = interval_join(
+        causal.filter(F.col("sector").isNotNull() & F.col("bytes").isNotNull())
+        .withColumn("__sector", F.col("sector"))
+        .withColumn("__bytes", F.col("bytes")),
+        req.withColumn("__sector", F.col("r_sector")).withColumn("__bytes", F.col("r_bytes")),
+        ["session_id", "__sector", "__bytes"],
+        ("ts_ns", "o_end"),
+        ("r_start", "r_end"),
+        CELL_NS,
+    ).filter(~((F.col("pid") == F.col("r_pid")) & ((F.col("tid") == 0) | (F.col("tid") == F.col("r_tid")))))
+    around = interval_join(
+        context,
+        req.withColumn("near_start", F.col("r_start") - NEAR_NS).withColumn("near_end", F.col("r_end") + NEAR_NS),
+        ["session_id"],
+        ("ts_ns", "o_end"),
+        ("near_start", "near_end"),
+        CELL_NS,
+    )
+    columns = [
+        "session_id", "seq", "obs_seq", "ts_ns", "o_end", "end_ns", "phase", "layer", "operation", "sector", "bytes",
+        "opcode", "status", "pid", "tid", "name", "confidence", "is_exact",
+    ]
+    loose = [
+        p.filter(same_op).withColumn("is_exact", F.lit(False)).select(*columns) for p in (by_task, by_address, around)
+    ]
+    pairs = exact.select(*columns)
+    for p in loose:
+        pairs = pairs.unionByName(p)
+    has_exact = F.max("is_exact").over(Window.partitionBy("session_id", "seq", "layer"))
+    return pairs.withColumn("__exact", has_exact).filter(F.col("is_exact") | ~F.col("__exact")).drop("__exact")
+
+
+def request_spans(requests: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Spans of each request: matched observations plus its own queue and device time.
+
+    A lower-layer pair may be exact in itself while its link to the request is only probable.
+    """
+    confidence = (
+        F.when(F.col("is_exact") & (F.col("confidence") != "context_only"), "exact")
+        .when(F.col("confidence") == "exact", "probable")
+        .otherwise(F.col("confidence"))
+    )
+    source = F.when(F.col("phase") == "span", "measured span").when(F.col("phase") == "instant", "context marker").otherwise(
+        "paired boundary"
+    )
+    matched = pairs.select(
+        *KEY,
+        F.col("obs_seq").alias("ord"),
+        "layer",
+        "operation",
+        "bytes",
+        "pid",
+        "tid",
+        F.col("ts_ns").alias("start_ns"),
+        F.col("o_end").alias("stop_ns"),
+        (F.col("end_ns").isNotNull() & (F.col("phase") != "instant")).alias("duration_observed"),
+        "name",
+        confidence.alias("confidence"),
+        source.alias("source"),
+    )
+
+    def own(layer: str, start: str, stop: str, name: str, source: str) -> DataFrame:
+        return requests.filter(F.col(start).isNotNull()).select(
+            *KEY,
+            F.lit(-1).cast("long").alias("ord"),
+            F.lit(layer).alias("layer"),
+            "operation",
+            "bytes",
+            "pid",
+            "tid",
+            F.col(start).alias("start_ns"),
+            F.col(stop).alias("stop_ns"),
+            F.lit(True).alias("duration_observed"),
+            F.lit(name).alias("name"),
+            F.lit("exact").alias("confidence"),
+            F.lit(source).alias("source"),
+        )
+
+    return matched.unionByName(own("block_queue", "insert_ts", "issue_ts", "block queue", "insert to issue")).unionByName(
+        own("block_device", "issue_ts", "complete_ts", "block device", "issue to complete")
+    )
+
+
+def request_pipelines(requests: DataFrame, spans: DataFrame) -> DataFrame:
+    """Bounds, accounted and unaccounted time of each request's span set."""
+    from iotrail.operators.intervals import merge_small
+
+    start = requests.select(*KEY, F.coalesce("insert_ts", "issue_ts").alias("r_start"), F.col("complete_ts").alias("r_end"))
+    exact = F.col("confidence") == "exact"
+    bounds = spans.groupBy(*KEY).agg(
+        F.min(F.when(exact, F.col("start_ns"))).alias("lo"), F.max(F.when(exact, F.col("stop_ns"))).alias("hi"), F.count(F.lit(1)).alias("spans")
+    )
+    framed = start.join(bounds, KEY, "left").select(
+        *KEY, F.least("lo", "r_start").alias("start_ns"), F.greatest("hi", "r_end").alias("end_ns"), "spans"
+    )
+    inside = (
+        spans.filter(F.col("confidence") != "context_only")
+        .select(*KEY, F.col("start_ns").alias("s"), F.col("stop_ns").alias("e"))
+        .join(framed, KEY)
+        .select(*KEY, F.greatest("s", "start_ns").alias("start_ns"), F.least("e", "end_ns").alias("end_ns"))
+    )
+    covered = merge_small(inside, KEY).groupBy(*KEY).agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("covered"))
+    total = F.col("end_ns") - F.col("start_ns")
+    accounted = F.least(F.coalesce("covered", F.lit(0)), total)
+    return framed.join(covered, KEY, "left").select(
+        *KEY, "start_ns", "end_ns", "spans", accounted.alias("accounted_ns"), (total - accounted).alias("unaccounted_ns")
+    )
+
+
+def recorded_path() -> Column:
+    """Path a syscall row proves: its snapshot, else the path itself; empty counts as none."""
+    p = F.col("path")
+    return F.when(p != "", p)
+
+
+def identities_compatible(left: str, right: str) -> Column:
+    """Same device and inode; generation and mount equal when both are known."""
+
+    def agree(field: str) -> Column:
+        a, b = F.col(f"{left}{field}"), F.col(f"{right}{field}")
+        return a.isNull() | b.isNull() | (a == b)
+
+    same = [F.col(f"{left}{c}") == F.col(f"{right}{c}") for c in ("fs_major", "fs_minor", "inode")]
+    return same[0] & same[1] & same[2] & agree("generation") & agree("mount")
+
+
+def file_candidates(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """Syscalls that could have caused each request: same direction, near in time, large enough, same task."""
+    req = _lifetimes(requests).withColumn("near_start", F.col("r_start") - NEAR_NS).withColumn("near_end", F.col("r_end") + NEAR_NS)
+    f = files.withColumnRenamed("seq", "file_seq")
+    same_pid = interval_join(
+        f.withColumn("__task", F.col("pid")),
+        req.withColumn("__task", F.col("r_pid")),
+        ["session_id", "__task"],
+        ("start_ns", "end_ns"),
+        ("near_start", "near_end"),
+        CELL_NS,
+    )
+    same_tid = interval_join(
+        f.filter(F.col("tid") != 0).withColumn("__task", F.col("tid")),
+        req.withColumn("__task", F.col("r_tid")),
+        ["session_id", "__task"],
+        ("start_ns", "end_ns"),
+        ("near_start", "near_end"),
+        CELL_NS,
+    ).filter(F.col("pid") != F.col("r_pid"))
+    both = same_pid.unionByName(same_tid)
+    enough = (F.col("requested_bytes") >= F.col("r_bytes")) | (F.abs("completed_bytes") >= F.col("r_bytes"))
+    return both.filter((F.col("operation") == F.col("r_operation")) & enough)
+
+
+def unique_file_candidate(candidates: DataFrame, exact_origins: DataFrame) -> DataFrame:
+    """The only candidate of a request, when it has exactly one and no exact stored origin."""
+    counted = candidates.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
+    only = counted.filter("__n = 1").join(exact_origins.select(*KEY).distinct(), KEY, "left_anti")
+    later = (F.col("io_mode") == "buffered") & (F.col("r_start") > F.col("end_ns"))
+    return (
+        only.withColumn("confidence", F.when(later, "probable_async").otherwise("probable"))
+        .withColumn("relation", F.when(later, "causes_async").otherwise("submits"))
+        .withColumn("delta_ns", F.greatest(F.col("r_start") - F.col("start_ns"), F.lit(0).cast("long")))
+        .withColumn("bytes_match", F.col("requested_bytes") == F.col("r_bytes"))
+        .drop("__n")
+    )
+
+
+def origin_nodes(requests: DataFrame, origins: DataFrame) -> DataFrame:
+    """Stored origins inside each request's evidence window, with the confidence of their link."""
+    req = _lifetimes(requests)
+    o = origins.withColumnRenamed("seq", "origin_seq")
+    return (
+        o.join(req.withColumn("request_id", F.col("r_id")), ["session_id", "request_id"])
+        .filter(F.col("ts_ns").between(F.col("evidence_from"), F.col("r_end")))
+        .withColumn("node_id", origin_node_id("request_id", "origin_id"))
+        .withColumn("edge_id", origin_edge_id("request_id", "origin_id"))
+        .withColumn(
+            "confidence",
+            from_rank(
+                F.least(
+                    rank(F.coalesce("file_confidence", F.lit("exact"))), rank(F.coalesce("lifetime_confidence", F.lit("exact")))
+                )
+            ),
+        )
+        .withColumn(
+            "match_type",
+            F.when(F.coalesce("lifetime_confidence", F.lit("exact")) != "exact", "extent_block_overlap")
+            .when(F.col("incomplete"), "direct_request_incomplete")
+            .otherwise("direct_request"),
+        )
+    )
+
+
+def inferred_paths(origins: DataFrame, files: DataFrame) -> DataFrame:
+    """Path of pathless origin nodes from syscalls on the same file within 30 s.
+
+    Syscalls that span the origin are preferred; differing paths leave it
+    unresolved.  Only "was this path seen then" matters, so the syscalls of one
+    (file, path) are first merged into time unions: a file touched millions of
+    times meets each origin once per path, not once per syscall.
+    """
+    base = ["fs_major", "fs_minor", "inode"]
+    bare = origins.filter(F.col("path").isNull() & F.col("inode").isNotNull()).select(
+        *KEY,
+        "node_id",
+        F.col("ts_ns").alias("n_ts"),
+        F.col("pid").alias("n_pid"),
+        F.col("tid").alias("n_tid"),
+        F.col("operation").alias("n_operation"),
+        *[F.col(c).alias(f"n_{c}") for c in _IDENTITY],
+        F.col("r_start").alias("lo"),
+        F.col("r_end").alias("hi"),
+        *[F.col(c).alias(f"__{c}") for c in base],
+    )
+    known = (
+        files.withColumn("f_path", recorded_path())
+        .filter(F.col("f_path").isNotNull() & F.col("inode").isNotNull())
+        .fillna(-1, ["generation", "mount"])
+    )
+
+    def unions(task: list[str], reach: int) -> DataFrame:
+        rows = known.select(
+            "session_id",
+            "f_path",
+            *_IDENTITY,
+            *task,
+            (F.col("start_ns") - reach).alias("start_ns"),
+            (F.col("end_ns") + reach).alias("end_ns"),
+        )
+        merged = merge_intervals(rows, ["session_id", "f_path", *_IDENTITY, *task], keep_empty=True)
+        for c in ("generation", "mount"):
+            merged = merged.withColumn(c, F.when(F.col(c) >= 0, F.col(c)))
+        return merged.select(
+            "session_id",
+            "f_path",
+            "start_ns",
+            "end_ns",
+            *[F.col(c).alias(f"f_{c}") for c in [*_IDENTITY, *task]],
+            *[F.col(c).alias(f"__{c}") for c in base],
+        )
+
+    keys = ["session_id", *[f"__{c}" for c in base]]
+    near = interval_join(unions([], REACH_NS), bare, keys, ("start_ns", "end_ns"), ("lo", "hi"), REACH_NS).filter(
+        identities_compatible("f_", "n_")
+    )
+    during = interval_join(
+        unions(["pid", "tid", "operation"], 0),
+        bare.withColumn("n_at", F.col("n_ts")),
+        keys,
+        ("start_ns", "end_ns"),
+        ("n_ts", "n_at"),
+        CELL_NS,
+    ).filter(
+        identities_compatible("f_", "n_")
+        & F.col("n_at").between(F.col("lo") - REACH_NS, F.col("hi") + REACH_NS)
+        & ((F.col("n_pid") == 0) | (F.col("n_pid") == F.col("f_pid")))
+        & ((F.col("n_tid") == 0) | (F.col("n_tid") == F.col("f_tid")))
+        & (F.col("n_operation").isNull() | (F.col("n_operation") == F.col("f_operation")))
+    )
+    seen = near.select(*KEY, "node_id", "f_path", F.lit(False).alias("now")).unionByName(
+        during.select(*KEY, "node_id", "f_path", F.lit(True).alias("now"))
+    )
+    in_time = F.when(F.col("now"), F.col("f_path"))
+    picked = seen.groupBy(*KEY, "node_id").agg(
+        F.min(in_time).alias("d_lo"), F.max(in_time).alias("d_hi"), F.min("f_path").alias("a_lo"), F.max("f_path").alias("a_hi")
+    )
+    path = F.when(F.col("d_lo").isNotNull(), F.when(F.col("d_lo") == F.col("d_hi"), F.col("d_lo"))).when(
+        F.col("a_lo") == F.col("a_hi"), F.col("a_lo")
+    )
+    return picked.select(*KEY, "node_id", path.alias("inferred_path")).filter(F.col("inferred_path").isNotNull())
+
+
+def _no_file(df: DataFrame) -> DataFrame:
+    for c in _IDENTITY:
+        df = df.withColumn(c, F.lit(None).cast("long"))
+    return df.withColumn("path", F.lit(None).cast("string"))
+
+
+def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of every request in one pass.
+
+    ``requests`` carries ``evidence_from``; ``spans`` comes from :func:`request_spans`
+    and ``origins`` from :func:`origin_nodes`.
+    """
+    base = requests.select(*KEY, "request_id", "operation", "bytes", "pid", "tid", "insert_ts", "issue_ts", "complete_ts")
+    request_node = synthetic_id(NODE_REQUEST, "request_id")
+    queue_node = synthetic_id(NODE_QUEUE, "request_id")
+    columns = [*KEY, "node_id", "kind", "start_ns", "end_ns", "operation", "bytes", "pid", "tid", "name", "ord", "path", *_IDENTITY]
+
+    def node(df: DataFrame, node_id: Column, kind, start: str, end: Column | str, name: Column, order: int) -> DataFrame:
+        kind_col = kind if isinstance(kind, Column) else F.lit(kind)
+        end_col = end if isinstance(end, Column) else F.col(end)
+        out = df.select(
+            *KEY,
+            node_id.alias("node_id"),
+            kind_col.alias("kind"),
+            F.col(start).alias("start_ns"),
+            end_col.alias("end_ns"),
+            "operation",
+            "bytes",
+            "pid",
+            "tid",
+            name.alias("name"),
+            F.lit(order).alias("ord"),
+            *([c for c in ("path", *_IDENTITY) if c in df.columns]),
+        )
+        return out if "path" in df.columns else _no_file(out)
+
+    req_nodes = node(base, request_node, "block_request", "issue_ts", "complete_ts", F.lit("block request"), 0)
+    queued = base.filter(F.col("insert_ts").isNotNull())
+    queue_nodes = node(queued, queue_node, "block_queue", "insert_ts", "issue_ts", F.lit("block queue"), 1)
+
+    exact_origins = origins.filter((F.col("confidence") == "exact") & F.col("inode").isNotNull())
+    file_hits = unique_file_candidate(file_candidates(requests, files), exact_origins).withColumn("bytes", F.col("requested_bytes"))
+    file_nodes = node(
+        file_hits,
+        synthetic_id(NODE_FILE, "r_id"),
+        "file_operation",
+        "start_ns",
+        "end_ns",
+        F.coalesce("path", F.concat(F.lit("fd "), F.col("fd").cast("string"))),
+        2,
+    )
+
+    own = base.select(*KEY, "request_id", F.col("insert_ts").isNotNull().alias("has_queue"))
+    w = Window.partitionBy(*KEY).orderBy("layer_rank", "start_ns", "stop_ns", "ord")
+    stack = (
+        spans.filter(~F.col("layer").isin("block_queue", "block_device"))
+        .withColumn("layer_rank", layer_rank(F.col("layer")))
+        .withColumn("index", F.row_number().over(w) - 1)
+        .join(own, KEY)
+    )
+    # Fixed value: tags are one byte, so span positions beyond it share the last tag.
+    tag = F.least(F.lit(255), F.lit(NODE_SPAN_BASE) + F.col("index"))
+    stack = stack.withColumn("node_id", synthetic_id(tag, "request_id")).filter(tag < 255)
+    span_nodes = node(
+        stack, F.col("node_id"), node_kind(F.col("layer")), "start_ns", F.when(F.col("duration_observed"), F.col("stop_ns")), F.col("name"), 3
+    )
+
+    enriched = origins.join(inferred_paths(origins, files), [*KEY, "node_id"], "left").withColumn(
+        "is_inferred", F.col("inferred_path").isNotNull()
+    )
+    enriched = enriched.withColumn("path", F.coalesce("path", "inferred_path"))
+    origin_rows = node(enriched, F.col("node_id"), "bio", "ts_ns", "ts_ns", F.col("match_type"), 4)
+
+    nodes = req_nodes
+    for part in (queue_nodes, file_nodes, span_nodes, origin_rows):
+        nodes = nodes.unionByName(part)
+    nodes = valid_nodes(nodes.select(*columns))
+
+    def edge(df, edge_id, from_id, to_id, relation, confidence, order, inferred=None, incomplete=None) -> DataFrame:
+        as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return df.select(
+            *KEY,
+            edge_id.alias("edge_id"),
+            as_col(from_id).alias("from_id"),
+            as_col(to_id).alias("to_id"),
+            as_col(relation).alias("relation"),
+            as_col(confidence).alias("confidence"),
+            as_col(order).cast("int").alias("ord"),
+            as_col(inferred if inferred is not None else False).alias("inferred_path"),
+            as_col(incomplete if incomplete is not None else False).alias("incomplete"),
+        )
+
+    queue_edges = edge(queued, synthetic_id(EDGE_QUEUE, "request_id"), queue_node, request_node, "dispatches", "exact", 0)
+    file_edges = edge(
+        file_hits,
+        synthetic_id(EDGE_FILE, "r_id"),
+        synthetic_id(NODE_FILE, "r_id"),
+        synthetic_id(NODE_REQUEST, "r_id"),
+        F.col("relation"),
+        F.col("confidence"),
+        1,
+    )
+    # Only spans whose node was admitted take part in the chain.
+    present = stack.join(nodes.select(*KEY, "node_id"), [*KEY, "node_id"], "left_semi")
+    bio_rank = list(LAYERS).index("bio")
+    halves = present.withColumn("upper", F.col("layer_rank") <= bio_rank)
+    chain = Window.partitionBy(*KEY, "upper").orderBy("index")
+    halves = halves.withColumn("prior", F.lag("node_id").over(chain)).withColumn("next", F.lead("node_id").over(chain))
+    weak = F.col("confidence") == "context_only"
+    chain_edges = edge(
+        halves.filter(F.col("prior").isNotNull()),
+        synthetic_id(F.least(F.lit(255), F.lit(EDGE_SPAN_BASE) + F.col("index")), "request_id"),
+        F.col("prior"),
+        F.col("node_id"),
+        F.when(weak, "context_for").otherwise("calls"),
+        F.col("confidence"),
+        F.lit(2) + F.col("index"),
+    )
+    into_block = edge(
+        halves.filter(F.col("upper") & F.col("next").isNull()),
+        synthetic_id(EDGE_UPPER, "request_id"),
+        F.col("node_id"),
+        F.when(F.col("has_queue"), queue_node).otherwise(request_node),
+        "submits",
+        F.col("confidence"),
+        1000,
+    )
+    out_of_block = edge(
+        halves.filter(~F.col("upper") & F.col("prior").isNull()),
+        synthetic_id(EDGE_LOWER, "request_id"),
+        request_node,
+        F.col("node_id"),
+        F.when(weak, "context_for").otherwise("dispatches"),
+        F.col("confidence"),
+        1001,
+    )
+    origin_edges = edge(
+        enriched,
+        F.col("edge_id"),
+        F.col("node_id"),
+        synthetic_id(NODE_REQUEST, "r_id"),
+        "merged_into",
+        F.col("confidence"),
+        1002,
+        F.col("is_inferred"),
+        F.col("match_type") == "direct_request_incomplete",
+    )
+    edges = queue_edges
+    for part in (file_edges, chain_edges, into_block, out_of_block, origin_edges):
+        edges = edges.unionByName(part)
+    return nodes, valid_edges(edges, nodes)
+
+
+def related_files(requests: DataFrame, nodes: DataFrame, file_origins: DataFrame, files: DataFrame) -> DataFrame:
+    """Syscalls related to a cohort: its own file operations, or the same file within 30 s of a request."""
+    f = files.withColumnRenamed("seq", "file_seq")
+    direct = nodes.filter(F.col("kind") == "file_operation").select("session_id", "start_ns", "end_ns", "pid", "tid").distinct()
+    linked = f.join(direct, ["session_id", "start_ns", "end_ns", "pid", "tid"], "left_semi").select("session_id", "file_seq")
+    span = requests.select(
+        *KEY,
+        (F.coalesce("insert_ts", "issue_ts") - REACH_NS).alias("start_ns"),
+        (F.col("complete_ts") + REACH_NS).alias("end_ns"),
+    )
+    keys = ["session_id", *_IDENTITY]
+    # Unknown generation and mount are kept apart from known ones by a marker value.
+    filled = file_origins.join(span, KEY).fillna(-1, ["generation", "mount"])
+    merged = merge_intervals(filled, keys).select(
+        "session_id", *[F.col(c).alias(f"n_{c}") for c in _IDENTITY], F.col("start_ns").alias("lo"), F.col("end_ns").alias("hi")
+    )
+    for c in ("generation", "mount"):
+        merged = merged.withColumn(f"n_{c}", F.when(F.col(f"n_{c}") >= 0, F.col(f"n_{c}")))
+    base = ["fs_major", "fs_minor", "inode"]
+    left = f.filter(F.col("inode").isNotNull()).select(
+        "session_id", "file_seq", "start_ns", "end_ns", *[F.col(c).alias(f"f_{c}") for c in _IDENTITY], *[F.col(c).alias(f"__{c}") for c in base]
+    )
+    right = merged
+    for c in base:
+        right = right.withColumn(f"__{c}", F.col(f"n_{c}"))
+    near = interval_join(left, right, ["session_id", *[f"__{c}" for c in base]], ("start_ns", "end_ns"), ("lo", "hi"), REACH_NS)
+    by_file = near.filter(identities_compatible("f_", "n_")).select("session_id", "file_seq")
+    return linked.unionByName(by_file).distinct()
+
+
+def deleted_path() -> Column:
+    return path_deleted("path")

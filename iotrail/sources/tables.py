@@ -111,3 +111,164 @@ def device_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def busy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Busy intervals over all devices together (a union of the per-device unions)."""
     return staged_once(spark, f"busy|{sf_dir}", lambda: merge_intervals(device_activity(spark, sf_dir), []))
+
+
+# ---------------------------------------------------------------------------
+# Evidence derived from the same events.
+
+
+def file_path(k: Column, event: Column) -> Column:
+    """File name by k; one file in twenty has two names."""
+    base = F.concat(F.lit("/data/f"), (k % 20).cast("string"))
+    return F.when((k % 20 == 3) & (event % 2 == 1), F.concat(base, F.lit(".alt"))).otherwise(base)
+
+
+def _file_identity(k: Column) -> dict[str, Column]:
+    return {
+        "fs_major": F.lit(8).cast("long"),
+        "fs_minor": F.lit(32).cast("long"),
+        "inode": 1000 + k % 20,
+        "generation": F.lit(None).cast("long"),
+        "mount": F.lit(None).cast("long"),
+    }
+
+
+def file_syscalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read or write call around most requests; some have none and some have two."""
+    rows = request_rows(spark, sf_dir).filter("operation in ('read', 'write') and event_id % 13 <> 0")
+    k, e = F.col("k"), F.col("event_id")
+    copies = F.when(e % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    late = k % 11 == 0
+    return rows.withColumn("copy", F.explode(copies)).select(
+        F.lit(SESSION).alias("session_id"),
+        (e * 2 + F.col("copy")).alias("seq"),
+        (F.col("insert_ts") - 2_000_000 - F.col("copy") * 1000).alias("start_ns"),
+        F.when(late, F.col("insert_ts") - 1_000_000).otherwise(F.col("complete_ts") + 1_000_000).alias("end_ns"),
+        "operation",
+        (e % 100).alias("fd"),
+        F.col("bytes").alias("requested_bytes"),
+        F.when(e % 17 == 0, F.lit(-5).cast("long")).otherwise(F.col("bytes")).alias("completed_bytes"),
+        "pid",
+        "tid",
+        "comm",
+        F.when(k % 5 != 0, file_path(k, e)).alias("path"),
+        *[c.alias(n) for n, c in _file_identity(k).items()],
+        F.when(k % 3 == 0, "direct").otherwise("buffered").alias("io_mode"),
+    )
+
+
+def request_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored origins for every third request; every sixth has two files."""
+    rows = request_rows(spark, sf_dir).filter("event_id % 3 = 0")
+    e = F.col("event_id")
+    copies = F.when(e % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    k = F.col("k") + F.col("copy")
+    return rows.withColumn("copy", F.explode(copies)).select(
+        F.lit(SESSION).alias("session_id"),
+        (e * 2 + F.col("copy")).alias("seq"),
+        F.col("insert_ts").alias("ts_ns"),
+        e.alias("request_id"),
+        (e * 10 + F.col("copy")).alias("origin_id"),
+        *[c.alias(n) for n, c in _file_identity(k).items()],
+        F.when(e % 4 == 0, file_path(k, e)).alias("path"),
+        F.lit("file").alias("origin"),
+        "operation",
+        "bytes",
+        "pid",
+        "tid",
+        F.when(e % 5 != 0, "exact").alias("file_confidence"),
+        F.when(e % 9 == 0, "exact").when(e % 9 == 3, "probable").otherwise("context_only").alias("lifetime_confidence"),
+        (e % 27 == 0).alias("incomplete"),
+    )
+
+
+def stage_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filesystem, SCSI, UFS and link-context observations around the requests."""
+    rows = request_rows(spark, sf_dir)
+    e = F.col("event_id")
+    null_long, null_str = F.lit(None).cast("long"), F.lit(None).cast("string")
+    ins, iss, end = F.col("insert_ts"), F.col("issue_ts"), F.col("complete_ts")
+
+    def obs(part, when, layer, start, stop, phase, conf, corr, sector, size, pid, tid, op):
+        return F.when(
+            when,
+            F.struct(
+                F.lit(part).alias("part"),
+                F.lit(layer).alias("layer"),
+                start.alias("ts_ns"),
+                stop.alias("end_ns"),
+                F.lit(phase).alias("phase"),
+                F.lit(conf).alias("confidence"),
+                corr.alias("correlation_id"),
+                sector.alias("sector"),
+                size.alias("bytes"),
+                pid.alias("pid"),
+                tid.alias("tid"),
+                op.alias("operation"),
+            ),
+        )
+
+    zero = F.lit(0).cast("long")
+    op = F.col("operation")
+    parts = F.array(
+        obs(0, e % 2 == 0, "filesystem", ins - 500_000, ins + 200_000, "span", "exact", e, null_long, null_long, F.col("pid"), F.col("tid"), op),
+        obs(1, e % 4 <= 1, "filesystem", ins - 300_000, iss + 100_000, "span", "exact", null_long, null_long, null_long, F.col("pid"), F.col("tid"), null_str),
+        obs(2, e % 5 == 0, "scsi", iss + 1_000, F.greatest(end - 1_000, iss + 1_000), "span", "exact", null_long, F.col("sector"), F.col("bytes"), zero, zero, op),
+        obs(3, e % 3 == 1, "ufs", iss + 2_000, F.greatest(end - 2_000, iss + 2_000), "span", "exact", e, null_long, null_long, zero, zero, null_str),
+        obs(4, e % 50 == 0, "uic_context", end, null_long, "instant", "context_only", null_long, null_long, null_long, zero, zero, null_str),
+    )
+    return (
+        rows.withColumn("o", F.explode(F.array_compact(parts)))
+        .select(
+            F.lit(SESSION).alias("session_id"),
+            (e * 8 + F.col("o.part")).alias("seq"),
+            "o.*",
+            F.concat(F.col("o.layer"), F.lit(" step")).alias("name"),
+            null_long.alias("stage_key"),
+            null_long.alias("opcode"),
+            F.lit(None).cast("int").alias("status"),
+        )
+        .drop("part")
+    )
+
+
+def request_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and closure of every request, each staged once."""
+    from iotrail.operators.graph import closure
+    from iotrail.plans import evidence
+
+    reqs = evidence_requests(spark, sf_dir)
+    built: list[tuple[DataFrame, DataFrame]] = []
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        if not built:
+            origins = evidence.origin_nodes(reqs, request_origins(spark, sf_dir))
+            built.append(evidence.build_graphs(reqs, spans(spark, sf_dir), origins, file_syscalls(spark, sf_dir)))
+        return built[0]
+
+    nodes = staged_once(spark, f"nodes|{sf_dir}", lambda: build()[0])
+    edges = staged_once(spark, f"edges|{sf_dir}", lambda: build()[1])
+    pairs = staged_once(spark, f"closure|{sf_dir}", lambda: closure(edges))
+    return nodes, edges, pairs
+
+
+def evidence_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iotrail.plans.evidence import evidence_windows
+
+    return staged_once(spark, f"windows|{sf_dir}", lambda: evidence_windows(requests(spark, sf_dir)))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iotrail.plans import evidence
+
+    def build() -> DataFrame:
+        reqs = evidence_requests(spark, sf_dir)
+        return evidence.request_spans(reqs, evidence.match_observations(reqs, stage_observations(spark, sf_dir)))
+
+    return staged_once(spark, f"spans|{sf_dir}", build)
+
+
+def file_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iotrail.plans.attribution import file_origins as build
+
+    return staged_once(spark, f"origins|{sf_dir}", lambda: build(*request_graphs(spark, sf_dir)))
