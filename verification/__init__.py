@@ -1 +1,5 @@
 """Registered queries with their DuckDB counterparts, one module per topic."""
+
+from verification import activity, cohorts, graphs
+
+SUITES = [cohorts.SUITE, activity.SUITE, graphs.SUITE]
