@@ -272,3 +272,122 @@ def file_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     from iotrail.plans.attribution import file_origins as build
 
     return staged_once(spark, f"origins|{sf_dir}", lambda: build(*request_graphs(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Decoded trace records without request ids.
+
+
+def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert, issue, requeue and completion rows keyed only by device, direction and sectors."""
+    from iotrail.operators.ranges import load_events
+
+    rows = request_rows(spark, sf_dir)
+    e = F.col("event_id")
+
+    def row(part: int, kind: str, ts: Column, when: Column | None = None) -> Column:
+        s = F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), ts.alias("timestamp_ns"))
+        return s if when is None else F.when(when, s)
+
+    parts = F.array(
+        row(0, "insert", F.col("insert_ts"), e % 5 != 0),
+        row(1, "issue", F.col("issue_ts")),
+        row(2, "requeue", F.call_function("div", F.col("issue_ts") + F.col("complete_ts"), F.lit(2)), e % 97 == 0),
+        row(3, "complete", F.col("complete_ts")),
+    )
+    rwbs = F.when(F.col("operation") == "read", "RA").when(F.col("operation") == "write", "WS").otherwise("DN")
+    half = (F.col("part") == 3) & (e % 41 == 0)
+    raw = (
+        rows.withColumn("p", F.explode(F.array_compact(parts)))
+        .select("*", "p.*")
+        .select(
+            (e * 4 + F.col("part")).alias("record_id"),
+            "kind",
+            "timestamp_ns",
+            F.when(e % 11 != 0, F.col("cpu")).alias("cpu"),
+            F.when(F.col("part") == 1, F.col("tid")).alias("tid"),
+            (F.lit(8 * 256) + F.col("minor")).alias("device_encoded"),
+            "sector",
+            F.when(half, F.expr("sectors div 2")).otherwise(F.col("sectors")).alias("sectors"),
+            F.lit(None).cast("long").alias("bytes"),
+            rwbs.alias("rwbs"),
+            F.when(F.col("part") == 1, F.col("comm")).alias("comm"),
+            F.when(F.col("part") == 3, F.col("status")).alias("error"),
+            F.when((F.col("part") == 3) & (e % 53 == 0), 3).otherwise(0).alias("clock"),
+        )
+    )
+    return load_events(raw)
+
+
+def trace_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iotrail.operators.ranges import fold_ranges
+
+    return staged_once(spark, f"fold|{sf_dir}", lambda: fold_ranges(trace_events(spark, sf_dir)))
+
+
+def trace_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from iotrail.operators.ranges import match_trace
+
+    return staged_once(spark, f"matches|{sf_dir}", lambda: match_trace(trace_events(spark, sf_dir)))
+
+
+def process_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Process snapshots taken at sign-ups; some undated, some contradicting each other."""
+    rows = request_rows(spark, sf_dir).filter("operation = 'write'")
+    e = F.col("event_id")
+    twice = F.when(e % 19 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("copy", F.explode(twice)).select(
+        F.when(e % 23 != 0, F.col("complete_ts")).alias("snapshot_ns"),
+        "pid",
+        "tid",
+        F.when(F.col("copy") == 1, "other").otherwise(F.col("comm")).alias("name"),
+        F.when(e % 7 == 0, F.col("complete_ts") + 400_000_000_000).alias("start_ns"),
+    )
+
+
+def file_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extent sightings shortly before half of the issues, on a mapped device for some."""
+    rows = request_rows(spark, sf_dir).filter("event_id % 2 = 0")
+    e = F.col("event_id")
+    mapped = e % 3 == 0
+    return rows.select(
+        F.lit(SESSION).alias("session_id"),
+        (e * 4).alias("seq"),
+        (F.col("insert_ts") - 1_000_000).alias("ts_ns"),
+        F.when(mapped, F.lit(253 * 1048576).cast("long")).otherwise(F.lit(8 * 1048576) + F.col("minor")).alias("device"),
+        F.lit(253 * 1048576 + 5).cast("long").alias("fs_device"),
+        F.when(mapped, F.col("sector") + 4096).otherwise(F.col("sector")).alias("sector"),
+        "sectors",
+        (1000 + F.col("k") % 20).alias("inode"),
+        (e * 10).alias("origin_id"),
+        "pid",
+        "tid",
+    )
+
+
+def bio_remaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remaps of the mapped extents down to the request's device."""
+    rows = request_rows(spark, sf_dir).filter("event_id % 6 = 0")
+    return rows.select(
+        F.lit(SESSION).alias("session_id"),
+        (F.col("event_id") * 4 + 1).alias("seq"),
+        (F.col("insert_ts") - 500_000).alias("ts_ns"),
+        (F.lit(8 * 1048576) + F.col("minor")).alias("device"),
+        F.lit(253 * 1048576).cast("long").alias("fs_device"),
+        (F.col("sector") + 4096).alias("old_sector"),
+        "sector",
+        "sectors",
+    )
+
+
+def device_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues with the kernel's device number."""
+    return request_rows(spark, sf_dir).select(
+        F.lit(SESSION).alias("session_id"),
+        (F.col("event_id") * 4 + 2).alias("seq"),
+        F.col("event_id").alias("request_id"),
+        F.col("issue_ts").alias("ts_ns"),
+        (F.lit(8 * 1048576) + F.col("minor")).alias("device"),
+        "sector",
+        "sectors",
+    )

@@ -1,5 +1,5 @@
 """Registered queries with their DuckDB counterparts, one module per topic."""
 
-from verification import activity, cohorts, graphs
+from verification import activity, cohorts, graphs, traces
 
-SUITES = [cohorts.SUITE, activity.SUITE, graphs.SUITE]
+SUITES = [cohorts.SUITE, activity.SUITE, graphs.SUITE, traces.SUITE]
