@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from iotrail.functions.scalars import device_label, identity_number, process_label
 from iotrail.operators.correlate import mib_per_second
+from iotrail.operators.ordered import row_numbers, with_sequence
 from iotrail.operators.stats import on_keys
+from iotrail.session import stage
 
 
 def _d(name: str) -> Column:
@@ -106,12 +108,16 @@ def explore(df: DataFrame, x: str, y: str, group: str, origin_ns: int | Column,
     )
 
 
+def label_positions(labels: DataFrame, first: int = 0) -> DataFrame:
+    """Lexical positions of distinct labels, sorted by range so that many labels stay distributed."""
+    ordered = stage(with_sequence(labels.select("label").distinct(), ["label"]), "labels")
+    numbered = row_numbers(ordered, [], ["seq"], "rn", bucket=F.shiftright("seq", 33))
+    return numbered.select("label", (F.col("rn") - 1 + first).alias("position"))
+
+
 def category_positions(df: DataFrame, category: str) -> DataFrame:
     """Lexical 0-based positions of a category over the whole cohort."""
-    from pyspark.sql.window import Window
-
-    labels = df.select(CATEGORIES[category]().alias("label")).distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("position"))
+    return label_positions(df.select(CATEGORIES[category]().alias("label")))
 
 
 def categorical(df: DataFrame, category: str) -> DataFrame:

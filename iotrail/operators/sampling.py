@@ -80,7 +80,7 @@ def shape_sample(
     """
     groups = list(groups)
     ready = on_keys(indexed(df, groups, order, bucket), proportional_quota(df, groups, limit), groups)
-    ready = ready.select(*groups, *[c for c in df.columns if c not in groups], "idx", "n", "quota")
+    ready = stage(ready.select(*groups, *[c for c in df.columns if c not in groups], "idx", "n", "quota"), "sample-input")
     large = ready.filter(F.col("n") > F.col("quota"))
     pos = F.col("idx")
     slices = F.least(F.greatest(F.expr("quota div 6"), F.lit(1).cast("long")), F.col("n"))
@@ -93,7 +93,7 @@ def shape_sample(
     )
     for axis in (x, y):
         kept = kept.unionByName(_sparse_sides(large, groups, axis))
-    kept = kept.distinct()
+    kept = stage(kept.distinct(), "sample-kept")
     marked = on_keys(large, kept.withColumn("__keep", F.lit(True)), [*groups, "idx"], "left")
     counts = kept.groupBy(*groups).agg(F.count(F.lit(1)).alias("__kept"))
     marked = on_keys(marked, counts, groups)

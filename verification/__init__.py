@@ -1,5 +1,5 @@
 """Registered queries with their DuckDB counterparts, one module per topic."""
 
-from verification import activity, cohorts, graphs, traces
+from verification import activity, cohorts, graphs, recordings, streams, traces
 
-SUITES = [cohorts.SUITE, activity.SUITE, graphs.SUITE, traces.SUITE]
+SUITES = [cohorts.SUITE, activity.SUITE, graphs.SUITE, traces.SUITE, recordings.SUITE, streams.SUITE]
