@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iotrail.functions.scalars import device_label, identity_number, process_label
+from iotrail.functions.scalars import at_least_zero, device_label, identity_number, process_label
 from iotrail.operators.correlate import mib_per_second
 from iotrail.operators.ordered import row_numbers, with_sequence
 from iotrail.operators.stats import on_keys
@@ -23,7 +23,7 @@ def _d(name: str) -> Column:
 
 def time_ms(origin_ns: int | Column) -> Column:
     """Completion time in ms since the origin, never negative."""
-    return F.greatest(F.col("complete_ts") - origin_ns, F.lit(0).cast("long")).cast("double") / 1e6
+    return at_least_zero(F.col("complete_ts") - origin_ns).cast("double") / 1e6
 
 
 def latency_per_kib() -> Column:

@@ -15,8 +15,14 @@ def checked_sub(a, b) -> Column:
     return F.when(_c(a) >= _c(b), _c(a) - _c(b))
 
 
+def at_least_zero(value) -> Column:
+    """max(value, 0) that keeps an unmeasured value unmeasured (``greatest`` alone skips nulls)."""
+    v = _c(value)
+    return F.when(v.isNotNull(), F.greatest(v, F.lit(0).cast("long")))
+
+
 def saturating_sub(a, b) -> Column:
-    return F.greatest(_c(a) - _c(b), F.lit(0).cast("long"))
+    return at_least_zero(_c(a) - _c(b))
 
 
 def inode_label(major, minor, inode) -> Column:

@@ -160,55 +160,66 @@ def interval_join(
     width_ns: int,
     long_buckets: int = 120,
     levels: int = 3,
+    left_bounded: bool = False,
+    right_bounded: bool = False,
 ) -> DataFrame:
     """Pairs of overlapping closed intervals with equal keys.
 
     Both sides are cut into buckets and equi-joined; a pair is kept only in the
-    first bucket both share, so no distinct is needed.  Intervals longer than
-    ``long_buckets`` buckets climb to coarser bucket levels instead of exploding:
-    each row lives on the level where it spans few buckets and is looked up from
-    every level in use, so neither side is ever broadcast or multiplied without
-    bound.  Column names of the two sides must differ, except the keys.
+    first bucket both share, so no distinct is needed.  An interval longer than
+    ``long_buckets`` buckets lives on a level of 128 times wider buckets instead of
+    exploding, and the other side looks it up there.  Long rows are few, so those
+    look-ups join a small table that is broadcast when its measured size allows.
+    A side known to hold no long interval (``*_bounded``) skips its look-up.
+    Column names of the two sides must differ, except the keys.
     """
     keys = list(keys)
     ls, le = left_range
     rs, re = right_range
-
     widths = [width_ns * 128**lv for lv in range(levels)]
 
     def cell_of(lv: int):
         return lambda b: F.struct(F.lit(lv).alias("lv"), b.alias("b"))
 
-    def spread(df: DataFrame, s: str, e: str, own: str) -> DataFrame:
+    def levelled(df: DataFrame, s: str, e: str) -> DataFrame:
         span = F.expr(f"(`{e}` - `{s}`) div {width_ns * long_buckets}")
         exponent = F.when(span <= 0, 0).otherwise(F.ceil(F.length(F.bin(span)) / 7))
-        levelled = df.withColumn(own, F.least(exponent, F.lit(levels - 1)).cast("int"))
-        cells = [
+        return df.filter(F.col(e) >= F.col(s)).withColumn("__own", F.least(exponent, F.lit(levels - 1)).cast("int"))
+
+    def cells(df: DataFrame, s: str, e: str, wanted) -> DataFrame:
+        """Repeat rows for the buckets of every level that ``wanted(level)`` admits."""
+        listed = [
             F.when(
-                F.col(own) <= lv,
-                F.transform(F.sequence(F.expr(f"`{s}` div {w}"), F.expr(f"`{e}` div {w}")), cell_of(lv)),
+                wanted(lv), F.transform(F.sequence(F.expr(f"`{s}` div {w}"), F.expr(f"`{e}` div {w}")), cell_of(lv))
             ).otherwise(F.array().cast("array<struct<lv:int,b:bigint>>"))
             for lv, w in enumerate(widths)
         ]
         return (
-            levelled.filter(F.col(e) >= F.col(s))
-            .withColumn("__cell", F.explode(F.concat(*cells)))
+            df.withColumn("__cell", F.explode(F.concat(*listed)))
             .select("*", F.col("__cell.lv").alias("__lv"), F.col("__cell.b").alias("__b"))
-            .drop("__cell")
+            .drop("__cell", "__own")
         )
 
-    lx, rx = spread(left, ls, le, "__ll"), spread(right, rs, re, "__rl")
-    joined = lx.join(rx, [*keys, "__lv", "__b"])
-    later = F.greatest(ls, rs)
-    first_common = F.lit(None).cast("long")
-    for lv, w in enumerate(widths):
-        first_common = F.when(F.col("__lv") == lv, F.call_function("div", later, F.lit(w))).otherwise(first_common)
-    return joined.filter(
-        (F.col("__lv") == F.greatest("__ll", "__rl"))
-        & (F.col(ls) <= F.col(re))
-        & (F.col(le) >= F.col(rs))
-        & (F.col("__b") == first_common)
-    ).drop("__ll", "__rl", "__lv", "__b")
+    def meet(lx: DataFrame, rx: DataFrame) -> DataFrame:
+        later = F.greatest(ls, rs)
+        first_common = F.lit(None).cast("long")
+        for lv, w in enumerate(widths):
+            first_common = F.when(F.col("__lv") == lv, F.call_function("div", later, F.lit(w))).otherwise(first_common)
+        overlap = (F.col(ls) <= F.col(re)) & (F.col(le) >= F.col(rs)) & (F.col("__b") == first_common)
+        return lx.join(rx, [*keys, "__lv", "__b"]).filter(overlap).drop("__lv", "__b")
+
+    own = F.col("__own")
+    lx, rx = levelled(left, ls, le), levelled(right, rs, re)
+    short = lambda lv: F.lit(lv == 0)
+    native = lambda lv: own == lv
+    pairs = meet(cells(lx.filter(own == 0), ls, le, short), cells(rx.filter(own == 0), rs, re, short))
+    if not left_bounded:
+        reach = lambda lv: F.lit(lv > 0) & (own <= lv)
+        pairs = pairs.unionByName(meet(cells(lx.filter(own > 0), ls, le, native), cells(rx, rs, re, reach)))
+    if not right_bounded:
+        below = lambda lv: F.lit(lv > 0) & (own < lv)
+        pairs = pairs.unionByName(meet(cells(lx, ls, le, below), cells(rx.filter(own > 0), rs, re, native)))
+    return pairs
 
 
 def expand_range(df: DataFrame, lower: str, upper: str, width: int, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iotrail.functions.scalars import at_least_zero
 from iotrail.operators.intervals import busy_by_window, clip, gaps, locate, merge_intervals
 from iotrail.operators.ordered import BUCKET, running, time_bucket
 from iotrail.plans.summary import moved
@@ -88,7 +89,7 @@ def host_bandwidth(requests: DataFrame, merged: DataFrame, lower: int, upper: in
             "bytes",
             F.lit(duration).cast("long").alias("duration_ns"),
             "busy_ns",
-            F.greatest(F.lit(duration) - F.col("busy_ns"), F.lit(0).cast("long")).alias("idle_ns"),
+            at_least_zero(F.lit(duration) - F.col("busy_ns")).alias("idle_ns"),
             F.when(wall > 0, F.col("bytes").cast("double") * 1e9 / wall / MIB).alias("with_idle_mib_s"),
             F.when(F.col("busy_ns") > 0, F.col("bytes").cast("double") * 1e9 / F.col("busy_ns").cast("double") / MIB).alias(
                 "without_idle_mib_s"

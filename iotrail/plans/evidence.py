@@ -17,6 +17,7 @@ from iotrail.functions.scalars import (
     NODE_QUEUE,
     NODE_REQUEST,
     NODE_SPAN_BASE,
+    at_least_zero,
     origin_edge_id,
     origin_node_id,
     path_deleted,
@@ -102,7 +103,8 @@ def match_observations(requests: DataFrame, observations: DataFrame) -> DataFram
 
     ``requests`` carries ``evidence_from``.  Three of the four ways are equi-joins,
     and the time conditions are cut into cells, so no key gathers a whole trace.
-    A layer with an exact match keeps no probable one.
+    A layer with an exact match keeps no probable one.  Correlation limits bound
+    the length of a request, so only observations can be long.
     """
     req = _lifetimes(requests)
     obs = observations.withColumn("o_end", F.coalesce("end_ns", "ts_ns")).filter(F.col("o_end") >= F.col("ts_ns"))
@@ -123,6 +125,7 @@ def match_observations(requests: DataFrame, observations: DataFrame) -> DataFram
         ("ts_ns", "o_end"),
         ("r_start", "r_end"),
         CELL_NS,
+        right_bounded=True,
     ).filter((F.col("tid") == 0) | (F.col("tid") == F.col("r_tid")))
     by_address = interval_join(
         causal.filter(F.col("sector").isNotNull() & F.col("bytes").isNotNull())
@@ -133,6 +136,7 @@ def match_observations(requests: DataFrame, observations: DataFrame) -> DataFram
         ("ts_ns", "o_end"),
         ("r_start", "r_end"),
         CELL_NS,
+        right_bounded=True,
     ).filter(~((F.col("pid") == F.col("r_pid")) & ((F.col("tid") == 0) | (F.col("tid") == F.col("r_tid")))))
     around = interval_join(
         context,
@@ -141,6 +145,7 @@ def match_observations(requests: DataFrame, observations: DataFrame) -> DataFram
         ("ts_ns", "o_end"),
         ("near_start", "near_end"),
         CELL_NS,
+        right_bounded=True,
     )
     columns = [
         "session_id", "seq", "obs_seq", "ts_ns", "o_end", "end_ns", "phase", "layer", "operation", "sector", "bytes",
@@ -261,6 +266,7 @@ def file_candidates(requests: DataFrame, files: DataFrame) -> DataFrame:
         ("start_ns", "end_ns"),
         ("near_start", "near_end"),
         CELL_NS,
+        right_bounded=True,
     )
     same_tid = interval_join(
         f.filter(F.col("tid") != 0).withColumn("__task", F.col("tid")),
@@ -269,6 +275,7 @@ def file_candidates(requests: DataFrame, files: DataFrame) -> DataFrame:
         ("start_ns", "end_ns"),
         ("near_start", "near_end"),
         CELL_NS,
+        right_bounded=True,
     ).filter(F.col("pid") != F.col("r_pid"))
     both = same_pid.unionByName(same_tid)
     enough = (F.col("requested_bytes") >= F.col("r_bytes")) | (F.abs("completed_bytes") >= F.col("r_bytes"))
@@ -283,7 +290,7 @@ def unique_file_candidate(candidates: DataFrame, exact_origins: DataFrame) -> Da
     return (
         only.withColumn("confidence", F.when(later, "probable_async").otherwise("probable"))
         .withColumn("relation", F.when(later, "causes_async").otherwise("submits"))
-        .withColumn("delta_ns", F.greatest(F.col("r_start") - F.col("start_ns"), F.lit(0).cast("long")))
+        .withColumn("delta_ns", at_least_zero(F.col("r_start") - F.col("start_ns")))
         .withColumn("bytes_match", F.col("requested_bytes") == F.col("r_bytes"))
         .drop("__n")
     )
@@ -364,9 +371,9 @@ def inferred_paths(origins: DataFrame, files: DataFrame) -> DataFrame:
         )
 
     keys = ["session_id", *[f"__{c}" for c in base]]
-    near = interval_join(unions([], REACH_NS), bare, keys, ("start_ns", "end_ns"), ("lo", "hi"), REACH_NS).filter(
-        identities_compatible("f_", "n_")
-    )
+    near = interval_join(
+        unions([], REACH_NS), bare, keys, ("start_ns", "end_ns"), ("lo", "hi"), REACH_NS, right_bounded=True
+    ).filter(identities_compatible("f_", "n_"))
     during = interval_join(
         unions(["pid", "tid", "operation"], 0),
         bare.withColumn("n_at", F.col("n_ts")),
@@ -374,6 +381,7 @@ def inferred_paths(origins: DataFrame, files: DataFrame) -> DataFrame:
         ("start_ns", "end_ns"),
         ("n_ts", "n_at"),
         CELL_NS,
+        right_bounded=True,
     ).filter(
         identities_compatible("f_", "n_")
         & F.col("n_at").between(F.col("lo") - REACH_NS, F.col("hi") + REACH_NS)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iotrail.functions.axes import explore, label_positions, time_ms
-from iotrail.functions.scalars import device_label, process_label
+from iotrail.functions.scalars import at_least_zero, device_label, process_label
 from iotrail.operators.graph import KEY
 from iotrail.operators.ordered import BUCKET, row_numbers, time_bucket
 from iotrail.operators.sampling import cap_groups, operation_quota, shape_sample
@@ -75,7 +75,7 @@ def connected_footprint(requests: DataFrame, origin_ns: int | Column) -> DataFra
     """One address segment per request from issue to completion."""
 
     def ms(c: str) -> Column:
-        return F.greatest(F.col(c) - origin_ns, F.lit(0).cast("long")).cast("double") / 1e6
+        return at_least_zero(F.col(c) - origin_ns).cast("double") / 1e6
 
     return requests.filter("issue_ts is not null and complete_ts is not null").select(
         "request_id", ms("issue_ts").alias("from_ms"), ms("complete_ts").alias("to_ms"), F.col("sector").cast("double").alias("sector"), "operation"
@@ -118,7 +118,7 @@ def cpu_events(requests: DataFrame, origin_ns: int | Column) -> DataFrame:
     """Issue and completion marks on one lane per device and CPU."""
 
     def ms(c: Column) -> Column:
-        return F.greatest(c - origin_ns, F.lit(0).cast("long")).cast("double") / 1e6
+        return at_least_zero(c - origin_ns).cast("double") / 1e6
 
     marks = F.array(
         F.struct(F.lit("issue").alias("phase"), F.col("issue_ts").alias("ts"), F.col("cpu").alias("c")),

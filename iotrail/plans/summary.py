@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from iotrail.functions.axes import AXES, SHARE_DIMENSIONS
-from iotrail.functions.scalars import device_label
+from iotrail.functions.scalars import at_least_zero, device_label
 from iotrail.operators.intervals import union_duration
 from iotrail.operators.stats import (
     LATENCY_BOUNDS,
@@ -65,7 +65,7 @@ def session_summary(requests: DataFrame, counters: DataFrame | None = None) -> D
         .join(busy, F.lit(True), "left")
         .withColumn("logging_ns", logging)
         .withColumn("busy_ns", F.when(F.col("unmeasured_latency") == 0, F.col("busy_ns")))
-        .withColumn("idle_ns", F.greatest(F.col("logging_ns") - F.col("busy_ns"), F.lit(0).cast("long")))
+        .withColumn("idle_ns", at_least_zero(F.col("logging_ns") - F.col("busy_ns")))
         .drop("first_ns", "last_ns")
     )
     if counters is not None:

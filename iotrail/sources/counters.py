@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iotrail.functions.scalars import redact_paths
+from iotrail.functions.scalars import at_least_zero, redact_paths
 from iotrail.operators.ordered import BUCKET, carry_last
 from iotrail.operators.stats import equal_width_histogram, nearest_rank
 
@@ -96,7 +96,7 @@ def scheduler_view(waits: DataFrame, origin_ns: int, spec) -> DataFrame:
         or spec.confidence
         or spec.file
     )
-    at = F.greatest(F.col("ts_ns") - origin_ns, F.lit(0).cast("long")).cast("double") / 1e6
+    at = at_least_zero(F.col("ts_ns") - origin_ns).cast("double") / 1e6
     c: Column = F.lit(not block_only)
     if spec.start_ms > 0 or spec.end_ms > 0:
         c &= at >= spec.start_ms

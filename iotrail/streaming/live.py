@@ -371,7 +371,7 @@ def retained_before(events: DataFrame, triggers: DataFrame, keep_ns: int = 5_000
         "session_id", "trigger_id", (F.col("ts_ns") - keep_ns).alias("from_ns"), F.col("ts_ns").alias("trigger_ns")
     )
     near = interval_join(
-        events.withColumn("at_end", F.col("ts_ns")), spans, ["session_id"], ("ts_ns", "at_end"), ("from_ns", "trigger_ns"), 1_000_000_000
+        events.withColumn("at_end", F.col("ts_ns")), spans, ["session_id"], ("ts_ns", "at_end"), ("from_ns", "trigger_ns"), 1_000_000_000, left_bounded=True, right_bounded=True
     )
     newest_first = near.withColumn("age", F.col("trigger_ns") - F.col("ts_ns")).withColumn("back", -F.col("seq"))
     sized = running(
@@ -401,7 +401,7 @@ def segment_events(events: DataFrame, transitions: DataFrame, before_ns: int = 3
         "session_id", F.col("ts_ns").alias("trigger_ns"), (F.col("ts_ns") - before_ns).alias("from_ns"), (F.col("ts_ns") + tail_ns).alias("to_ns")
     )
     return interval_join(
-        events.withColumn("at_end", F.col("ts_ns")), deep, ["session_id"], ("ts_ns", "at_end"), ("from_ns", "to_ns"), 1_000_000_000
+        events.withColumn("at_end", F.col("ts_ns")), deep, ["session_id"], ("ts_ns", "at_end"), ("from_ns", "to_ns"), 1_000_000_000, left_bounded=True
     ).drop("at_end")
 
 
