@@ -13,6 +13,7 @@ agree, which gives the result of one ordered fold without running one.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,102 +39,150 @@ def _components(events: DataFrame) -> DataFrame:
     """Attach the start of the connected sector range each event falls in."""
     spans = events.select(*STREAM, F.col("sector").alias("start_ns"), (F.col("sector") + F.greatest("sectors", F.lit(1))).alias("end_ns"))
     # Half-open ranges that merely touch do not overlap, hence the gap of -1.
-    unions = merge_intervals(spans, STREAM, gap_ns=-1, width_ns=SECTOR_BLOCK)
+    unions = stage(merge_intervals(spans, STREAM, gap_ns=-1, width_ns=SECTOR_BLOCK), "range-unions")
     shifted = unions.select(*STREAM, (F.col("start_ns") - 1).alias("start_ns"), (F.col("end_ns") - 1).alias("end_ns"))
     placed = locate(events, shifted, STREAM, "sector", width_ns=SECTOR_BLOCK)
     return placed.withColumn("component", F.col("interval_start_ns") + 1).drop("interval_start_ns", "interval_end_ns")
 
 
 _OUT = (
-    "device_encoded long, op string, component long, piece long, record_id long, role string, "
-    "candidates array<long>, usable boolean, insert_record long, sector long, sectors long, doubtful boolean, ord long"
+    "device_encoded long, op string, component long, piece long, record_id long, role string, candidates long, only_issue long, "
+    "usable boolean, closes boolean, insert_record long, sector long, sectors long, doubtful boolean, ord long"
 )
+_NAMES = [c.split(" ")[0] for c in _OUT.split(", ")]
 
 
-def _overlap(a, an, b, bn) -> bool:
-    if an == 0 or bn == 0:
-        return a == b
-    return a < b + bn and b < a + an
-
-
-def _fold_piece(state: list, events) -> list:
-    """Advance one piece; ``state`` holds [kind, record, sector, sectors, doubtful, insert] entries."""
-    out = []
-    for e in events:
-        if e.kind == "insert":
-            state.append(["insert", e.record_id, e.sector, e.sectors, False, None])
-            continue
-        hits = [s for s in state if s[0] == "issue" and _overlap(s[2], s[3], e.sector, e.sectors)]
-        if e.kind == "issue":
-            queued = [s for s in state if s[0] == "insert" and _overlap(s[2], s[3], e.sector, e.sectors)]
-            insert = None
-            if len(queued) == 1 and queued[0][2] == e.sector and queued[0][3] == e.sectors:
-                insert = queued[0][1]
-                state.remove(queued[0])
-            for s in hits:
-                s[4] = True
-            state.append(["issue", e.record_id, e.sector, e.sectors, bool(hits), insert])
-        elif e.kind == "requeue":
-            for s in hits:
-                s[4] = True
-            if not hits:
-                out.append((e.record_id, "unpaired_requeue", [], False, None))
+class _Pending:
+    """Pending ranges of one kind, one entry [count, record, doubtful, insert] per distinct range.
+
+    Two pending ranges that overlap can never be told apart again, so repeats of a
+    range need a count only and the state stays as small as the set of ranges.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.by_start: dict[int, dict[int, list]] = {}
+        self.longest = 0
+
+    def hits(self, sector: int, sectors: int) -> list:
+        found = []
+        i = bisect_left(self.starts, sector - self.longest)
+        stop = sector + max(sectors, 1)
+        while i < len(self.starts) and self.starts[i] < stop:
+            start = self.starts[i]
+            for n, entry in self.by_start[start].items():
+                if start == sector if (n == 0 or sectors == 0) else start + n > sector:
+                    found.append((start, n, entry))
+            i += 1
+        return found
+
+    def add(self, sector: int, sectors: int, entry: list) -> None:
+        same = self.by_start.get(sector)
+        if same is None:
+            same = self.by_start[sector] = {}
+            insort(self.starts, sector)
+        self.longest = max(self.longest, sectors)
+        if sectors in same:
+            same[sectors][0] += entry[0]
+            same[sectors][2] = True
         else:
-            same = len(hits) == 1 and hits[0][2] == e.sector and hits[0][3] == e.sectors
-            usable = same and not hits[0][4]
-            out.append((e.record_id, "completion", [s[1] for s in hits], usable, hits[0][5] if usable else None))
-            if same:
-                state.remove(hits[0])
-            else:
-                for s in hits:
-                    s[4] = True
-    return out
+            same[sectors] = entry
+
+    def drop(self, sector: int, sectors: int) -> None:
+        del self.by_start[sector][sectors]
+        if not self.by_start[sector]:
+            del self.by_start[sector]
+            self.starts.pop(bisect_left(self.starts, sector))
+
+    def rows(self):
+        for start in self.starts:
+            for n, entry in self.by_start[start].items():
+                yield start, n, entry
+
+
+def _only(hits: list, e) -> tuple[int, bool]:
+    """Number of overlapping pending requests, and whether it is one with the very range of the event."""
+    count = sum(h[2][0] for h in hits)
+    return count, count == 1 and hits[0][0] == e.sector and hits[0][1] == e.sectors
+
+
+def _step(issues: _Pending, inserts: _Pending, e):
+    """Apply one event; returns the result row of completions, stray requeues and queued issues."""
+    if e.kind == "insert":
+        inserts.add(e.sector, e.sectors, [1, e.record_id, False, None])
+        return None
+    hits = issues.hits(e.sector, e.sectors)
+    if e.kind == "complete":
+        count, same = _only(hits, e)
+        entry = hits[0][2] if count == 1 else None
+        usable = same and not entry[2]
+        if same:
+            issues.drop(e.sector, e.sectors)
+        else:
+            for h in hits:
+                h[2][2] = True
+        return (e.record_id, "completion", count, entry[1] if entry else None, usable, same, entry[3] if usable else None)
+    for h in hits:
+        h[2][2] = True
+    if e.kind == "requeue":
+        return None if hits else (e.record_id, "unpaired_requeue", 0, None, False, False, None)
+    queued = inserts.hits(e.sector, e.sectors)
+    insert = None
+    if _only(queued, e)[1]:
+        insert = queued[0][2][1]
+        inserts.drop(e.sector, e.sectors)
+    issues.add(e.sector, e.sectors, [1, e.record_id, bool(hits), insert])
+    return (e.record_id, "queued", 0, None, False, False, insert) if insert is not None else None
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Ordered fold over (group, piece); leading rows of a piece are its start state."""
-    current, state = None, []
+    current, issues, inserts = None, _Pending(), _Pending()
 
     def closing():
-        return [(*current, s[1], f"left_{s[0]}", [], False, s[5], s[2], s[3], s[4], i) for i, s in enumerate(state)]
+        for kind, pending in (("issue", issues), ("insert", inserts)):
+            for start, n, (count, record, doubtful, insert) in pending.rows():
+                yield (*current, record, f"left_{kind}", count, None, False, False, insert, start, n, doubtful)
 
     for batch in batches:
-        rows = []
-        for key, part in batch.groupby([*GROUP, "piece"], sort=False):
+        rows: list[tuple] = []
+        for e in batch.itertuples(index=False):
+            key = (e.device_encoded, e.op, e.component, e.piece)
             if key != current:
                 if current is not None:
                     rows += closing()
-                current, state = key, []
-            start = part[part.kind.str.startswith("left_")]
-            for s in start.itertuples(index=False):
-                insert = None if pd.isna(s.insert_record) else int(s.insert_record)
-                state.append([s.kind[5:], s.record_id, s.sector, s.sectors, bool(s.doubtful), insert])
-            done = _fold_piece(state, part[~part.kind.str.startswith("left_")].itertuples(index=False))
-            rows += [(*key, *r, 0, 0, False, 0) for r in done]
+                current, issues, inserts = key, _Pending(), _Pending()
+            if e.kind.startswith("left_"):
+                insert = None if pd.isna(e.insert_record) else int(e.insert_record)
+                target = issues if e.kind == "left_issue" else inserts
+                target.add(e.sector, e.sectors, [int(e.n), e.record_id, bool(e.doubtful), insert])
+            else:
+                result = _step(issues, inserts, e)
+                if result:
+                    rows.append((*key, *result, 0, 0, False))
         yield _frame(rows)
     if current is not None:
-        yield _frame(closing())
+        yield _frame(list(closing()))
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    names = [c.split(" ")[0] for c in _OUT.split(", ")]
-    df = pd.DataFrame(rows, columns=names)
-    df["insert_record"] = df["insert_record"].astype("Int64")
-    return df
+    df = pd.DataFrame([(*r, i) for i, r in enumerate(rows)], columns=_NAMES)
+    return df.astype({"insert_record": "Int64", "only_issue": "Int64"})
 
 
 def fold_ranges(events: DataFrame, piece_rows: int = 1 << 20) -> DataFrame:
-    """Completion candidates plus what is left pending, per connected range.
+    """Outcome of every completion plus what is left pending, per connected range.
 
-    ``role`` is completion, unpaired_requeue, left_issue or left_insert.
+    ``role`` is completion, queued (an issue that consumed an insert),
+    unpaired_requeue, left_issue or left_insert.
     """
-    placed = _components(events.select(*STREAM, "record_id", "timestamp_ns", "kind", "sector", "sectors"))
+    placed = stage(_components(events.select(*STREAM, "record_id", "timestamp_ns", "kind", "sector", "sectors")), "range-placed")
     numbered = row_numbers(
         placed, GROUP, ["timestamp_ns", "record_id"], "rn", bucket=F.expr("timestamp_ns div 60000000000")
     ).drop(BUCKET)
     pieces = stage(numbered.withColumn("piece", F.expr(f"(rn - 1) div {piece_rows}")), "range-events")
     keys = [*GROUP, "piece"]
-    blank = [F.lit(None).cast("long").alias("insert_record"), F.lit(False).alias("doubtful")]
+    blank = [F.lit(None).cast("long").alias("insert_record"), F.lit(False).alias("doubtful"), F.lit(1).cast("long").alias("n")]
     body = pieces.select(*keys, "rn", "record_id", "kind", "sector", "sectors", *blank)
 
     def run(rows: DataFrame) -> DataFrame:
@@ -148,7 +197,7 @@ def fold_ranges(events: DataFrame, piece_rows: int = 1 << 20) -> DataFrame:
         ).withColumn("piece", F.col("piece") + 1)
         starts = stage(
             starts.select(
-                *keys, (F.col("ord") - (1 << 40)).alias("rn"), "record_id", F.col("role").alias("kind"), "sector", "sectors", "insert_record", "doubtful"
+                *keys, (F.col("ord") - (1 << 40)).alias("rn"), "record_id", F.col("role").alias("kind"), "sector", "sectors", "insert_record", "doubtful", F.col("candidates").alias("n")
             ),
             "range-starts",
         )
@@ -163,17 +212,20 @@ def fold_ranges(events: DataFrame, piece_rows: int = 1 << 20) -> DataFrame:
         assumed = starts
 
 
-def match_trace(events: DataFrame, lossy: bool = False, piece_rows: int = 1 << 20) -> DataFrame:
+def match_trace(
+    events: DataFrame, lossy: bool = False, piece_rows: int = 1 << 20, folded: DataFrame | None = None
+) -> DataFrame:
     """One row per completion with its latency when the match is beyond doubt, else the reason.
 
     ``lossy`` marks a trace whose counters report loss: nothing is timed then.
     """
-    folded = fold_ranges(events, piece_rows).filter("role = 'completion'")
+    folded = (folded if folded is not None else fold_ranges(events, piece_rows)).filter("role = 'completion'")
     done = events.filter("kind = 'complete'").select(
         "record_id", "timestamp_ns", "device_encoded", "op", "sector", "sectors", "bytes", "rwbs", "error", "clock"
     )
-    only = F.when(F.size("candidates") == 1, F.element_at("candidates", 1))
-    matched = done.join(folded.select("record_id", "candidates", "usable", "insert_record"), "record_id").withColumn("issue_record", only)
+    matched = done.join(
+        folded.select("record_id", "candidates", "usable", "insert_record", F.col("only_issue").alias("issue_record")), "record_id"
+    )
     issue = events.filter("kind = 'issue'").select(
         F.col("record_id").alias("issue_record"),
         F.col("timestamp_ns").alias("i_ts"),
@@ -188,8 +240,8 @@ def match_trace(events: DataFrame, lossy: bool = False, piece_rows: int = 1 << 2
     full = matched.join(issue, "issue_record", "left").join(insert, "insert_record", "left")
     # Reason of each outcome, first one that applies.
     reason = (
-        F.when(F.size("candidates") == 0, "no issue candidate")
-        .when(F.size("candidates") > 1, "multiple issue candidates")
+        F.when(F.col("candidates") == 0, "no issue candidate")
+        .when(F.col("candidates") > 1, "multiple issue candidates")
         .when(~F.col("usable"), "overlapping, repeated, partial or requeued")
         .when(F.lit(lossy), "trace loss")
         .when((F.col("clock") != 0) | (F.col("i_clock") != 0), "unsupported clock")
@@ -222,15 +274,29 @@ def match_trace(events: DataFrame, lossy: bool = False, piece_rows: int = 1 << 2
     )
 
 
-def trace_coverage(matches: DataFrame, leftovers: DataFrame) -> DataFrame:
+def leftovers(events: DataFrame, folded: DataFrame) -> DataFrame:
+    """Issues never completed, inserts never issued and stray requeues, with their records."""
+    done = folded.filter("role = 'completion' and closes").select(F.col("only_issue").alias("record_id"))
+    used = folded.filter("role = 'queued'").select(F.col("insert_record").alias("record_id"))
+    stray = folded.filter("role = 'unpaired_requeue'").select("record_id")
+    rows = events.select("record_id", "device_encoded", "kind")
+    return (
+        rows.filter("kind = 'issue'")
+        .join(done, "record_id", "left_anti")
+        .unionByName(rows.filter("kind = 'insert'").join(used, "record_id", "left_anti"))
+        .unionByName(rows.filter("kind = 'requeue'").join(stray, "record_id", "left_semi"))
+    )
+
+
+def trace_coverage(matches: DataFrame, left: DataFrame) -> DataFrame:
     """Per device: completions, unresolved ones, issues never completed and stray requeues."""
     done = matches.groupBy("device_encoded").agg(
         F.count(F.lit(1)).alias("completions"), F.count_if(F.col("timing_confidence") == "unresolved").alias("unresolved")
     )
-    rest = leftovers.groupBy("device_encoded").agg(
-        F.count_if(F.col("role") == "left_issue").alias("unmatched_issues"),
-        F.count_if(F.col("role") == "left_insert").alias("orphan_inserts"),
-        F.count_if(F.col("role") == "unpaired_requeue").alias("unpaired_requeues"),
+    rest = left.groupBy("device_encoded").agg(
+        F.count_if(F.col("kind") == "issue").alias("unmatched_issues"),
+        F.count_if(F.col("kind") == "insert").alias("orphan_inserts"),
+        F.count_if(F.col("kind") == "requeue").alias("unpaired_requeues"),
     )
     return done.join(rest, "device_encoded", "left").fillna(0)
 
@@ -372,16 +438,6 @@ def trace_status(quality: DataFrame) -> DataFrame:
     return quality.withColumn("lost_events", known).withColumn("status", status)
 
 
-def leftovers(folded: DataFrame) -> DataFrame:
-    """Issues and inserts still pending at the end of the trace, and stray requeues."""
-    last = folded.groupBy(*GROUP).agg(F.max("piece").alias("__last"))
-    return (
-        folded.join(last, GROUP)
-        .filter((F.col("role") == "unpaired_requeue") | (F.col("role").startswith("left_") & (F.col("piece") == F.col("__last"))))
-        .drop("__last")
-    )
-
-
 def partial_completions(parts: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """Completions that finish a request in parts.
 

@@ -316,7 +316,7 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((F.col("part") == 3) & (e % 53 == 0), 3).otherwise(0).alias("clock"),
         )
     )
-    return load_events(raw)
+    return staged_once(spark, f"trace|{sf_dir}", lambda: load_events(raw))
 
 
 def trace_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +328,8 @@ def trace_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from iotrail.operators.ranges import match_trace
 
-    return staged_once(spark, f"matches|{sf_dir}", lambda: match_trace(trace_events(spark, sf_dir)))
+    events = trace_events(spark, sf_dir)
+    return staged_once(spark, f"matches|{sf_dir}", lambda: match_trace(events, folded=trace_fold(spark, sf_dir)))
 
 
 def process_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
