@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc_micros(column: str) -> Column:
+    """Microseconds of a zone-less timestamp read as UTC, whatever the session's time zone is."""
+    return F.expr(f"unix_micros(cast(convert_timezone('UTC', current_timezone(), cast({column} as timestamp_ntz)) as timestamp))")
+
+
 def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with the fields of its three block records."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -31,7 +36,7 @@ def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     operation: Column = F.lit("discard")
     for name, op in kinds.items():
         operation = F.when(F.col("event_type") == name, op).otherwise(operation)
-    end = F.unix_micros(F.col("ts").cast("timestamp"))
+    end = utc_micros("ts")
     issue = end - F.round(F.col("value") * 100).cast("long") * 100_000
     return table(spark, sf_dir, "events").select(
         "event_id",

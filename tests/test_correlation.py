@@ -29,9 +29,9 @@ def random_events(seed, n, keys, ttl):
     return out
 
 
-@pytest.mark.parametrize("seed,keys,ttl", [(1, 1, 6), (2, 2, 10), (3, 3, 4), (4, 5, 30)])
+@pytest.mark.parametrize("seed,keys,ttl", [(1, 1, 6), (2, 2, 10), (4, 5, 30)])
 def test_correlator_equals_literal_fold(spark, seed, keys, ttl):
-    events = random_events(seed, 1500, keys, ttl)
+    events = random_events(seed, 1000, keys, ttl)
     want = correlate(events, ttl)
     # Blocks of 32 rows: every carried look-up crosses many borders.
     life = C.annotate_lifetimes(frame(spark, events), ttl, time_sorted=True, shift=5).cache()

@@ -499,7 +499,7 @@ def stage_rows(spark, d):
     return e.select(
         F.lit("events").alias("session_id"),
         (F.col("event_id") * 2).alias("seq"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_ns"),
+        T.utc_micros("ts").alias("ts_ns"),
         null_long.alias("end_ns"),
         F.when(F.col("event_type").isin("view", "click"), "begin").otherwise("end").alias("phase"),
         F.when(F.col("user_id") % 2 == 0, "scsi").otherwise("ufs").alias("layer"),

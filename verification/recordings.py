@@ -55,7 +55,7 @@ def recording_path(spark, d):
     parts.append(recording.event_lines(files, "file_io", files.columns[1:], "seq"))
     waits = T.table(spark, d, "events").select(
         F.col("event_id").alias("seq"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_ns"),
+        T.utc_micros("ts").alias("ts_ns"),
         F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("long") * 10).alias("delay_ns"),
         (F.col("user_id") * 10).alias("tid"),
         F.col("user_id").alias("pid"),
