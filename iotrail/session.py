@@ -18,6 +18,7 @@ _CONF = {
 }
 
 _staged: dict[tuple[str, str], tuple[str, object]] = {}
+_local_folders: dict[str, str] = {}
 
 
 def get_spark(app: str = "iotrail", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,9 +42,10 @@ def workspace(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to shared storage before staging tables")
-    folder = tempfile.mkdtemp(prefix="iotrail-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="iotrail-")
+    return _local_folders[application]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
