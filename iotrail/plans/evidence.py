@@ -26,6 +26,7 @@ from iotrail.functions.scalars import (
 from iotrail.operators.graph import KEY, valid_edges, valid_nodes
 from iotrail.operators.intervals import interval_join, merge_intervals
 from iotrail.operators.ordered import BUCKET, SHIFT, carry_last, seq_bucket
+from iotrail.session import stage
 
 _IDENTITY = ["fs_major", "fs_minor", "inode", "generation", "mount"]
 REACH_NS = 30_000_000_000
@@ -443,7 +444,11 @@ def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, file
     queue_nodes = node(queued, queue_node, "block_queue", "insert_ts", "issue_ts", F.lit("block queue"), 1)
 
     exact_origins = origins.filter((F.col("confidence") == "exact") & F.col("inode").isNotNull())
-    file_hits = unique_file_candidate(file_candidates(requests, files), exact_origins).withColumn("bytes", F.col("requested_bytes"))
+    # The evidence joins feed nodes, edges and edge checks, so each is written once.
+    file_hits = stage(
+        unique_file_candidate(file_candidates(requests, files), exact_origins).withColumn("bytes", F.col("requested_bytes")),
+        "file-hits",
+    )
     file_nodes = node(
         file_hits,
         synthetic_id(NODE_FILE, "r_id"),
@@ -472,13 +477,13 @@ def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, file
     enriched = origins.join(inferred_paths(origins, files), [*KEY, "node_id"], "left").withColumn(
         "is_inferred", F.col("inferred_path").isNotNull()
     )
-    enriched = enriched.withColumn("path", F.coalesce("path", "inferred_path"))
+    enriched = stage(enriched.withColumn("path", F.coalesce("path", "inferred_path")), "origins")
     origin_rows = node(enriched, F.col("node_id"), "bio", "ts_ns", "ts_ns", F.col("match_type"), 4)
 
     nodes = req_nodes
     for part in (queue_nodes, file_nodes, span_nodes, origin_rows):
         nodes = nodes.unionByName(part)
-    nodes = valid_nodes(nodes.select(*columns))
+    nodes = stage(valid_nodes(nodes.select(*columns)), "nodes")
 
     def edge(df, edge_id, from_id, to_id, relation, confidence, order, inferred=None, incomplete=None) -> DataFrame:
         as_col = lambda v: v if isinstance(v, Column) else F.lit(v)

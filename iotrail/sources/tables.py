@@ -251,6 +251,7 @@ def request_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
             built.append(evidence.build_graphs(reqs, spans(spark, sf_dir), origins, file_syscalls(spark, sf_dir)))
         return built[0]
 
+    # build_graphs stages its nodes itself; only the application-wide copy is made here.
     nodes = staged_once(spark, f"nodes|{sf_dir}", lambda: build()[0])
     edges = staged_once(spark, f"edges|{sf_dir}", lambda: build()[1])
     pairs = staged_once(spark, f"closure|{sf_dir}", lambda: closure(edges))
