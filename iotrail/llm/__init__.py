@@ -1,6 +1,19 @@
 """Operators for training-data pipelines and their registered queries."""
 
-from iotrail.llm import bpe
+import sys
 
-QUERIES = {"op1_bpe": bpe.op1_bpe}
-SQL: dict[str, str] = {}
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from iotrail.llm import bpe, exact_dedup, secrets, sharding, token_files  # noqa: E402
+
+QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_token_files": token_files.op2_token_files,
+    "op5_secrets": secrets.op5_secrets,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_sharding": sharding.op8_sharding,
+}
+SQL = {"op7_exact_dedup": exact_dedup.SQL}

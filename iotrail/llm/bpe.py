@@ -30,6 +30,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Unicode White_Space, as ``\s`` of the split pattern reads it (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
+#: Characters that some libraries count as white; no unit ends after one (fixed values).
+MAYBE_WHITE = "\x1c\x1d\x1e\x1f\u180e\u200b\u2060\ufeff"
+
 NONE = 1 << 62
 
 
@@ -219,14 +222,15 @@ class Encoder:
 
 
 class UnitTexts:
-    """Encodes texts by units that end before a blank after a visible character: no match of the
-    split pattern spans such a place. ``make`` encodes a list of units."""
+    """Encodes texts by units that end before a blank after a visible character: no match of a
+    byte-level split pattern spans such a place. ``make`` encodes a list of units."""
 
     def __init__(self, make, entries: int, block: int = 1 << 21):
         self.spaced = Memo(lambda keys: make([" " + k for k in keys]), entries)
         self.plain = Memo(make, entries)
-        self.coarse = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        self.other_white, self.block = WHITE.replace(" ", ""), block
+        white = WHITE + MAYBE_WHITE
+        self.cut = regex.compile(f"(?<=[^{white}])(?= )")
+        self.other_white, self.block = white.replace(" ", ""), block
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -244,7 +248,8 @@ class UnitTexts:
             units = text.split(" ")
             doubled = "" in units[1:-1] or (len(units) > 1 and not units[0])
             if doubled or any(w in text and any(x[:1] == " " for x in text.split(w)[1:]) for w in self.other_white):
-                units = self.coarse.findall(text)
+                at = [0, *(m.start() for m in self.cut.finditer(text)), len(text)]
+                units = [text[a:b] for a, b in zip(at, at[1:])]
                 plain.update(units)
                 split.append((units, None))
             else:
