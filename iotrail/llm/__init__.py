@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 # Functions travel to the executors by value, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from iotrail.llm import bpe, exact_dedup, language, near_dups, secrets, sharding, token_files  # noqa: E402
+from iotrail.llm import bpe, exact_dedup, language, language_model, near_dups, secrets, sharding, token_files  # noqa: E402
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op6_language": language.op6_language,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_language_model": language_model.op9_language_model,
     "op10_near_dups": near_dups.op10_near_dups,
 }
 SQL = {"op7_exact_dedup": exact_dedup.SQL}

@@ -143,7 +143,7 @@ def encoder(path: str, entries: int = 400_000) -> UnitTexts:
     tokenizer.encode_special_tokens = True
 
     def make(units: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     return UnitTexts(make, entries)
 
@@ -212,7 +212,8 @@ def _read(files: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
 
-    return files.repartition("file").select("file", "base", "places").mapInArrow(run, schema)
+    files = files.select("file", "base", "places")
+    return files.repartition(max(1, files.count())).mapInArrow(run, schema)  # a task a file: few rows, much data
 
 
 def _with_base(index: DataFrame) -> DataFrame:
