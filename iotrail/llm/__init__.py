@@ -7,12 +7,13 @@ from pyspark import cloudpickle
 # Functions travel to the executors by value, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from iotrail.llm import bpe, embedding_dups, exact_dedup, language, language_model, near_dups, secrets, sharding, token_files  # noqa: E402
+from iotrail.llm import bpe, embedding_dups, exact_dedup, language, language_model, near_dups, packing, secrets, sharding, token_files  # noqa: E402
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_token_files": token_files.op2_token_files,
     "op3_embedding_dups": embedding_dups.op3_embedding_dups,
+    "op4_packing": packing.op4_packing,
     "op5_secrets": secrets.op5_secrets,
     "op6_language": language.op6_language,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,

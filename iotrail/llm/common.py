@@ -66,3 +66,25 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, F.Column], longest: F.Column) -> DataFrame:
+    """One row of ``docs`` for each row of ``kept`` (the key columns and ``n_copies``, rows of ``docs`` with that key).
+
+    ``keys`` gives each key as an expression over ``docs``; nulls match nulls. Where rows repeat a key the one of the
+    greatest ``longest`` stays.
+    """
+    names = docs.columns
+    held = docs.withColumns({f"__{k}": x for k, x in keys.items()})
+    wanted = kept.select(*[F.col(k).alias(f"__kept_{k}") for k in keys], "n_copies")
+    on = None
+    for k in keys:
+        same = F.col(f"__{k}").eqNullSafe(F.col(f"__kept_{k}"))
+        on = same if on is None else on & same
+    once = held.join(wanted.filter("n_copies = 1"), on, "left_semi").select(*names)
+    repeated = stage(wanted.filter("n_copies > 1"), "repeated-keys")
+    if repeated.isEmpty():
+        return once
+    row = F.struct(*[F.col(f"`{n}`") for n in names])
+    best = held.join(repeated, on, "left_semi").groupBy(*[f"__{k}" for k in keys]).agg(F.max_by(row, longest).alias("row"))
+    return once.unionByName(best.select("row.*"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from iotrail.llm.common import crc32_of_id, table, texts
 
@@ -172,13 +173,12 @@ def _agreement(sample: DataFrame, model: Model) -> list[tuple[str, np.ndarray, i
     return [(r["lang"], np.array([r[f"b{k}"] for k in range(bits)]), r["total"]) for r in summed.collect()]
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred``, ``lang_score`` and ``lang_ambiguous`` added (columns of those names are replaced).
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", own: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_ambiguous")) -> DataFrame:
+    """All columns of ``docs`` with prediction, score and ambiguity added under the names ``own`` (columns of those names are replaced).
 
     A text that is null or has no letter is ``und`` with score 0 and not ambiguous; without a model all texts are
     ``und``. Only the text decides. One row per row; an empty table gives none.
     """
-    own = ("lang_pred", "lang_score", "lang_ambiguous")
     docs = docs.drop(*own)
     at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model.parts() if model else None)
     names = [*docs.columns, *own]
@@ -195,8 +195,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     lang[i], score[i], close[i] = model.languages[b], s, n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score, pa.float64()), pa.array(close)], names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_ambiguous boolean")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(own, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
+    return docs.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
