@@ -3,10 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from iotrail.llm.common import stage, table
+from iotrail.llm import exact_dedup, language, near_dups, packing, secrets
+from iotrail.llm.common import SPACES, keep_rows, stage, table
 
-STAGES: list = []
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts whose two likeliest languages are too close to tell apart.
+
+    Without labelled rows there is no model; then only texts without a letter go.
+    """
+    model = language.fit(language.training_rows(docs))
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language.predict(docs, model, own=("__lang", "__score", "__close"))
+    return found.filter((F.col("__lang") != "und") & ~F.col("__close")).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of equal texts: the longest, then the smallest id."""
+    listed = exact_dedup.dedup(docs).filter("kept")
+    kept = listed.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n_copies"))
+    flat = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
+    return keep_rows(docs, stage(kept, "kept"), {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(flat.cast("binary"), 256)}, F.length("text"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    listed = near_dups.near_duplicates(docs).filter("kept")
+    kept = listed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_copies"))
+    return keep_rows(docs, stage(kept, "kept"), {"doc_id": F.col("doc_id").cast("long")}, F.length("text"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each secret by its kind; ``n_chars``, where there is one, follows the new text. No row goes."""
+    clean = secrets.redact_documents(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
+    return clean.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("exact", exact_stage),
+    ("near", near_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
 
 #: The language model, the bins and the near copies have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
