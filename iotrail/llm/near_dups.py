@@ -29,7 +29,7 @@ from iotrail.llm.components import components
 #: Likelihood estimates err by 0.025 (one sigma) at 0.8; a pair is dropped unverified only below threshold - SLACK.
 SLACK = 0.13
 BLOCK = 2000
-OFFERS = (2, 16, None)
+OFFERS = (1, 4, None)
 NO_ID = -(1 << 63)
 
 
@@ -84,7 +84,7 @@ def _shared_bands(classes: DataFrame) -> DataFrame:
 
 
 def compare_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, held: np.ndarray, block: np.ndarray, across: bool, band: int, least: float, offers: int | None) -> tuple[list[tuple[int, int]], bool]:
-    """Likely pairs of one band between components, best first per class, and whether ``offers`` held some back.
+    """Likely pairs of one band between components, at most ``offers`` of the best by each class, and whether some were held back.
 
     ``across``: only pairs of different blocks.
     """
@@ -103,11 +103,13 @@ def compare_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, held: np.nda
             found += [(e, i, j) for e, j in zip(likely.tolist(), rest.tolist(), strict=True) if e >= least]
     if offers is None:
         return [(int(rep[i]), int(rep[j])) for _, i, j in found], False
+    _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
+    size = size[which]  # the class of the smaller component offers: members of a large one wait to be found
     given, out, more = np.zeros(len(rep), int), [], False
     for _, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-        if given[i] < offers or given[j] < offers:
-            given[i] += 1
-            given[j] += 1
+        own = i if size[i] <= size[j] else j
+        if given[own] < offers:
+            given[own] += 1
             out.append((int(rep[i]), int(rep[j])))
         else:
             more = True
