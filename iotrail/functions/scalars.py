@@ -141,9 +141,13 @@ def rotate_left(value: Column, bits: int) -> Column:
 
 
 def synthetic_id(tag: int | Column, key) -> Column:
-    """Identifier of a derived node or edge, shared with producers whose edges point at it."""
+    """Identifier of a derived node or edge, shared with producers whose edges point at it.
+
+    Producers use tags of one byte; a wider tag keeps its upper part apart, so no two tags of a request meet.
+    """
     tag_col = F.lit(tag).cast("long") if isinstance(tag, int) else tag.cast("long")
-    return rotate_left(_c(key), 17).bitwiseXOR(F.shiftleft(tag_col, 56)).bitwiseXOR(F.lit(_ID_MIX))
+    wide = F.shiftleft(F.shiftright(tag_col, 8), 24)
+    return rotate_left(_c(key), 17).bitwiseXOR(F.shiftleft(tag_col, 56)).bitwiseXOR(wide).bitwiseXOR(F.lit(_ID_MIX))
 
 
 # Tags of derived identifiers.
@@ -152,6 +156,11 @@ EDGE_QUEUE, EDGE_FILE, EDGE_ORIGIN = 18, 19, 20
 NODE_SPAN_BASE, EDGE_SPAN_BASE, EDGE_UPPER, EDGE_LOWER = 32, 64, 90, 91
 
 
+def span_tag(base: int, index: Column, last: int) -> Column:
+    """Tag of the span at a position: one byte up to ``last``, beyond it a wide tag that no other derived id has."""
+    return F.when(index + base <= last, index + base).otherwise(index + 256)
+
+
 def origin_node_id(request_id, origin_id) -> Column:
     return synthetic_id(NODE_ORIGIN, _c(request_id).bitwiseXOR(rotate_left(_c(origin_id), 7)))
 

@@ -298,7 +298,7 @@ def trace_coverage(matches: DataFrame, left: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "insert").alias("orphan_inserts"),
         F.count_if(F.col("kind") == "requeue").alias("unpaired_requeues"),
     )
-    return done.join(rest, "device_encoded", "left").fillna(0)
+    return done.join(rest, "device_encoded", "full").fillna(0)
 
 
 def trace_timing(events: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def equal_width_edges(df: DataFrame, groups: Sequence[str], value: str, bins: in
         F.count_if(finite).alias("__n"),
         F.count_if(~finite).alias("missing"),
     )
-    count = F.least(F.lit(max(1, min(128, bins))).cast("long"), F.col("__n"))
+    count = F.least(F.lit(max(1, bins)).cast("long"), F.col("__n"))
     count = F.when(F.col("lo") == F.col("hi"), F.lit(1).cast("long")).otherwise(count)
     return (
         stats.filter(F.col("__n") > 0)

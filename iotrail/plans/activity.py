@@ -15,7 +15,6 @@ from iotrail.plans.summary import moved
 
 MIB = 1048576.0
 BURST_GAP_NS = 500_000  # fixed value: a gap of exactly 0.5 ms still joins a burst
-MAX_WINDOWS = 20_000  # fixed value: a series never has more windows than this
 
 
 def device_activity(requests: DataFrame, devices: Sequence[tuple[int, int]] | None = None, by_device: bool = True) -> DataFrame:
@@ -108,7 +107,7 @@ class Windows:
 
     @property
     def width(self) -> int:
-        return max(self.requested_ns, -(-(self.upper - self.lower) // MAX_WINDOWS), 1)
+        return max(self.requested_ns, 1)
 
     @property
     def count(self) -> int:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from iotrail.functions.confidence import from_rank
 from iotrail.functions.scalars import device_label, inode_label
 from iotrail.operators.graph import KEY, NODE_KINDS, critical_path, exclusive_time, kind_durations
-from iotrail.operators.sampling import even_without_ends, indexed
+from iotrail.operators.stats import nearest_rank
 from iotrail.plans.summary import moved
 
 IDENTITY = ["fs_major", "fs_minor", "inode", "generation", "mount"]
@@ -207,29 +206,20 @@ def critical_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> Data
     return critical_path(edges, exclusive_time(nodes, pairs))
 
 
-SAMPLE = 512  # fixed value: cohort rows an explanation compares with
-
-
 def why_slow(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """For every request the stage that took most above its cohort's median.
 
-    Cohort: same operation, access and size class, at least three requests, evenly
-    sampled to 512.  A stage a cohort member does not have counts as zero there.
+    Cohort: same operation, access and size class, at least three requests, all of
+    them.  A stage a cohort member does not have counts as zero there.
     """
     cohort = ["operation", "access_pattern", "size_class"]
     spent = kind_durations(nodes)
-    ready = indexed(requests.select(*KEY, *cohort), cohort, ["seq"], F.shiftright("seq", 20))
-    sampled = ready.filter((F.col("n") >= 3) & even_without_ends(SAMPLE))
-    sizes = sampled.groupBy(*cohort).agg(F.count(F.lit(1)).alias("cohort_samples"))
-    values = sampled.select(*KEY, *cohort).join(spent, KEY)
-    w = Window.partitionBy(*cohort, "kind")
-    ranked = (
-        values.join(sizes, cohort)
-        .withColumn("rn", F.row_number().over(w.orderBy("duration_ns")))
-        .withColumn("present", F.count(F.lit(1)).over(w))
-    )
-    at = F.expr("(50 * cohort_samples + 99) div 100") - (F.col("cohort_samples") - F.col("present"))
-    medians = ranked.groupBy(*cohort, "kind").agg(F.max(F.when(F.col("rn") == at, F.col("duration_ns"))).alias("m"))
+    sizes = requests.groupBy(*cohort).agg(F.count(F.lit(1)).alias("cohort_samples")).filter("cohort_samples >= 3")
+    values = requests.select(*KEY, *cohort).join(spent, KEY).join(sizes, cohort)
+    # The rank among the present values; absent members are the zeros below them.
+    at = F.expr("(50 * cohort_samples + 99) div 100 - (cohort_samples - __total)")
+    medians = nearest_rank(values, [*cohort, "cohort_samples", "kind"], "duration_ns", [50], rank=at)
+    medians = medians.drop("cohort_samples").withColumnRenamed("p50", "m")
     order: Column = F.lit(None).cast("int")
     for i, kind in enumerate(NODE_KINDS):
         order = F.when(F.col("kind") == kind, i).otherwise(order)

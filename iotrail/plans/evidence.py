@@ -21,6 +21,7 @@ from iotrail.functions.scalars import (
     origin_edge_id,
     origin_node_id,
     path_deleted,
+    span_tag,
     synthetic_id,
 )
 from iotrail.operators.graph import KEY, valid_edges, valid_nodes
@@ -467,9 +468,7 @@ def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, file
         .withColumn("index", F.row_number().over(w) - 1)
         .join(own, KEY)
     )
-    # Fixed value: tags are one byte, so span positions beyond it share the last tag.
-    tag = F.least(F.lit(255), F.lit(NODE_SPAN_BASE) + F.col("index"))
-    stack = stack.withColumn("node_id", synthetic_id(tag, "request_id")).filter(tag < 255)
+    stack = stack.withColumn("node_id", synthetic_id(span_tag(NODE_SPAN_BASE, F.col("index"), 254), "request_id"))
     span_nodes = node(
         stack, F.col("node_id"), node_kind(F.col("layer")), "start_ns", F.when(F.col("duration_observed"), F.col("stop_ns")), F.col("name"), 3
     )
@@ -518,7 +517,7 @@ def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, file
     weak = F.col("confidence") == "context_only"
     chain_edges = edge(
         halves.filter(F.col("prior").isNotNull()),
-        synthetic_id(F.least(F.lit(255), F.lit(EDGE_SPAN_BASE) + F.col("index")), "request_id"),
+        synthetic_id(span_tag(EDGE_SPAN_BASE, F.col("index"), EDGE_UPPER - 1), "request_id"),
         F.col("prior"),
         F.col("node_id"),
         F.when(weak, "context_for").otherwise("calls"),

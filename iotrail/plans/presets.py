@@ -59,9 +59,9 @@ def display_points(requests: DataFrame, name: str, origin_ns: int | Column, limi
     return cap_groups(kept, "grp").select("request_id", "x", "y", "grp")
 
 
-def overall(requests: DataFrame, origin_ns: int | Column, limit: int = MAX_POINTS) -> DataFrame:
-    """Address, depth and chunk over time for an operation-quota sample."""
-    kept = operation_quota(requests, ["seq"], F.shiftright("seq", 20), limit)
+def overall(requests: DataFrame, origin_ns: int | Column, limit: int | None = None) -> DataFrame:
+    """Address, depth and chunk over time of every request, or of an operation-quota sample when a limit is given."""
+    kept = requests if limit is None else operation_quota(requests, ["seq"], F.shiftright("seq", 20), limit)
     return kept.select(
         "request_id",
         time_ms(origin_ns).alias("time_ms"),

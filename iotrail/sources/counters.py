@@ -130,13 +130,13 @@ DIAGNOSTIC = (
     "ts_unix_ms long, level string, component string, event string, session_id string, outcome string, code string, "
     "correlation_id string, duration_ms long, count long, detail string"
 )
-# Longest kept text per field.
-LIMITS = {"component": 64, "event": 128, "outcome": 64, "code": 64, "correlation_id": 128, "detail": 4096}
+# Longest kept text of the identifying fields; the detail stays whole.
+LIMITS = {"component": 64, "event": 128, "outcome": 64, "code": 64, "correlation_id": 128}
 _NEEDED = ("ts_unix_ms", "level", "component", "event", "session_id", "outcome", "code")
 
 
 def parse_diagnostics(lines: DataFrame) -> DataFrame:
-    """Diagnostic rows with bounded fields and redacted paths; a bad line becomes a warning row."""
+    """Diagnostic rows with bounded identifiers and redacted paths in a whole detail; a bad line becomes a warning row."""
     d = F.from_json("value", DIAGNOSTIC)
     good: Column = d.isNotNull()
     for name in _NEEDED:

@@ -190,19 +190,19 @@ def reload_window(requests: DataFrame, evidence: DataFrame, lower: int, upper: i
     """Completions of an inclusive window and the evidence they may need.
 
     Requests keep the columns derived from the whole stream.  Evidence comes along
-    by request id, or by time within the reach of the kept requests.
+    by request id, or by time within the reach of the kept requests of its session.
     """
     kept = requests.filter(F.col("complete_ts").between(lower, upper))
-    span = kept.agg(F.min(F.coalesce("insert_ts", "issue_ts")).alias("lo"), F.max("complete_ts").alias("hi"))
+    span = kept.groupBy("session_id").agg(F.min(F.coalesce("insert_ts", "issue_ts")).alias("lo"), F.max("complete_ts").alias("hi"))
     by_id = evidence.join(kept.select("session_id", "request_id").distinct(), ["session_id", "request_id"], "left_semi")
-    by_time = evidence.join(span, F.lit(True)).filter(
+    by_time = evidence.join(span, "session_id").filter(
         (F.col("start_ns") <= F.col("hi") + reach_ns) & (F.col("end_ns") >= F.col("lo") - reach_ns)
     ).drop("lo", "hi")
     return kept, by_id.unionByName(by_time).dropDuplicates(["session_id", "seq"])
 
 
-def raw_context(lines: DataFrame, lifetime: DataFrame, around: int = 3, limit: int = 100) -> DataFrame:
-    """Stored lines of one request lifetime with their neighbours, at most ``limit`` lines.
+def raw_context(lines: DataFrame, lifetime: DataFrame, around: int = 3) -> DataFrame:
+    """Stored lines of one request lifetime with their neighbours, all of them.
 
     ``lifetime`` has one row: session_id, request_id, major, minor, insert_ts, issue_ts, complete_ts.
     """
@@ -227,8 +227,7 @@ def raw_context(lines: DataFrame, lifetime: DataFrame, around: int = 3, limit: i
     marked = hits.select(
         "session_id", F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)).alias("line_no"), F.col("line_no").alias("hit")
     ).groupBy("session_id", "line_no").agg(F.bool_or(F.col("line_no") == F.col("hit")).alias("matched"))
-    shown = lines.select("session_id", "line_no", "value").join(marked, ["session_id", "line_no"])
-    return shown.orderBy("session_id", "line_no").limit(limit)
+    return lines.select("session_id", "line_no", "value").join(marked, ["session_id", "line_no"])
 
 
 # ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from iotrail.operators.correlate import KEY, TTL_NS
@@ -395,10 +396,23 @@ def segments(held: DataFrame) -> DataFrame:
     )
 
 
-def segment_events(events: DataFrame, transitions: DataFrame, before_ns: int = 3_000_000_000, tail_ns: int = 10_000_000_000) -> DataFrame:
-    """Events between 3 s before each deep transition and the end of its cooldown."""
-    deep = transitions.filter("to_state = 'deep'").select(
-        "session_id", F.col("ts_ns").alias("trigger_ns"), (F.col("ts_ns") - before_ns).alias("from_ns"), (F.col("ts_ns") + tail_ns).alias("to_ns")
+def segment_events(events: DataFrame, transitions: DataFrame, before_ns: int = 3_000_000_000) -> DataFrame:
+    """Events between 3 s before each deep transition and the transition that ends the deep phase.
+
+    A deep phase that nothing has ended yet reaches to the last event of its session.
+    """
+    following = F.lead("ts_ns").over(Window.partitionBy("session_id").orderBy("ts_ns"))
+    last = events.groupBy("session_id").agg(F.max("ts_ns").alias("last_ns"))
+    deep = (
+        transitions.withColumn("next_ns", following)
+        .filter("to_state = 'deep'")
+        .join(last, "session_id")
+        .select(
+            "session_id",
+            F.col("ts_ns").alias("trigger_ns"),
+            (F.col("ts_ns") - before_ns).alias("from_ns"),
+            F.greatest(F.col("ts_ns"), F.coalesce("next_ns", "last_ns")).alias("to_ns"),
+        )
     )
     return interval_join(
         events.withColumn("at_end", F.col("ts_ns")), deep, ["session_id"], ("ts_ns", "at_end"), ("from_ns", "to_ns"), 1_000_000_000, left_bounded=True

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -284,3 +285,54 @@ def test_carry_crosses_empty_blocks(spark):
     df = spark.createDataFrame([(1, 0, 10), (1, 500, None), (1, 900, 30), (2, 5, None)], "k long, seq long, v long")
     out = ordered.carry_last(df, ["k"], ["seq"], {"p": F.col("v")}, bucket=F.shiftright("seq", 4)).orderBy("k", "seq").collect()
     assert [r.p for r in out] == [None, 10, 10, None]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+@pytest.mark.parametrize("count", [20, 27, 28, 300])
+def test_many_spans_keep_their_chain(spark, count):
+    from iotrail.plans import evidence
+    from iotrail.sources import tables as T
+
+    spans = T.spans(spark, SF)
+    one = {**spans.first().asDict(), "layer": "vfs"}
+    many = spark.createDataFrame([{**one, "ord": i} for i in range(count)], spans.schema)
+    request = T.evidence_requests(spark, SF).filter((F.col("session_id") == one["session_id"]) & (F.col("seq") == one["seq"]))
+    origins = evidence.origin_nodes(request, T.request_origins(spark, SF).limit(0))
+    nodes, edges = evidence.build_graphs(request, many, origins, T.file_syscalls(spark, SF).limit(0))
+    chain = {r.from_id: (r.to_id, r.relation) for r in edges.collect() if r.relation in ("calls", "context_for", "submits")}
+    at = {r.node_id for r in nodes.filter("kind = 'vfs'").collect()}
+    assert len(at) == count
+    (first,) = at - {to for to, _ in chain.values()}
+    seen = []
+    while first in chain:
+        seen.append(first)
+        first, relation = chain[first]
+    assert len(seen) == count and relation == "submits"
+
+
+def test_histogram_has_the_bins_asked_for(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    assert stats.equal_width_histogram(df, [], "v", 500).count() == 500
+
+
+def test_reload_window_keeps_sessions_apart(spark):
+    requests = spark.createDataFrame(
+        [("a", 1, 10, 90, 95, 100), ("b", 1, 20, 10_000, 10_005, 10_010)],
+        "session_id string, seq long, request_id long, insert_ts long, issue_ts long, complete_ts long",
+    )
+    evidence = spark.createDataFrame(
+        [("a", 1, 7, 95, 95), ("a", 2, 7, 10_001, 10_001), ("b", 3, 7, 95, 95), ("b", 4, 7, 10_001, 10_001)],
+        "session_id string, seq long, request_id long, start_ns long, end_ns long",
+    )
+    _, kept = recording.reload_window(requests, evidence, 0, 20_000, reach_ns=50)
+    assert sorted((r.session_id, r.seq) for r in kept.collect()) == [("a", 1), ("b", 4)]
+
+
+def test_segment_ends_with_its_deep_phase(spark):
+    events = spark.createDataFrame([("s", i, t) for i, t in enumerate([1, 6, 15, 40, 70, 95])], "session_id string, request_id long, ts_ns long")
+    moves = spark.createDataFrame([("s", 10, "deep"), ("s", 40, "cooldown"), ("s", 60, "armed"), ("s", 65, "deep")], "session_id string, ts_ns long, to_state string")
+    got = live.segment_events(events, moves, before_ns=5)
+    assert sorted((r.trigger_ns, r.request_id) for r in got.collect()) == [(10, 1), (10, 2), (10, 3), (65, 4), (65, 5)]

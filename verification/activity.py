@@ -218,7 +218,7 @@ def windows_sql(width: int) -> str:
     return (
         RANGE
         + ALL_BUSY
-        + f""", p AS (SELECT lo, hi, greatest({width}, (hi - lo + 19999) // 20000, 1) AS w FROM rg),
+        + f""", p AS (SELECT lo, hi, greatest({width}, 1) AS w FROM rg),
     n AS (SELECT *, (hi - lo + w - 1) // w AS n FROM p),
     cal AS (SELECT i AS win, lo + i * w AS start_ns, least(lo + (i + 1) * w, hi) AS end_ns FROM n, unnest(generate_series(0, n - 1)) AS u(i)),
     ct AS (SELECT least((complete_ts - lo) // w, n - 1) AS win, count(*) AS n, count(*) FILTER (operation='read') AS n_read,

@@ -276,7 +276,7 @@ def stage_durations(spark, d):
     KINDS
     + """, pos AS (SELECT event_id, operation, access_pattern, size_class, row_number() OVER w - 1 AS ix, count(*) OVER (PARTITION BY operation, access_pattern, size_class) AS n
         FROM io WINDOW w AS (PARTITION BY operation, access_pattern, size_class ORDER BY complete_ts, event_id)),
-    smp AS (SELECT * FROM pos WHERE n >= 3 AND (n <= 512 OR ix IN (SELECT i * n // 512 FROM range(512) t(i)))),
+    smp AS (SELECT * FROM pos WHERE n >= 3),
     cnt AS (SELECT operation, access_pattern, size_class, count(*) AS cohort_samples FROM smp GROUP BY ALL),
     kd AS (SELECT DISTINCT kind FROM nd WHERE kind <> 'uic_context'),
     val AS (SELECT operation, access_pattern, size_class, kd.kind, coalesce(covered, 0) AS v FROM smp CROSS JOIN kd LEFT JOIN uu ON uu.event_id = smp.event_id AND uu.kind = kd.kind),

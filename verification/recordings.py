@@ -412,10 +412,13 @@ def diagnostic_lines(spark, d):
 @add(
     "diagnostic_rows",
     """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'warn' ELSE 'info' END AS level, CASE WHEN doc_id % 7 = 0 THEN 'AGENT_DIAGNOSTIC_INVALID' ELSE left(upper(lang), 64) END AS code,
-      CASE WHEN doc_id % 7 = 0 THEN 'desktop.capture' ELSE left('part.' || source, 64) END AS component FROM documents""",
+      CASE WHEN doc_id % 7 = 0 THEN 'desktop.capture' ELSE left('part.' || source, 64) END AS component,
+      len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) + CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS detail_words FROM documents""",
 )
 def diagnostic_rows(spark, d):
-    return counters.parse_diagnostics(diagnostic_lines(spark, d)).select("doc_id", "level", "code", "component")
+    return counters.parse_diagnostics(diagnostic_lines(spark, d)).select(
+        "doc_id", "level", "code", "component", F.size(F.split("detail", " ")).cast("long").alias("detail_words")
+    )
 
 
 @add("diagnostic_search", """SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND (upper(lang) LIKE '%EN%' OR lower('part.' || source) LIKE '%en%' OR 'text.seen' LIKE '%en%')
@@ -648,11 +651,11 @@ QUOTA = """, oc AS (SELECT operation, count(*) AS n, greatest(1, 3000 * count(*)
 
 @add(
     "overall",
-    QUOTA + f" SELECT request_id, {TIME} AS time_ms, sector::double AS sector, issue_depth::double AS depth, bytes / 1024.0::double AS chunk_kib FROM sm",
+    f" SELECT request_id, {TIME} AS time_ms, sector::double AS sector, issue_depth::double AS depth, bytes / 1024.0::double AS chunk_kib FROM io",
     IO,
 )
 def overall(spark, d):
-    return presets.overall(T.requests(spark, d), origin(spark, d), limit=3000)
+    return presets.overall(T.requests(spark, d), origin(spark, d))
 
 
 @add(

@@ -79,16 +79,14 @@ def stream_stage_pairing(spark, d):
 
 @add(
     "stream_second_aggregates",
-    """ SELECT complete_ts // 1000000000 AS second, count(*) AS completed, cast(sum(bytes) AS bigint) AS bytes FROM io
-      WHERE complete_ts // 1000000000 < (SELECT max(complete_ts) // 1000000000 - 60 FROM io) GROUP BY 1""",
+    """ SELECT complete_ts // 1000000000 AS second, count(*) AS completed, cast(sum(bytes) AS bigint) AS bytes FROM io GROUP BY 1""",
     IO,
 )
 def stream_second_aggregates(spark, d):
-    """Closed seconds only: the last minute may still be open when the stream pauses."""
+    """Every second, the open ones too: each batch writes a complete snapshot and the last one counts."""
     io = T.requests(spark, d)
-    out = drain(spark, live.second_aggregates(chunked(spark, io, "complete_ts", "io")), "seconds")
-    last = io.agg((F.expr("max(complete_ts) div 1000000000") - 60).alias("last"))
-    return out.join(last, F.lit(True)).filter("second < last").select("second", "completed", "bytes")
+    out = drain(spark, live.second_aggregates(chunked(spark, io, "complete_ts", "io")), "seconds", mode="complete")
+    return live.latest_snapshot(out).select("second", "completed", "bytes")
 
 
 @add(
@@ -222,7 +220,9 @@ def flight_recorder_segments(spark, d):
 
 @add(
     "segment_events",
-    TRIGGER + """ SELECT t.ts_ns AS trigger_ns, event_id AS request_id FROM tx t JOIN req ON complete_ts BETWEEN ts_ns - 3000000000 AND ts_ns + 10000000000 WHERE to_state = 'deep'""",
+    TRIGGER
+    + """, nx AS (SELECT *, coalesce(lead(ts_ns) OVER (ORDER BY ts_ns), (SELECT max(complete_ts) FROM req)) AS until_ns FROM tx)
+    SELECT t.ts_ns AS trigger_ns, event_id AS request_id FROM nx t JOIN req ON complete_ts BETWEEN ts_ns - 3000000000 AND until_ns WHERE to_state = 'deep'""",
     REC,
 )
 def segment_events(spark, d):
