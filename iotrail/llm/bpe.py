@@ -205,7 +205,7 @@ class Memo:
 class Encoder:
     """Encodes texts as the split pattern and the ranks say, without special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = 250_000):
         self.trees = Trees(ranks)
         self.split = regex.compile(pattern.replace(r"\s", "<W>").replace("[^<W>", f"[^{WHITE}").replace("<W>", f"[{WHITE}]").replace(r"(?!\S)", f"(?![^{WHITE}])"))
         self.pieces = Memo(lambda keys: self.trees.merge([k.encode() for k in keys]), entries)
