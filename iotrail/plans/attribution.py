@@ -93,7 +93,7 @@ def path_coverage(classes: DataFrame, counters: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("origin_count") > 1, F.col("bytes"))), F.lit(0)).alias("multi_origin_bytes"),
     )
     return (
-        agg.join(counters.select("issued", "completed", "uncorrelated"), F.lit(True))
+        agg.join(counters.agg(*[F.sum(c).alias(c) for c in ("issued", "completed", "uncorrelated")]), F.lit(True))
         .withColumn("unresolved_count", F.col("unresolved_count") + F.col("uncorrelated"))
         .withColumn("unmatched_completions", F.col("uncorrelated"))
         .withColumn("issues_without_completion", F.greatest(F.col("issued") - F.col("completed"), F.lit(0).cast("long")))

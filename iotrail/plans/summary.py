@@ -69,7 +69,8 @@ def session_summary(requests: DataFrame, counters: DataFrame | None = None) -> D
         .drop("first_ns", "last_ns")
     )
     if counters is not None:
-        out = out.join(counters.select("issued", "uncorrelated"), F.lit(True))
+        # One row per session; the summary covers all of them.
+        out = out.join(counters.agg(F.sum("issued").alias("issued"), F.sum("uncorrelated").alias("uncorrelated")), F.lit(True))
     return out
 
 

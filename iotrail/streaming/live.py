@@ -332,31 +332,41 @@ def trigger_transitions(windows: DataFrame, policy: TriggerPolicy) -> DataFrame:
 
 
 def live_trigger(windows: DataFrame, policy: TriggerPolicy) -> DataFrame:
-    """The same machine on a stream of windows; an armed session with no windows times out."""
+    """The same machine on a stream of windows.
+
+    Armed, deep and cooldown end at their time limit when windows stop; such a row carries the last observed value.
+    """
+    ends = {
+        "armed": ("basic", policy.arming_timeout_ns, "arming_timeout"),
+        "deep": ("cooldown", policy.deep_ns, "deep_budget_elapsed"),
+        "cooldown": ("basic", policy.cooldown_ns, "cooldown_elapsed"),
+    }
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get if state.exists else ("basic", 0, 0)
+        *current, observed = state.get if state.exists else ("basic", 0, 0, 0)
         out = []
         if state.hasTimedOut:
-            if current[0] == "armed":
-                ts = current[1] + policy.arming_timeout_ns
-                out.append((*key, ts, "armed", "basic", None, 0, "arming_timeout"))
-                current = ("basic", ts, 0)
+            name, entered, streak = current
+            to, limit, reason = ends[name]
+            streak = 0 if name == "armed" else streak
+            out.append((*key, entered + limit, name, to, observed, streak, reason))
+            current = (to, entered + limit, streak)
         else:
             for r in pd.concat(list(batches)).sort_values("ts_ns").itertuples(index=False):
-                current, moved_to = _advance(policy, current, int(r.ts_ns), int(r.observed))
+                observed = int(r.observed)
+                current, moved_to = _advance(policy, tuple(current), int(r.ts_ns), observed)
                 if moved_to:
                     out.append((*key, *moved_to))
-        state.update(current)
-        if current[0] == "armed":
-            limit = (current[1] + policy.arming_timeout_ns) // 1_000_000 + 1
+        state.update((*current, observed))
+        if current[0] in ends:
+            limit = (current[1] + ends[current[0]][1]) // 1_000_000 + 1
             state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
         frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _TRANSITION.split(", ")])
         yield frame.astype({"observed": "Int64"})
 
     timed = windows.withColumn("event_time", event_time()).withWatermark("event_time", "1 minute")
     return timed.groupBy("session_id").applyInPandasWithState(
-        step, _TRANSITION, "name string, entered long, streak long", "append", GroupStateTimeout.EventTimeTimeout
+        step, _TRANSITION, "name string, entered long, streak long, observed long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

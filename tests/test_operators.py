@@ -336,3 +336,26 @@ def test_segment_ends_with_its_deep_phase(spark):
     moves = spark.createDataFrame([("s", 10, "deep"), ("s", 40, "cooldown"), ("s", 60, "armed"), ("s", 65, "deep")], "session_id string, ts_ns long, to_state string")
     got = live.segment_events(events, moves, before_ns=5)
     assert sorted((r.trigger_ns, r.request_id) for r in got.collect()) == [(10, 1), (10, 2), (10, 3), (65, 4), (65, 5)]
+
+
+def test_a_session_without_windows_times_out(spark, tmp_path):
+    """Windows of session a stop while armed, of b while deep; session c moves the clock on."""
+    second = 1_000_000_000
+    first = [("a", 10, 9), ("b", 10, 9), ("b", 20, 12), ("c", 10, 0)]
+    later = [("c", 400, 0)], [("c", 401, 0)], [("c", 900, 0)], [("c", 901, 0)]
+    schema = "session_id string, ts_ns long, observed long"
+    for i, rows in enumerate([first, *later]):
+        frame = spark.createDataFrame([(s, t * second, v) for s, t, v in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    policy = live.TriggerPolicy("r", 6, 2, 20 * second, 30 * second, 50 * second)
+    out = live.run_to_table(live.live_trigger(stream, policy), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted((r.session_id, r.ts_ns // second, r.from_state, r.to_state, r.observed, r.reason) for r in out.collect())
+    assert got == [
+        ("a", 10, "basic", "armed", 9, "threshold_observed"),
+        ("a", 60, "armed", "basic", 9, "arming_timeout"),
+        ("b", 10, "basic", "armed", 9, "threshold_observed"),
+        ("b", 20, "armed", "deep", 12, "consecutive_threshold_exceeded"),
+        ("b", 40, "deep", "cooldown", 12, "deep_budget_elapsed"),
+        ("b", 70, "cooldown", "basic", 12, "cooldown_elapsed"),
+    ]

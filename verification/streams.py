@@ -194,9 +194,7 @@ def trigger_transitions(spark, d):
 
 @add("stream_trigger", TRIGGER + " SELECT * FROM tx", REC)
 def stream_trigger(spark, d):
-    # Windows never stop arriving here, so the arming time limit is set out of reach.
-    policy = live.TriggerPolicy(POLICY.rule, 6, 2, POLICY.deep_ns, POLICY.cooldown_ns, 1 << 60)
-    out = drain(spark, live.live_trigger(chunked(spark, trigger_windows(spark, d), "ts_ns", "windows"), policy), "transitions")
+    out = drain(spark, live.live_trigger(chunked(spark, trigger_windows(spark, d), "ts_ns", "windows"), POLICY), "transitions")
     return out.select("ts_ns", "from_state", "to_state", "observed", "consecutive", "reason")
 
 
