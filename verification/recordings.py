@@ -14,6 +14,7 @@ from iotrail.plans import compare, presets, summary
 from iotrail.sources import counters, exports, recording
 from iotrail.sources import tables as T
 from iotrail.session import staged_once, workspace
+from iotrail.streaming import live
 from verification.base import EV, IO, Suite
 from verification.cohorts import ORIGIN, origin
 from verification.graphs import EVIDENCE, LABELS, labelled
@@ -119,6 +120,39 @@ def recording_integrity(spark, d):
     EV,
 )
 def recording_integrity_with_footer(spark, d):
+    out = recording.integrity(footed_lines(spark, d))
+    return out.select(F.col("session_id").cast("long").alias("minor"), "accepted_events", "integrity_ok")
+
+
+@add("closed_sessions", " SELECT minor, minor <> 3 AS closed FROM req GROUP BY 1", EV)
+def closed_sessions(spark, d):
+    """A session is closed by its footer; the one without a footer is still partial."""
+    return live.closed_sessions(footed_lines(spark, d)).select(F.col("session_id").cast("long").alias("minor"), "closed")
+
+
+@add("deleted_paths", f" SELECT event_id, k % 3 = 0 AS deleted FROM req", EV)
+def deleted_paths(spark, d):
+    """The kernel's mark of an unlinked file at the end of a path."""
+    path = F.concat(F.lit("/data/f"), F.col("request_id").cast("string"), F.when(F.col("address") % 3 == 0, F.lit(" (deleted)")).otherwise(F.lit("")))
+    io = T.requests(spark, d).withColumn("address", F.expr("sector div 8"))
+    return io.select(F.col("request_id").alias("event_id"), scalars.path_deleted(path).alias("deleted"))
+
+
+@add(
+    "sector_overlap",
+    """ SELECT a.event_id, CASE WHEN a.k % 7 = 0 OR b.k % 7 = 0 THEN a.sector = b.sector ELSE a.sector < b.sector + b.sectors AND b.sector < a.sector + a.sectors END AS overlaps
+      FROM req a JOIN req b ON b.event_id = a.event_id + 1""",
+    EV,
+)
+def sector_overlap(spark, d):
+    """Each request against the next one; every seventh address has an unknown length."""
+    known = F.when(F.expr("sector div 8") % 7 == 0, F.lit(0)).otherwise(F.col("sectors"))
+    io = T.requests(spark, d).select("request_id", "sector", known.alias("sectors"))
+    after = io.select((F.col("request_id") - 1).alias("request_id"), F.col("sector").alias("b_sector"), F.col("sectors").alias("b_sectors"))
+    return io.join(after, "request_id").select(F.col("request_id").alias("event_id"), scalars.ranges_overlap("sector", "sectors", "b_sector", "b_sectors").alias("overlaps"))
+
+
+def footed_lines(spark, d):
     """Four sessions, one per device: correct footer, wrong footer, dropped events counted, no footer."""
     blocks = T.block_events(spark, d).filter("kind = 'issue'").withColumnsRenamed({"major": "device_major", "minor": "device_minor"})
     base = ["ts_ns", "request_id", "device_major", "device_minor", "sector", "sectors", "bytes", "operation", "pid", "tid", "cpu", "comm"]
@@ -132,8 +166,7 @@ def recording_integrity_with_footer(spark, d):
     raw = body.unionByName(foot).select(
         "value", F.col("minor").cast("string").alias("session_id"), F.col("__seq").alias("line_no")
     )
-    out = recording.integrity(recording.classify_lines(raw))
-    return out.select(F.col("session_id").cast("long").alias("minor"), "accepted_events", "integrity_ok")
+    return recording.classify_lines(raw)
 
 
 @add(
