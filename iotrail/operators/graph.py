@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from iotrail.functions.confidence import rank
 from iotrail.operators.intervals import merge_small
-from iotrail.session import stage
+from iotrail.session import release, stage
 
 KEY = ["session_id", "seq"]
 
@@ -110,9 +110,11 @@ def closure(edges: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
         longer = left.join(right, [*key, "__mid"]).select(
             *key, "from_id", "to_id", F.least("__a", "__b").alias("strength")
         )
+        before = pairs
         pairs = stage(
             pairs.unionByName(longer).groupBy(*key, "from_id", "to_id").agg(F.max("strength").alias("strength")), "closure"
         )
+        release(before)
         now = pairs.agg(F.count(F.lit(1)), F.sum("strength")).first()
         if now == seen:
             return pairs
@@ -196,7 +198,9 @@ def critical_path(edges: DataFrame, exclusive: DataFrame, key: Sequence[str] = K
             (F.col("hops") + F.col("h2") + 1).alias("hops"),
             F.concat("path", F.slice("p2", 2, F.size("p2") - 1)).alias("path"),
         )
+        before = paths
         paths = stage(best(paths.unionByName(joined)), "paths")
+        release(before)
         now = paths.agg(F.count(F.lit(1)), F.sum("cost"), F.sum("hops")).first()
         if now == seen:
             break

@@ -40,7 +40,8 @@ def workspace(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to shared storage before staging tables")
     application = spark.sparkContext.applicationId
     if application not in _local_folders:
@@ -58,7 +59,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(workspace(spark), f"{name}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Remove a staged table that a later generation has replaced."""
+    path = getattr(staged, "_staged_path", None)
+    if path:
+        target = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def staged_once(spark: SparkSession, key: str, build) -> DataFrame:
