@@ -21,4 +21,8 @@ QUERIES = {
     "op9_language_model": language_model.op9_language_model,
     "op10_near_dups": near_dups.op10_near_dups,
 }
-SQL = {"op7_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op3_embedding_dups": embedding_dups.SQL,
+    "op7_exact_dedup": exact_dedup.SQL,
+    "op10_near_dups": near_dups.SQL,
+}

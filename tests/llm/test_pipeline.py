@@ -1,3 +1,6 @@
+import os
+
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -28,3 +31,19 @@ def test_empty_table(spark, nothing):
     for _, step in corpus_pipeline.STAGES:
         rows = step(spark, rows, "")
     assert rows.count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+@pytest.mark.parametrize("name", ["op3_embedding_dups", "op7_exact_dedup", "op10_near_dups"])
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    rows = entry.queries()[name](spark, SF)
+    cursor = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(rows.columns)
+    assert sorted(map(tuple, rows.select(*names).collect())) == sorted(map(tuple, cursor.fetchall()))
