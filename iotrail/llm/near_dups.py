@@ -197,7 +197,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     listed = stage(sketches(rows, k), "sketches")
     classes = stage(listed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("registers").alias("registers")), "classes")
     buckets = stage(_shared_bands(classes), "bands").withColumn("comp", F.col("rep"))
-    links: list[DataFrame] = []
+    found = None
     for limit in offers:
         size = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         members = (
@@ -212,12 +212,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         pairs = offered.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
         sets = stage(_sets(rows.join(asked, "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), k), "sets")
-        links.append(stage(_verified(pairs, sets, percent), "links"))
+        links = stage(_verified(pairs, sets, percent), "links")
         drop_staged(sets)
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        found = components(edges)
+        # What earlier rounds joined goes on as one edge per node.
+        found = components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         more = offered.filter("more").select("key").distinct()
         if limit is None or more.isEmpty():
             break

@@ -50,7 +50,8 @@ def test_empty_tables(nothing, spark):
     assert embedding_dups.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [250_000, 7])
+def test_components(spark, chunk):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)] + [(7, 7), (500, 501), (501, 500)]
     parent = {x: x for e in edges for x in e}
@@ -63,7 +64,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), chunk).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert {x: got.get(x, x) for x in linked} == {x: root(x) for x in linked}
 
