@@ -219,7 +219,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         more = offered.filter("more").select("key").distinct()
         if limit is None or more.isEmpty():
             break
-        buckets = buckets.drop("comp").join(more, "key", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+        joined = buckets.drop("comp").join(more, "key", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        buckets = stage(joined.withColumn("comp", F.coalesce("root", "rep")).drop("root"), "bands")
     return _labelled(listed, classes, found)
 
 
