@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iotrail.llm.common import pick, texts, tokenizer_file
+from iotrail.llm.common import pick, slices, texts, tokenizer_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -274,7 +274,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for batch in slices(batches):
             encoder = encoder or Encoder(load_ranks(path), pattern)
             parts = encoder.encode(texts(batch.column(1)))
             offsets = np.zeros(len(parts) + 1, np.int32)
@@ -292,7 +292,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[bytes] = []
-        for batch in batches:
+        for batch in slices(batches):
             if not tokens:
                 ranks = load_ranks(path)
                 tokens = [b""] * (1 + max(ranks.values()))

@@ -57,6 +57,13 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def slices(batches, rows: int = 1000):
+    """The same rows in smaller batches, to bound what a task holds in Python at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def crc32_of_id(column) -> F.Column:
     """Unsigned crc32 of an id written in decimal, the key of the hold-out folds."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))

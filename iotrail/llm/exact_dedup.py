@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm.common import SPACES, drop_staged, pick, stage, table, text_bytes
+from iotrail.llm.common import SPACES, pick, slices, stage, table, text_bytes
 
 WINDOW, MASK_BITS = 32, 10
 SHORTEST, LONGEST = 256, 8192
@@ -68,7 +68,7 @@ def recipes(df: DataFrame, seed: int, bits: int = 64) -> DataFrame:
     """``(doc_id, n_points, text_sha256, recipe)`` of each row of ``(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = text_bytes(batch.column(1))
             points = [len(x) if x.isascii() else len(x.decode()) for x in raw]
             flat = [normalised(x) for x in raw]
@@ -85,7 +85,7 @@ def chunk_table(df: DataFrame, seed: int, bits: int = 64, remember: int = 200_00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             new: dict[bytes, bytes] = {}
             for text in text_bytes(batch.column(1)):
                 for part in chunks(normalised(text)):

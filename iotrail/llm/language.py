@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from iotrail.llm.common import crc32_of_id, table, texts
+from iotrail.llm.common import crc32_of_id, slices, table, texts
 
 CELLS = 1 << 16
 #: Most languages learned (the most frequent), and training rows per language that weigh the bits.
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", own: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value) if shared.value else None
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(at).to_pylist()
             lang, score, close = ["und"] * len(rows), [0.0] * len(rows), [False] * len(rows)
             some = [i for i, x in enumerate(rows) if model and x and LETTER.search(x)]

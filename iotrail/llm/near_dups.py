@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iotrail.llm import sketch as S
-from iotrail.llm.common import drop_staged, stage, table, text_bytes
+from iotrail.llm.common import drop_staged, slices, stage, table, text_bytes
 from iotrail.llm.components import components
 
 #: Likelihood estimates err by 0.025 (one sigma) at 0.8; a pair is dropped unverified only below threshold - SLACK.
@@ -37,7 +37,7 @@ def sketches(rows: DataFrame, k: int) -> DataFrame:
     """``(doc_id, n, digest, registers)`` of each row of ``(doc_id, text)``; registers are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = S.shingle_sets(text_bytes(batch.column(1)), k)
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             held = [S.registers(x).tobytes() if len(x) else None for x in sets]
@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(u, v)`` of the pairs whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y = batch.column(2), batch.column(3)
             keep = []
             for i in range(batch.num_rows):
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [x.view(np.int64) for x in S.shingle_sets(text_bytes(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 

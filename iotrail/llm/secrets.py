@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrail.llm.common import pick, table, texts
+from iotrail.llm.common import pick, slices, table, texts
 
 #: Base patterns and shortest lengths (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -172,7 +172,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in scan(text)] for text in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
@@ -194,7 +194,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             clean = [None if x is None else redact(x, scan(x)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(clean, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], names)
 

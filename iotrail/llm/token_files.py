@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from iotrail.llm.bpe import UnitTexts
-from iotrail.llm.common import fresh_folder, pick, table, texts, tokenizer_file
+from iotrail.llm.common import fresh_folder, slices, table, texts, tokenizer_file
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -165,9 +165,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
         name = f"part-{shard:06d}.tokens.zst"
         partial = f"{base}/.{name}.{uuid.uuid4().hex}"
         units, writer, place, out = None, None, 0, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches):
             if writer is None:
                 units = encoder(path)
                 fs.create_dir(base, recursive=True)
