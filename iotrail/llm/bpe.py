@@ -8,13 +8,14 @@ costs O(n log n) whatever its length. Pieces of like length run side by side: th
 the columns of one numpy array and take their next merge together. Long pieces get a tree of
 their own.
 
-Text reaches the trees through two memos of fixed size per task, by blank-separated unit and by
+Text reaches the trees through two memos of fixed size per worker, by blank-separated unit and by
 piece, so a frequent piece is merged once. Memos hold results only; forgetting them costs time.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iotrail.llm.common import pick, slices, texts, tokenizer_file
+from iotrail.llm.common import per_process, pick, slices, texts, tokenizer_file
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -203,22 +204,37 @@ class Memo:
 
 
 class Encoder:
-    """Encodes texts as the split pattern and the ranks say, without special tokens."""
+    """Encodes texts piece by piece of the split pattern; ``merge`` gives the ids of a list of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = 250_000):
-        self.trees = Trees(ranks)
+    def __init__(self, merge, pattern: str, units: int = 350_000, pieces: int = 300_000, whole: regex.Pattern | None = None):
+        self.whole = whole  # a unit in which this is found is one piece
         self.split = regex.compile(pattern.replace(r"\s", "<W>").replace("[^<W>", f"[^{WHITE}").replace("<W>", f"[{WHITE}]").replace(r"(?!\S)", f"(?![^{WHITE}])"))
-        self.pieces = Memo(lambda keys: self.trees.merge([k.encode() for k in keys]), entries)
-        self.units = UnitTexts(self._units, entries)
+        self.pieces = Memo(merge, pieces)
+        self.units = UnitTexts(self._units, units)
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int], pattern: str, **sizes: int) -> Encoder:
+        """Merges over segment trees, without special tokens."""
+        trees = Trees(ranks)
+        return cls(lambda pieces: trees.merge([p.encode() for p in pieces]), pattern, **sizes)
 
     def _units(self, units: list[str]) -> list[bytes]:
-        split = [self.split.findall(unit) for unit in units]
+        if self.whole and self.whole.search("".join(units)):
+            split = [[unit] if self.whole.search(unit) else self.split.findall(unit) for unit in units]
+        else:
+            split = [self.split.findall(unit) for unit in units]
         ids = self.pieces.get({p for x in split for p in x})
         return [b"".join([ids[p] for p in x]) for x in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
-        return self.units.encode(texts)
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles; scanning the memos for them takes a third of the time
+        try:
+            return self.units.encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
 
 
 class UnitTexts:
@@ -273,9 +289,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     rows = pick(df, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = per_process(("encoder", path, pattern), lambda: Encoder.of_ranks(load_ranks(path), pattern))
         for batch in slices(batches):
-            encoder = encoder or Encoder(load_ranks(path), pattern)
             parts = encoder.encode(texts(batch.column(1)))
             offsets = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in parts], out=offsets[1:])

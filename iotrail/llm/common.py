@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
 
 import pyarrow as pa
@@ -57,6 +59,17 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def per_process(key: tuple, make):
+    """``make()`` once in each Python worker process: what tasks of one worker share, such as memos of bounded size.
+
+    Functions arrive by value with globals of their own, so the value is kept in a module of the process.
+    """
+    held = sys.modules.setdefault("_iotrail_worker_state", types.ModuleType("_iotrail_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def slices(batches, rows: int = 1000):
     """The same rows in smaller batches, to bound what a task holds in Python at once."""
     for batch in batches:

@@ -22,14 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from iotrail.llm.bpe import UnitTexts
-from iotrail.llm.common import fresh_folder, slices, table, texts, tokenizer_file
+from iotrail.llm.bpe import MAYBE_WHITE, Encoder
+from iotrail.llm.common import fresh_folder, per_process, slices, table, texts, tokenizer_file
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -134,18 +135,26 @@ class FrameReader:
             yield place, raw[stop - int(sizes[place]) : stop]
 
 
-def encoder(path: str, entries: int = 400_000) -> UnitTexts:
-    """Whole-text encoder of a tokenizer file; units are encoded by the library, special strings as text."""
+#: Characters on which the library's split may differ from the pattern; units with one go to it whole.
+DOUBTFUL = regex.compile(f"[{MAYBE_WHITE}\x85]")
+
+
+def encoder(path: str, **sizes: int) -> Encoder:
+    """Whole-text encoder of a tokenizer file; the library encodes each new piece, special strings as text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
     def make(units: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        out = []
+        for start in range(0, len(units), 10_000):
+            out += [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in tokenizer.encode_batch_fast(units[start : start + 10_000], add_special_tokens=False))]
+        return out
 
-    return UnitTexts(make, entries)
+    return Encoder(make, public_tokenizers.PATTERN, **sizes, whole=DOUBTFUL)
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -167,7 +176,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
         units, writer, place, out = None, None, 0, None
         for batch in slices(batches):
             if writer is None:
-                units = encoder(path)
+                units = per_process(("units", path), lambda: encoder(path))
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(partial)
                 writer = FrameWriter(out)

@@ -32,7 +32,7 @@ def random_texts(n, seed):
 
 def test_encoder_equals_the_library(ranks, reference):
     texts = [*random_texts(4000, 1), "ab" * 5000, "x" * 3000, "Hello   world\n\n  it's"]
-    got = bpe.Encoder(ranks, P.PATTERN, entries=500).encode(texts)
+    got = bpe.Encoder.of_ranks(ranks, P.PATTERN, units=200, pieces=300).encode(texts)
     assert [np.frombuffer(x, np.int32).tolist() for x in got] == [reference.encode_ordinary(x) for x in texts]
 
 
