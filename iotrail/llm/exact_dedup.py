@@ -80,7 +80,7 @@ def recipes(df: DataFrame, seed: int, bits: int = 64) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {kind}, n_points long, text_sha256 string, recipe array<long>")
 
 
-def chunk_table(df: DataFrame, seed: int, bits: int = 64, remember: int = 200_000) -> DataFrame:
+def chunk_table(df: DataFrame, seed: int, bits: int = 64, remember: int = 100_000) -> DataFrame:
     """``(name, content)``: the chunks of each task, once while its memory of names lasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,7 +75,7 @@ class Model:
         start = size = 0
         for i, text in enumerate(batch):
             size += len(text)
-            if size >= 1 << 19 or i + 1 == len(batch):
+            if size >= 1 << 17 or i + 1 == len(batch):
                 two, three, starts = grams(batch[start : i + 1])
                 votes = self.odds[two] + self.odds[three]
                 lengths = np.diff([*starts, len(two) + 1]) - 1
@@ -100,15 +100,15 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 200):
             of: dict[str, list[str]] = {}
             for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 of.setdefault(lang, []).append(text)
             for lang, own in of.items():
                 have = totals.setdefault(lang, np.zeros(2 * CELLS, np.int64))
-                for start in range(0, len(own), 256):
-                    two, three, _ = grams(own[start : start + 256])
-                    have += np.bincount(np.concatenate([two, three]), minlength=2 * CELLS)
+                for start in range(0, len(own), 20):
+                    for cells in grams(own[start : start + 20])[:2]:
+                        have += np.bincount(cells, minlength=2 * CELLS)
             if len(totals) > 32:
                 yield from emit(totals)
                 totals = {}

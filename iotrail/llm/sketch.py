@@ -63,7 +63,7 @@ def shingle_sets(batch: list[bytes], k: int) -> list[np.ndarray]:
     start = size = 0
     for i, text in enumerate(batch):
         size += len(text)
-        if size >= 1 << 20 or i + 1 == len(batch):
+        if size >= 1 << 18 or i + 1 == len(batch):
             out += _block(batch[start : i + 1], k)
             start, size = i + 1, 0
     return out
