@@ -8,8 +8,9 @@
    registers. A pair is looked at only in the first band that it shares. Bands over ``BLOCK`` classes are cut into
    blocks, and pairs of blocks are separate groups, so no group outgrows a task.
 4. Candidates are verified on the whole sets and joined to components. First each class offers its best
-   ``OFFERS[0]`` candidates, then more, at last all that still lie between two components: every likely pair is
-   either verified or already inside one component, and a large group of copies costs a few links a member.
+   ``OFFERS[0]`` candidates, then more; at last the classes of the bands still open bring their sets, and all likely
+   pairs between two components are verified in place. Every likely pair is either verified or already inside one
+   component, and a large group of copies passes on a few pairs a member.
 """
 
 from __future__ import annotations
@@ -83,10 +84,11 @@ def _shared_bands(classes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, keyed.schema)
 
 
-def compare_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, held: np.ndarray, block: np.ndarray, across: bool, band: int, least: float, offers: int | None) -> tuple[list[tuple[int, int]], bool]:
+def compare_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, held: np.ndarray, block: np.ndarray, across: bool, band: int, least: float, offers: int | None, linked=None) -> tuple[list[tuple[int, int]], bool]:
     """Likely pairs of one band between components, at most ``offers`` of the best by each class, and whether some were held back.
 
-    ``across``: only pairs of different blocks.
+    ``across``: only pairs of different blocks. Without a limit ``linked(i, j)`` verifies in place and only links come
+    back, none inside what earlier ones have joined.
     """
     keys = np.stack([S.bands(x) for x in held])
     found: list[tuple[float, int, int]] = []
@@ -102,7 +104,20 @@ def compare_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, held: np.nda
             likely = S.jaccard_likelihood(np.repeat(held[i : i + 1], len(rest), 0), held[rest], np.full(len(rest), float(n[i])), n[rest].astype(float))
             found += [(e, i, j) for e, j in zip(likely.tolist(), rest.tolist(), strict=True) if e >= least]
     if offers is None:
-        return [(int(rep[i]), int(rep[j])) for _, i, j in found], False
+        parent = {int(c): int(c) for c in comp}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for _, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y and linked(i, j):
+                parent[max(x, y)] = min(x, y)
+                links.append((int(rep[i]), int(rep[j])))
+        return links, False
     _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
     size = size[which]  # the class of the smaller component offers: members of a large one wait to be found
     given, out, more = np.zeros(len(rep), int), [], False
@@ -116,10 +131,13 @@ def compare_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, held: np.nda
     return out, more
 
 
-def _candidates(members: DataFrame, least: float, offers: int | None) -> DataFrame:
-    """``(a, b, key, more)``: likely pairs of each band group; a row without a pair says that the band has more."""
+def _candidates(members: DataFrame, least: float, offers: int | None, percent: int) -> DataFrame:
+    """``(a, b, key, more)``: likely pairs of each band group; a row without a pair says that the band has more.
+
+    Without a limit ``members`` carry their sets and the pairs are verified links.
+    """
     schema = "a long, b long, key long, more boolean"
-    names = ["key", "first", "second", "own", "band", "rep", "comp", "n", "registers"]
+    names = ["key", "first", "second", "own", "band", "rep", "comp", "n", "registers", *(["shingles"] if offers is None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_over = None
@@ -140,12 +158,14 @@ def _candidates(members: DataFrame, least: float, offers: int | None) -> DataFra
         return [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist()]
 
     def groups(part: pa.Table, starts: list[int]) -> pa.RecordBatch:
-        key, first, second, own, band, rep, comp, n = (part.column(c).to_numpy() for c in names[:-1])
+        key, first, second, own, band, rep, comp, n = (part.column(c).to_numpy() for c in names[:8])
+        sets = part.column("shingles").combine_chunks() if offers is None else None
         held = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint8).reshape(part.num_rows, -1)
         rows: list[tuple] = []
         for a, b in zip(starts, [*starts[1:], part.num_rows]):
             if b - a > 1:
-                pairs, more = compare_group(rep[a:b], comp[a:b], n[a:b], held[a:b], own[a:b], first[a] != second[a], int(band[a]), least, offers)
+                linked = (lambda i, j, a=a: similar(sets[a + i].values.to_numpy(), sets[a + j].values.to_numpy(), percent)) if offers is None else None
+                pairs, more = compare_group(rep[a:b], comp[a:b], n[a:b], held[a:b], own[a:b], first[a] != second[a], int(band[a]), least, offers, linked)
                 rows += [(x, y, int(key[a]), False) for x, y in pairs]
                 if more:
                     rows.append((None, None, int(key[a]), True))
@@ -156,17 +176,18 @@ def _candidates(members: DataFrame, least: float, offers: int | None) -> DataFra
     return dealt.mapInArrow(run, schema)
 
 
+def similar(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(first, second, assume_unique=True))
+    return 100 * common >= percent * (len(first) + len(second) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(u, v)`` of the pairs whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, y = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                first, second = x[i].values.to_numpy(), y[i].values.to_numpy()
-                common = len(np.intersect1d(first, second, assume_unique=True))
-                keep.append(100 * common >= percent * (len(first) + len(second) - common))
+            keep = [similar(x[i].values.to_numpy(), y[i].values.to_numpy(), percent) for i in range(batch.num_rows)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
@@ -184,6 +205,12 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "rep long, shingles array<long>")
 
 
+def _asked_sets(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Sets of the asked documents, once for each text of an id."""
+    own = rows.join(asked, "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    return _sets(own.select("doc_id", "text"), k)
+
+
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, offers: tuple = OFFERS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``df``.
 
@@ -208,12 +235,18 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
             .withColumn("first", F.least("own", "other"))
             .withColumn("second", F.greatest("own", "other"))
         )
-        offered = stage(_candidates(members, least, limit), "candidates")
+        if limit is None:
+            asked = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "asked")
+            members = members.join(_asked_sets(rows, asked, k), "rep")
+        offered = stage(_candidates(members, least, limit, percent), "candidates")
         pairs = offered.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-        sets = stage(_sets(rows.join(asked, "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), k), "sets")
-        links = stage(_verified(pairs, sets, percent), "links")
-        drop_staged(sets)
+        if limit is None:
+            links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        else:
+            asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+            sets = stage(_asked_sets(rows, asked, k), "sets")
+            links = stage(_verified(pairs, sets, percent), "links")
+            drop_staged(sets)
         # What earlier rounds joined goes on as one edge per node.
         found = components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         more = offered.filter("more").select("key").distinct()
