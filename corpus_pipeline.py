@@ -30,10 +30,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    listed = near_dups.near_duplicates(docs).filter("kept")
-    kept = listed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_copies"))
-    return keep_rows(docs, stage(kept, "kept"), {"doc_id": F.col("doc_id").cast("long")}, F.length("text"))
+    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8): the smallest id, then the first row.
+
+    Each row is a document of its own, whatever its id; a null id is the smallest. The row's key is written with it.
+    """
+    keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    listed = near_dups.near_duplicates(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = keyed.select("__row", F.col("doc_id").alias("__id")).join(listed, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first"))
+    return keyed.join(stage(first.select("first.__row"), "kept"), "__row", "left_semi").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
