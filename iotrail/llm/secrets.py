@@ -5,6 +5,8 @@ bytes parse: ``der`` (base64 or hex of a DER SEQUENCE whose nested lengths add u
 key: version integer, algorithm identifier or key integers), ``ssh`` (length-prefixed public key
 blob or the OpenSSH private key container) and ``jwt`` (a signed token: header and claims are JSON objects, the
 header names an algorithm, and the signature decodes). A random run of letters fails these tests.
+Candidates begin wherever an encoding can begin, inside a longer run too, and go over line breaks, written as such or
+as ``\\n``; a candidate that fails takes nothing away from the positions behind its first.
 Positions are code points, ends exclusive.
 """
 
@@ -32,11 +34,21 @@ BASE = ("assign", "access", "hex")
 
 #: Runs that may be encoded keys; a key of any kind in use takes more than 40 characters.
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-WRAPPED_RUN = re.compile(r"-----BEGIN [A-Z0-9 ]{1,40}-----\s+([A-Za-z0-9+/=\s]+?)\s*-----END ")
+WRAPPED_RUN = re.compile(r"-----BEGIN [A-Z0-9 ]{1,40}-----(?:\s|\\+[nrt])*((?:[A-Za-z0-9+/=\s]|\\+[nrt])+?)(?:\s|\\+[nrt])*-----END ")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
-JWT_RUN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
+DOTTED_RUN = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
 LONG_WORD = 20
 
+#: Where an encoding can begin: a DER SEQUENCE, a public key blob (length and first two letters of its type), the OpenSSH
+#: container, JSON. Look-ahead, so every position is tried.
+BASE64_START = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{6}|AAAA[A-P](?:[HXn3]N[zr]|[GWm2]Vj)|b3BlbnNzaC1rZXktdjEA)")
+HEX_START = re.compile(r"(?=30[0-9A-Fa-f]{14}|000000[0-9A-Fa-f]{2}(?:7373682[dD]|65636473|736[bB]2[dD])|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100)")
+JSON_START = re.compile(r"(?=e[wy])")
+BASE64_LINE, HEX_LINE = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+BREAK = re.compile(r"[\x20\t]*(?:(?:\r?\n|\\+[nr])[\x20\t]*)+")
+#: Fields of a public key blob by type; blobs of other types must fill their run.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ssh-ed448": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
+
 
 def _length(data: bytes, at: int) -> tuple[int, int] | None:
     """``(content start, content end)`` of the DER element at ``at``, or None if its length is not canonical or overruns."""
@@ -135,6 +147,144 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the SEQUENCE that begins with ``head``; None if its length is not canonical or no integer or sequence follows."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    count = head[1] & 0x7F if head[1] >= 0x80 else 0
+    size = int.from_bytes(head[2 : 2 + count], "big") if count else head[1]
+    if count > 4 or head[1] == 0x80 or (count and (size < 0x80 or size >> (8 * (count - 1)) == 0)):
+        return None
+    return 2 + count + size if 2 + count >= len(head) or head[2 + count] in (0x02, 0x30) else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the key container or public key blob that ``data`` begins with; None if its fields overrun or its type is not listed."""
+    at, left, nested_keys = (15, 3, True) if data.startswith(b"openssh-key-v1\0") else (0, 1, False)
+    first = None
+    while left:
+        if at + 4 > len(data):
+            return None
+        (size,) = struct.unpack_from(">I", data, at)
+        if at + 4 + size > len(data):
+            return None
+        first = data[at + 4 : at + 4 + size] if first is None else first
+        at, left = at + 4 + size, left - 1
+        if not left and nested_keys:  # as many public keys, and the private part
+            if at + 4 > len(data):
+                return None
+            left, nested_keys = struct.unpack_from(">I", data, at)[0] + 1, False
+            at += 4
+        elif not left and at == 4 + len(first) and not data.startswith(b"openssh"):
+            left = SSH_FIELDS.get(first, 0) - 1
+            if left < 0:
+                return None
+    return at
+
+
+def _walk(text: str, at: int, line: re.Pattern, most: int) -> tuple[str, int]:
+    """At most ``most`` characters of the encoding from ``at``, over line breaks, and where they end."""
+    parts, end = [], at
+    while most:
+        m = line.match(text, at, min(len(text), at + most))
+        if m is None:
+            break
+        parts.append(m[0])
+        end, most = m.end(), most - len(m[0])
+        gap = BREAK.match(text, end)
+        if gap is None:
+            break
+        at = gap.end()
+    return "".join(parts), end
+
+
+def encoded_keys(text: str, start: re.Pattern, line: re.Pattern, per_byte: tuple[int, int], decode) -> list[tuple[int, int, str]]:
+    """Keys that begin at a match of ``start``; ``per_byte`` characters to bytes. The next candidate is sought behind a found key."""
+    chars, size_of = per_byte
+    found, behind = [], 0
+    for m in start.finditer(text):
+        at = m.start()
+        if at < behind:
+            continue
+        head = text[at : at + 16]
+        if head[0] in "M3":
+            size = der_size(decode(head[: 8 * chars // 4 if size_of == 3 else 16]) or b"")
+            need = None if size is None else -(-size * chars // size_of)
+            if need is None or at + need > len(text):
+                continue
+            run, end = _walk(text, at, line, need)
+            if len(run) < need or not (data := decode(run)) or not is_der_key(data):
+                continue
+            kind = "der"
+        else:
+            front = decode(text[at : at + 10 * chars // size_of // chars * chars]) or b""
+            if not front.startswith(b"openssh-") and not front[4:].startswith((b"ssh-", b"ecds", b"sk-")):
+                continue
+            run, end = _walk(text, at, line, len(text))
+            data = decode(run[: len(run) // chars * chars])
+            size = ssh_size(data or b"")
+            if size is None:  # unlisted types end with their run, which is one line
+                whole = line.match(text, at)
+                run, end = whole[0], whole.end()
+                data = decode(run)
+                if not data or not is_ssh_key(data):
+                    continue
+            else:
+                need = -(-size * chars // size_of)
+                run, end = _walk(text, at, line, need)
+                data = decode(run)
+                if len(run) < need or not data or not is_ssh_key(data[:size]):
+                    continue
+            kind = "ssh"
+        if size_of == 3:
+            pad = -len(run) % 4
+            end += len(text[end : end + pad]) - len(text[end : end + pad].lstrip("="))
+        found.append((at, end, kind))
+        behind = end
+    return found
+
+
+def signed_tokens(text: str) -> list[tuple[int, int, str]]:
+    """Tokens of three neighbouring parts of a dotted run; a header may begin inside its part."""
+    found = []
+    for m in DOTTED_RUN.finditer(text):
+        at, parts = m.start(), m[0].split(".")
+        starts = [at]
+        for p in parts:
+            starts.append(starts[-1] + len(p) + 1)
+        k = 0
+        while k + 2 < len(parts):
+            header, claims, signature = parts[k : k + 3]
+            signature = signature[:-1] if len(signature) % 4 == 1 else signature
+            step = 1
+            if len(header) >= 8 and len(claims) >= 2 and len(signature) >= 16 and _is_json(claims):
+                for own in [0, *(x.start() for x in JSON_START.finditer(header) if x.start())]:
+                    if is_signed_token(f"{header[own:]}.{claims}.{signature}"):
+                        found.append((starts[k] + own, starts[k + 2] + len(signature), "jwt"))
+                        step = 3
+                        break
+            k += step
+    return found
+
+
+def _is_json(part: str) -> bool:
+    try:
+        return isinstance(json.loads(unpadded(part) or b""), dict)
+    except (ValueError, UnicodeDecodeError, RecursionError):
+        return False
+
+
+def _hex(run: str) -> bytes | None:
+    try:
+        return bytes.fromhex(run[: len(run) // 2 * 2])
+    except ValueError:
+        return None
+
+
+def overlaps(span: tuple[int, int, str], spans: list[tuple[int, int, str]]) -> bool:
+    return any(a < span[1] and span[0] < b for a, b, _ in spans)
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of every secret, by start, then kind as listed, base kinds first."""
     found: list[tuple[int, int, str]] = []
@@ -145,19 +295,24 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     if wrapped or any(len(word) >= LONG_WORD for word in text.split()):
         found += [(*m.span(), "access") for m in ACCESS.finditer(text)] if "AKIA" in text else []
         found += [(*m.span(), "hex") for m in HEX.finditer(text)]
+        keys, whole = encoded_keys(text, BASE64_START, BASE64_LINE, (4, 3), unpadded), []
+        keys += [x for x in encoded_keys(text, HEX_START, HEX_LINE, (2, 1), _hex) if not overlaps(x, keys)]
         for m in BASE64_RUN.finditer(text):
             if kind := _key_kind(unpadded(m[0])):
-                found.append((*m.span(), kind))
+                whole.append((*m.span(), kind))
         for m in HEX_RUN.finditer(text):
             if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
-                found.append((*m.span(), kind))
-        found += [(*m.span(), "jwt") for m in JWT_RUN.finditer(text) if "." in text and is_signed_token(m[0])]
+                whole.append((*m.span(), kind))
         if wrapped:
-            taken = {x[:2] for x in found}
             for m in WRAPPED_RUN.finditer(text):
-                kind = _key_kind(unpadded(re.sub(r"\s", "", m[1])))
-                if kind and m.span(1) not in taken:
-                    found.append((*m.span(1), kind))
+                kind = _key_kind(unpadded(re.sub(r"\s|\\+[nrt]", "", m[1])))
+                if kind:
+                    whole.append((*m.span(1), kind))
+        for x in whole:  # whole runs whose structure has no listed begin
+            if not overlaps(x, keys):
+                keys.append(x)
+        found += keys
+        found += signed_tokens(text) if "." in text else []
     order = {k: i for i, k in enumerate((*BASE, "der", "ssh", "jwt"))}
     return sorted(found, key=lambda x: (x[0], order[x[2]], x[1]))
 
