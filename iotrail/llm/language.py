@@ -2,8 +2,9 @@
 
 Each language has a codeword; each bit has a binary classifier, the log odds of hashed byte bigrams and
 trigrams between the languages whose bit is 1 and those whose bit is 0, averaged over the whole text. The
-counts behind the odds come from all labelled training rows, added up by Spark per language and n-gram
-(languages x 131,072 numbers at most). Decoding is loss-weighted: each bit's logistic loss counts by how
+counts behind the odds come from all labelled training rows and every value of ``lang``, added up by Spark per language
+and n-gram and then per bit and n-gram, so the driver holds 131,072 numbers a bit; bits grow with the logarithm of
+the number of languages. Decoding is loss-weighted: each bit's logistic loss counts by how
 often that bit is right for that language on a bounded sample of training rows, and the codeword of the least loss wins. If
 the runner-up is nearly as close, the row is flagged ambiguous.
 """
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from iotrail.llm.common import crc32_of_id, slices, table, texts
+from iotrail.llm.common import crc32_of_id, slices, stage, table, texts
 
 CELLS = 1 << 16
-#: Most languages learned (the most frequent), and training rows per language that weigh the bits.
-LANGUAGES, CALIBRATION_ROWS = 256, 2000
+#: Training rows per language that weigh the bits, and cells of one row while Spark adds up shares.
+CALIBRATION_ROWS, SLICE = 2000, 64
+#: Codewords compared with each other and scores held at once; more are taken in blocks.
+COMPARED, HELD = 1024, 1 << 22
 SHARPNESS, AMBIGUOUS = 6.0, 0.02
 LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint32(2654435761)
@@ -41,18 +44,24 @@ def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
-    """One row of +1 and -1 per language: every split for up to 5 languages, else 31 random bits of large distance."""
+    """One row of +1 and -1 per language: every split for up to 5 languages, else random bits, all rows different.
+
+    Up to 256 languages have 31 bits, more have 31 for each 8 doublings. Of 200 draws the one of the largest distance is
+    taken, above ``COMPARED`` languages the first whose rows differ.
+    """
     if n <= 1:
         return np.ones((n, 1))
     if n <= 5:
         split = np.arange(1, 1 << (n - 1))
         return np.array([[1.0] * len(split), *[[1.0 if not s >> k & 1 else -1.0 for s in split] for k in range(n - 1)]])
-    rng, best, most = np.random.default_rng(seed), None, -1
-    for _ in range(200):
-        code = rng.choice([-1.0, 1.0], (n, 31))
+    bits = max(31, int(np.ceil(31 * np.log2(n) / 8)))
+    rng, best, most, tries = np.random.default_rng(seed), None, 0, 0
+    while best is None or (tries < 200 and n <= COMPARED):
+        tries += 1
+        code = rng.choice([-1.0, 1.0], (n, bits))
         if (np.abs(code.sum(0)) == n).any():
             continue
-        distance = int(((31 - code @ code.T) / 2 + 31 * np.eye(n)).min())
+        distance = int(((bits - code @ code.T) / 2 + bits * np.eye(n)).min()) if n <= COMPARED else int(len(np.unique(code > 0, axis=0)) == n)
         if distance > most:
             best, most = code, distance
     return best
@@ -85,8 +94,12 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its share of the evidence and whether the runner-up is too close."""
-        loss = np.logaddexp(0, -SHARPNESS * margins[:, None, :] * self.code[None]) * self.weight[None]
-        near = -self.code.shape[1] * loss.sum(2)
+        step = max(1, HELD // len(self.languages))
+        if len(margins) > step:
+            parts = [self.decode(margins[i : i + step]) for i in range(0, len(margins), step)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        loss = np.logaddexp(0, -SHARPNESS * margins) @ (self.weight * (self.code > 0)).T + np.logaddexp(0, SHARPNESS * margins) @ (self.weight * (self.code < 0)).T
+        near = -self.code.shape[1] * loss
         share = np.exp(near - near.max(1, keepdims=True))
         share /= share.sum(1, keepdims=True)
         best = share.argmax(1)
@@ -109,9 +122,9 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 for start in range(0, len(own), 20):
                     for cells in grams(own[start : start + 20])[:2]:
                         have += np.bincount(cells, minlength=2 * CELLS)
-            if len(totals) > 32:
-                yield from emit(totals)
-                totals = {}
+                if len(totals) > 32:
+                    yield from emit(totals)
+                    totals = {}
         yield from emit(totals)
 
     def emit(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -122,29 +135,61 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, languages: int = LANGUAGES, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
-    """Learn from ``(doc_id, text, lang)`` rows with non-null ``lang``; None if there are none."""
-    rows = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    names = sorted(r["lang"] for r in rows)
+def mean_shares(counts: DataFrame, names: list[str], sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell x bit: mean smoothed share of each cell over the languages whose bit is +1, and over those whose bit is -1.
+
+    ``sizes`` are the sums of ``counts`` by language. Each language counts alike, however many rows it has.
+    """
+    bits = code.shape[1]
+    per = 1 / (sizes + CELLS)  # a count of 0.5 is added to each of 2 * CELLS cells
+    shared = counts.sparkSession.sparkContext.broadcast((names, per, code > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, per, ones = shared.value
+        at = {name: i for i, name in enumerate(names)}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lang = batch.column(0).dictionary_encode()
+            own = np.array([at[x] for x in lang.dictionary.to_pylist()], int)[lang.indices.to_numpy()]
+            cell, value = batch.column(1).to_numpy(), batch.column(2).to_numpy() * per[own]
+            order = np.argsort(cell // SLICE, kind="stable")
+            found, starts = np.unique(cell[order] // SLICE, return_index=True)
+            for s, rows in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+                have = sums.setdefault(s, np.zeros((SLICE, bits, 2)))
+                one, each = ones[own[rows]], value[rows, None]
+                np.add.at(have, cell[rows] % SLICE, np.stack([each * one, each * ~one], 2))
+        for s, have in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([have.tobytes()], pa.binary())], ["slice", "sums"])
+
+    dealt = counts.select("lang", "cell", "n").repartition(F.floor(F.col("cell") / SLICE))
+    out = np.zeros((2 * CELLS, bits, 2))
+    for r in stage(dealt.mapInArrow(run, "slice int, sums binary"), "language-shares").toLocalIterator():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["sums"]).reshape(SLICE, bits, 2)
+    for k, have in enumerate((code > 0, code < 0)):
+        out[:, :, k] = (out[:, :, k] + 0.5 * (per @ have)) / np.maximum(have.sum(0), 1)
+    return out[:, :, 0], out[:, :, 1]
+
+
+def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+    """Learn every language of ``(doc_id, text, lang)`` rows with non-null ``lang``; None if there are none."""
+    n_of = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    names = sorted(n_of)
     if not names:
         return None
     at = {name: i for i, name in enumerate(names)}
-    counts = np.zeros((len(names), 2 * CELLS))
-    chosen = labelled.filter(F.col("lang").isin(names))
-    packed = gram_counts(chosen.select("text", "lang")).groupBy("lang", F.floor(F.col("cell") / 4096).alias("slice")).agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    for r in packed.toLocalIterator():
-        own = np.array(r["cells"], np.int64).reshape(-1, 2)
-        counts[at[r["lang"]], own[:, 0]] = own[:, 1]
-    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)  # each language counts alike, however many rows it has
+    counts = stage(gram_counts(labelled.select("text", "lang")), "gram-counts")
+    sizes = np.zeros(len(names))
+    for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        sizes[at[r["lang"]]] = r["n"]
     code = codewords(len(names))
-    odds = np.stack([np.log(share[code[:, k] > 0].mean(0)) - np.log(share[code[:, k] < 0].mean(0)) if (code[:, k] < 0).any() else np.zeros(2 * CELLS) for k in range(code.shape[1])], 1).astype(np.float32)
+    ones, others = mean_shares(counts, names, sizes, code)
+    odds = np.where((code < 0).any(0), np.log(ones) - np.log(np.where((code < 0).any(0), others, 1)), 0).astype(np.float32)
     model = Model(names, code, odds, np.full(code.shape, 1 / code.shape[1]))
-    n_of = {r["lang"]: r["count"] for r in rows}
-    limit = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, calibration_rows / n_of[name]))])
-    sample = chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < limit[F.col("lang")] * (1 << 20))
     right = np.ones(code.shape)
     seen = np.full((len(names), 1), 2.0)
-    for lang, agreed, total in _agreement(sample.select("text", "lang"), model):
+    limit = {name: min(1.0, calibration_rows / n) * (1 << 20) for name, n in n_of.items()}
+    drawn = labelled.select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)).alias("draw"))
+    for lang, agreed, total in _agreement(drawn, model, limit):
         right[at[lang]] += agreed
         seen[at[lang]] += total
     trust = right / seen
@@ -152,22 +197,28 @@ def fit(labelled: DataFrame, languages: int = LANGUAGES, calibration_rows: int =
     return model
 
 
-def _agreement(sample: DataFrame, model: Model) -> list[tuple[str, np.ndarray, int]]:
-    """Per language: rows on which each bit is right, and rows."""
-    shared = sample.sparkSession.sparkContext.broadcast(model.parts())
+def _agreement(drawn: DataFrame, model: Model, limit: dict[str, float]) -> list[tuple[str, np.ndarray, int]]:
+    """Per language: rows on which each bit is right, and rows, of the ``(text, lang, draw)`` whose draw is below the language's limit."""
+    shared = drawn.sparkSession.sparkContext.broadcast((model.parts(), limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
+        parts, limit = shared.value
+        model = Model(*parts)
         at = {name: i for i, name in enumerate(model.languages)}
         right, seen = np.zeros(model.code.shape), np.zeros(len(at))
-        for batch in batches:
+        for batch in slices(batches):
+            lang = batch.column(1).to_pylist()
+            batch = batch.filter(pa.array([d < limit[x] for d, x in zip(batch.column(2).to_pylist(), lang, strict=True)], pa.bool_()))
+            if batch.num_rows == 0:
+                continue
             which = np.array([at[x] for x in batch.column(1).to_pylist()], int)
             agree = model.margins(texts(batch.column(0))) * model.code[which] > 0
             np.add.at(right, which, agree)
             np.add.at(seen, which, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(model.languages), pa.array(list(right), pa.list_(pa.float64())), pa.array(seen.astype(np.int64))], ["lang", "agreed", "total"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([model.languages[i] for i in some], pa.string()), pa.array(list(right[some]), pa.list_(pa.float64())), pa.array(seen[some].astype(np.int64))], ["lang", "agreed", "total"])
 
-    found = sample.mapInArrow(run, "lang string, agreed array<double>, total long")
+    found = drawn.mapInArrow(run, "lang string, agreed array<double>, total long")
     bits = model.code.shape[1]
     summed = found.groupBy("lang").agg(F.sum("total").alias("total"), *[F.sum(F.col("agreed")[k]).alias(f"b{k}") for k in range(bits)])
     return [(r["lang"], np.array([r[f"b{k}"] for k in range(bits)]), r["total"]) for r in summed.collect()]
