@@ -1,9 +1,11 @@
 """Per-request directed graphs as two tables: nodes and edges.
 
 Nodes: ``key.., node_id, kind, start_ns, end_ns, ...``; edges: ``key.., edge_id,
-from_id, to_id, confidence, ...``.  ``key`` names one request.  Closures are built
-by repeated squaring, so a path of length n needs log2(n) joins; every step is
-staged, and the loop stops when a step adds nothing.
+from_id, to_id, confidence, ...``.  ``key`` names one request.  Paths are followed
+level by level with one row per node: upward from the request for origins, and from
+the sinks up along topological ranks for times and longest paths.  Every table is
+keyed by (key, node), so a request of any size is spread over the tasks; a level is
+staged and the loop ends with the deepest path.  Only :func:`closure` lists pairs.
 """
 
 from __future__ import annotations
@@ -70,31 +72,120 @@ def valid_edges(edges: DataFrame, nodes: DataFrame, key: Sequence[str] = KEY, or
     return linked.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def without_cycles(edges: DataFrame, key: Sequence[str] = KEY, order: str = "ord") -> DataFrame:
-    """Drop, in admission order, each edge that would close a cycle.
+def _cyclic_cores(edges: DataFrame, key: Sequence[str]) -> DataFrame | None:
+    """What is left when nodes without an edge in or out are dropped over and over; None when nothing is.
+
+    An edge that goes this way lies on no cycle.  Each round reads the edges left.
+    """
+    key, current = list(key), edges
+    before = -1
+    while True:
+        into = current.select(*key, F.col("to_id").alias("from_id")).distinct()
+        out = current.select(*key, F.col("from_id").alias("to_id")).distinct()
+        left = stage(current.join(into, [*key, "from_id"], "left_semi").join(out, [*key, "to_id"], "left_semi"), "edges-core")
+        if current is not edges:
+            release(current)
+        current, n = left, left.count()
+        if n == 0:
+            release(current)
+            return None
+        if n == before:
+            return current
+        before = n
+
 
-    Only edges inside a cycle can be affected; of those, every round admits the
-    ones not reachable backward through earlier admitted or still undecided edges.
+def without_cycles(edges: DataFrame, key: Sequence[str] = KEY, order: str = "ord") -> DataFrame:
+    """Drop, in admission order, each edge that would close a cycle with the edges admitted before it.
+
+    Trimming leaves the cyclic cores; everything outside them is admitted.  In a core
+    the first edge that closes a cycle is the last one of the shortest prefix of the
+    order that does not trim away, so every core bisects its own order (by the median
+    of the edges still in question), drops that edge, and is trimmed again.  Cores
+    advance side by side; rounds grow with the refused edges of one core and the
+    logarithm of its size.  ``order`` must be unique among edges that can close a cycle.
+    """
+    key = list(key)
+    core = _cyclic_cores(edges, key)
+    refused = None
+    while core is not None:
+        held = core.groupBy(*key).agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+        bounds = stage(held, "core-bounds")
+        while True:
+            open_ = core.join(bounds, key).filter(F.col(order).between(F.col("lo"), F.col("hi") - 1))
+            middle = stage(open_.groupBy(*key).agg(F.percentile_approx(order, 0.5, 1000).cast("long").alias("mid")), "core-middle")
+            if middle.isEmpty():
+                break
+            prefix = core.join(middle, key).filter(F.col(order) <= F.col("mid")).drop("mid")
+            cyclic = _cyclic_cores(prefix, key)
+            found = middle.select(*key).limit(0) if cyclic is None else cyclic.select(*key).distinct()
+            told = bounds.join(middle, key, "left").join(found.withColumn("cyclic", F.lit(True)), key, "left")
+            lo = F.when(F.col("mid").isNotNull() & F.col("cyclic").isNull(), F.col("mid") + 1).otherwise(F.col("lo"))
+            hi = F.when(F.col("cyclic"), F.col("mid")).otherwise(F.col("hi"))
+            after = stage(told.select(*key, lo.alias("lo"), hi.alias("hi")), "core-bounds")
+            release(bounds)
+            bounds = after
+        closing = core.join(bounds.select(*key, F.col("hi").alias(order)), [*key, order], "left_semi").select(*key, "edge_id", order)
+        closing = stage(closing, "edges-refused")
+        refused = closing if refused is None else refused.unionByName(closing)
+        core = _cyclic_cores(core.join(closing, [*key, "edge_id", order], "left_anti"), key)
+    return edges if refused is None else edges.join(refused, [*key, "edge_id", order], "left_anti")
+
+
+def causal(edges: DataFrame) -> DataFrame:
+    """Edges that carry time; context only names what happened beside."""
+    return edges.filter(F.col("confidence") != "context_only")
+
+
+def ranked_edges(edges: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Causal edges once per node pair, with the length of the longest path below each end (``rank``, ``to_rank``)."""
+    key = list(key)
+    steps = stage(causal(edges).select(*key, "from_id", "to_id").distinct(), "steps")
+    level, levels = 0, []
+    frontier = steps.select(*key, F.col("to_id").alias("node_id")).distinct()
+    while True:
+        level += 1
+        on = steps.join(frontier.select(*key, F.col("node_id").alias("to_id")), [*key, "to_id"], "left_semi")
+        frontier = stage(on.select(*key, F.col("from_id").alias("node_id")).distinct(), "frontier")
+        if frontier.isEmpty():
+            release(frontier)
+            break
+        levels.append(frontier.withColumn("rank", F.lit(level)))
+    if not levels:
+        return steps.withColumns({"rank": F.lit(1), "to_rank": F.lit(0)})
+    ranks = levels[0]
+    for x in levels[1:]:
+        ranks = ranks.unionByName(x)
+    ranks = ranks.groupBy(*key, "node_id").agg(F.max("rank").alias("rank"))
+    out = steps.join(ranks.withColumnRenamed("node_id", "from_id"), [*key, "from_id"])
+    to = ranks.withColumnsRenamed({"node_id": "to_id", "rank": "to_rank"})
+    out = stage(out.join(to, [*key, "to_id"], "left").fillna(0, ["to_rank"]), "ranked-edges")
+    for x in levels:
+        release(x)
+    return out
+
+
+def strongest_up(edges: DataFrame, roots: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``(key, node_id, strength)`` of every node above ``roots`` (``key, node_id``), roots with full strength.
+
+    A path is as strong as its weakest edge; a node keeps its strongest path.  Each round carries on only the nodes
+    whose strength grew.
     """
     key = list(key)
-    edges = stage(edges, "edges")
-    reach = closure(edges.withColumn("confidence", F.lit("exact")), key)
-    back = reach.select(*key, F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id"))
-    cyclic = edges.join(back, [*key, "from_id", "to_id"], "left_semi")
-    if cyclic.isEmpty():
-        return edges
-    safe = edges.join(cyclic.select(*key, "edge_id"), [*key, "edge_id"], "left_anti")
-    undecided = stage(cyclic, "edges-cyclic")
-    admitted = safe
-    while not undecided.isEmpty():
-        first = undecided.groupBy(*key).agg(F.min(order).alias(order))
-        head = undecided.join(first, [*key, order], "left_semi")
-        have = closure(admitted.withColumn("confidence", F.lit("exact")), key)
-        closing = have.select(*key, F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id"))
-        fits = head.join(closing, [*key, "from_id", "to_id"], "left_anti")
-        admitted = stage(admitted.unionByName(fits), "edges-admitted")
-        undecided = stage(undecided.join(head.select(*key, "edge_id"), [*key, "edge_id"], "left_anti"), "edges-undecided")
-    return admitted
+    steps = stage(edges.groupBy(*key, "from_id", "to_id").agg(F.max(rank("confidence")).alias("edge")), "steps")
+    frontier = roots.select(*key, "node_id", F.lit(3).alias("strength"))
+    parts = [frontier]
+    while True:
+        above = steps.join(frontier.withColumnRenamed("node_id", "to_id"), [*key, "to_id"])
+        above = above.groupBy(*key, F.col("from_id").alias("node_id")).agg(F.max(F.least("edge", "strength")).alias("strength"))
+        known = parts[0]
+        for x in parts[1:]:
+            known = known.unionByName(x)
+        best = known.groupBy(*key, "node_id").agg(F.max("strength").alias("was"))
+        grown = above.join(best, [*key, "node_id"], "left").filter("was IS NULL OR strength > was").drop("was")
+        frontier = stage(grown, "frontier")
+        if frontier.isEmpty():
+            return best.withColumnRenamed("was", "strength")
+        parts.append(frontier)
 
 
 def closure(edges: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -121,99 +212,71 @@ def closure(edges: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
         seen = now
 
 
-def reachable(edges: DataFrame, start: Column, key: Sequence[str] = KEY) -> DataFrame:
-    """Nodes reachable from the nodes that satisfy ``start`` (a predicate on ``from_id``)."""
-    return closure(edges, key).filter(start).select(*key, F.col("to_id").alias("node_id")).distinct()
-
-
-def exclusive_time(nodes: DataFrame, pairs: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def exclusive_time(nodes: DataFrame, ranked: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Node duration minus the union of all causal descendants clipped to the node.
 
-    Context-only paths neither add nor discount time.
+    Context-only paths neither add nor discount time.  A node's cover is the union of
+    its children and their covers, made once per node in the order of ``ranked``
+    (:func:`ranked_edges`).
     """
     key = list(key)
     timed = nodes.select(*key, "node_id", "kind", "start_ns", end_or_start().alias("stop_ns"))
-    outer = timed.filter(additive())
-    child = timed.filter(additive()).select(
-        *key, F.col("node_id").alias("to_id"), F.col("start_ns").alias("c_start"), F.col("stop_ns").alias("c_end")
-    )
-    below = pairs.filter("strength > 0").join(child, [*key, "to_id"])
-    clipped = (
-        outer.join(below.withColumnRenamed("from_id", "node_id"), [*key, "node_id"])
-        .select(
-            *key, "node_id", F.greatest("start_ns", "c_start").alias("start_ns"), F.least("stop_ns", "c_end").alias("end_ns")
-        )
-    )
-    covered = merge_small(clipped, [*key, "node_id"]).groupBy(*key, "node_id").agg(
-        F.sum(F.col("end_ns") - F.col("start_ns")).alias("covered_ns")
-    )
-    own = F.when(additive(), F.greatest(F.col("stop_ns") - F.col("start_ns") - F.coalesce("covered_ns", F.lit(0)), F.lit(0)))
-    return timed.join(covered, [*key, "node_id"], "left").select(
-        *key, "node_id", "kind", F.coalesce(own, F.lit(0)).cast("long").alias("exclusive_ns")
-    )
-
-
-def critical_path(edges: DataFrame, exclusive: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    child = timed.filter(additive()).select(*key, F.col("node_id").alias("to_id"), "start_ns", F.col("stop_ns").alias("end_ns"))
+    spans = stage(ranked.join(child, [*key, "to_id"], "left"), "child-spans")
+    deepest = spans.agg(F.max("rank")).first()[0] or 0
+    covers: DataFrame | None = None
+    for level in range(1, deepest + 1):
+        here = spans.filter(F.col("rank") == level)
+        pieces = here.filter("start_ns IS NOT NULL").select(*key, F.col("from_id").alias("node_id"), "start_ns", "end_ns")
+        if covers is not None:
+            inner = here.filter("to_rank > 0").select(*key, "from_id", "to_id")
+            below = inner.join(covers.withColumnRenamed("node_id", "to_id"), [*key, "to_id"])
+            pieces = pieces.unionByName(below.select(*key, F.col("from_id").alias("node_id"), "start_ns", "end_ns"))
+        merged = stage(merge_small(pieces, [*key, "node_id"]).select(*key, "node_id", "start_ns", "end_ns"), "covers")
+        covers = merged if covers is None else covers.unionByName(merged)
+    own = F.col("stop_ns") - F.col("start_ns")
+    if covers is not None:
+        part = F.least("stop_ns", "c_end") - F.greatest("start_ns", "c_start")
+        inside = timed.join(covers.withColumnsRenamed({"start_ns": "c_start", "end_ns": "c_end"}), [*key, "node_id"])
+        covered = inside.groupBy(*key, "node_id").agg(F.sum(F.greatest(part, F.lit(0))).alias("covered_ns"))
+        timed = timed.join(covered, [*key, "node_id"], "left")
+        own = own - F.coalesce("covered_ns", F.lit(0))
+    own = F.when(additive(), F.greatest(own, F.lit(0)))
+    return timed.select(*key, "node_id", "kind", F.coalesce(own, F.lit(0)).cast("long").alias("exclusive_ns"))
+
+
+def critical_path(ranked: DataFrame, exclusive: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Heaviest causal path by exclusive time; ties take the longer, then the smaller path.
 
-    Leading nodes of no weight are dropped, except the one right before the first weight.
+    The best path from a node on is its own weight and the best of its children, one
+    row per node in the order of ``ranked`` (:func:`ranked_edges`).  Leading nodes of
+    no weight are dropped, except the one right before the first weight.
     """
     key = list(key)
-    weight = exclusive.select(*key, "node_id", F.col("exclusive_ns").alias("w"))
+    weight = stage(exclusive.select(*key, "node_id", F.col("exclusive_ns").alias("w")), "weights")
     wf = weight.select(*key, F.col("node_id").alias("from_id"), F.col("w").alias("wf"))
     wt = weight.select(*key, F.col("node_id").alias("to_id"), F.col("w").alias("wt"))
-    step = (
-        edges.filter(F.col("confidence") != "context_only")
-        .select(*key, "from_id", "to_id")
-        .distinct()
-        .join(wf, [*key, "from_id"])
-        .join(wt, [*key, "to_id"])
-    )
-
-    def best(df: DataFrame) -> DataFrame:
-        return df.groupBy(*key, "from_id", "to_id").agg(F.min(F.struct("cost", "hops", "path")).alias("b")).select(
-            *key, "from_id", "to_id", "b.*"
+    steps = stage(ranked.join(wf, [*key, "from_id"]).join(wt, [*key, "to_id"]), "weighted-steps")
+    deepest = steps.agg(F.max("rank")).first()[0] or 0
+
+    def at(node: str, w: str) -> Column:
+        return F.struct(F.col(node).alias("node"), F.col(w).alias("w"))
+
+    single = weight.select(*key, "node_id", F.struct((-F.col("w")).alias("cost"), F.lit(-1).alias("hops"), F.array(at("node_id", "w")).alias("path")).alias("b"))
+    paths: DataFrame | None = None
+    for level in range(1, deepest + 1):
+        here = steps.filter(F.col("rank") == level)
+        end = F.struct((-F.col("wt")).alias("cost"), F.lit(-1).alias("hops"), F.array(at("to_id", "wt")).alias("path"))
+        onward = here.filter("to_rank = 0").withColumn("b", end)
+        if paths is not None:
+            onward = onward.unionByName(here.filter("to_rank > 0").join(paths.withColumnRenamed("node_id", "to_id"), [*key, "to_id"]))
+        longer = F.struct(
+            (F.col("b.cost") - F.col("wf")).alias("cost"), (F.col("b.hops") - 1).alias("hops"), F.concat(F.array(at("from_id", "wf")), F.col("b.path")).alias("path")
         )
-
-    one = step.select(
-        *key,
-        "from_id",
-        "to_id",
-        (-(F.col("wf") + F.col("wt"))).alias("cost"),
-        F.lit(-2).alias("hops"),
-        F.array(F.struct(F.col("from_id").alias("node"), F.col("wf").alias("w")), F.struct(F.col("to_id").alias("node"), F.col("wt").alias("w"))).alias("path"),
-    )
-    paths = stage(one, "paths")
-    seen = paths.agg(F.count(F.lit(1)), F.sum("cost"), F.sum("hops")).first()
-    while True:
-        left = paths.select(*key, "from_id", F.col("to_id").alias("__mid"), "cost", "hops", "path")
-        right = paths.select(
-            *key, F.col("from_id").alias("__mid"), "to_id", F.col("cost").alias("c2"), F.col("hops").alias("h2"), F.col("path").alias("p2")
-        )
-        joined = left.join(right, [*key, "__mid"]).select(
-            *key,
-            "from_id",
-            "to_id",
-            (F.col("cost") + F.col("c2") + F.element_at("path", -1)["w"]).alias("cost"),
-            (F.col("hops") + F.col("h2") + 1).alias("hops"),
-            F.concat("path", F.slice("p2", 2, F.size("p2") - 1)).alias("path"),
-        )
-        before = paths
-        paths = stage(best(paths.unionByName(joined)), "paths")
-        release(before)
-        now = paths.agg(F.count(F.lit(1)), F.sum("cost"), F.sum("hops")).first()
-        if now == seen:
-            break
-        seen = now
-    single = weight.select(
-        *key, (-F.col("w")).alias("cost"), F.lit(-1).alias("hops"), F.array(F.struct(F.col("node_id").alias("node"), "w")).alias("path")
-    )
-    top = (
-        paths.select(*key, "cost", "hops", "path")
-        .unionByName(single)
-        .groupBy(*key)
-        .agg(F.min(F.struct("cost", "hops", "path")).alias("b"))
-    )
+        best = stage(onward.groupBy(*key, F.col("from_id").alias("node_id")).agg(F.min(longer).alias("b")), "paths")
+        paths = best if paths is None else paths.unionByName(best)
+    every = single if paths is None else single.unionByName(paths)
+    top = every.groupBy(*key).agg(F.min("b").alias("b"))
     path = F.col("b.path")
     lead = F.aggregate(
         path,

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from iotrail.functions.confidence import from_rank
 from iotrail.functions.scalars import device_label, inode_label
-from iotrail.operators.graph import KEY, NODE_KINDS, critical_path, exclusive_time, kind_durations
+from iotrail.operators.graph import KEY, NODE_KINDS, critical_path, exclusive_time, kind_durations, strongest_up
 from iotrail.operators.stats import nearest_rank
 from iotrail.plans.summary import moved
+from iotrail.session import stage
 
 IDENTITY = ["fs_major", "fs_minor", "inode", "generation", "mount"]
 
 
-def file_origins(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def file_origins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Files each request can be traced back to.
 
     A path is as strong as its weakest edge and a file takes its strongest path;
     a path looked up rather than recorded is at most probable.  Ties keep the
     earliest node.
     """
-    root = nodes.filter(F.col("kind") == "block_request").select(*KEY, F.col("node_id").alias("root_id"))
-    upward = pairs.join(root, KEY).filter(F.col("to_id") == F.col("root_id")).select(*KEY, F.col("from_id").alias("node_id"), "strength")
-    walked = upward.unionByName(root.select(*KEY, F.col("root_id").alias("node_id"), F.lit(3).alias("strength")))
+    roots = nodes.filter(F.col("kind") == "block_request").filter(F.col("ord") == 0).select(*KEY, "node_id")
+    walked = stage(strongest_up(edges, roots), "walked")
     looked_up = edges.filter("inferred_path").select(*KEY, F.col("from_id").alias("node_id")).distinct().withColumn("guessed", F.lit(True))
     named = (
         nodes.filter(F.col("inode").isNotNull())
@@ -202,8 +202,8 @@ def with_graph_axes(requests: DataFrame, nodes: DataFrame, paths: DataFrame | No
     return out
 
 
-def critical_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    return critical_path(edges, exclusive_time(nodes, pairs))
+def critical_paths(nodes: DataFrame, ranked: DataFrame) -> DataFrame:
+    return critical_path(ranked, exclusive_time(nodes, ranked))
 
 
 def why_slow(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

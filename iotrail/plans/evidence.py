@@ -24,9 +24,9 @@ from iotrail.functions.scalars import (
     span_tag,
     synthetic_id,
 )
-from iotrail.operators.graph import KEY, valid_edges, valid_nodes
+from iotrail.operators.graph import KEY, valid_edges, valid_nodes, without_cycles
 from iotrail.operators.intervals import interval_join, merge_intervals
-from iotrail.operators.ordered import BUCKET, SHIFT, carry_last, seq_bucket
+from iotrail.operators.ordered import BUCKET, SHIFT, carry_last, seq_bucket, with_sequence
 from iotrail.session import stage
 
 _IDENTITY = ["fs_major", "fs_minor", "inode", "generation", "mount"]
@@ -100,11 +100,35 @@ def _lifetimes(requests: DataFrame) -> DataFrame:
     )
 
 
+def lifetime_at(rows: DataFrame, requests: DataFrame, id_col: str, ts: str, shift: int = SHIFT) -> DataFrame:
+    """Rows with the lifetime columns of the request whose evidence window holds their time; others are left out.
+
+    The windows of one id do not overlap, so a row belongs to the first of the id's
+    requests that completes at or after it, if at all.  Both sides are sorted together,
+    backward in time and cut into blocks of ``2**shift`` rows, and the latest lifetime
+    is carried on: a reused id meets each row once, not once per lifetime.
+    ``rows`` must not have columns named like lifetimes (``seq``, ``r_*``, ``evidence_from``).
+    """
+    req = _lifetimes(requests)
+    life = [c for c in req.columns if c != "session_id"]
+    keys = ["session_id", "__id"]
+    ends = req.select("session_id", F.col("r_id").alias("__id"), (-F.col("r_end")).alias("__back"), F.lit(0).alias("__kind"), (-F.col("seq")).alias("__tie"), F.struct(*life).alias("__life"))
+    seen = rows.filter(F.col(id_col).isNotNull()).select(
+        "session_id", F.col(id_col).alias("__id"), (-F.col(ts)).alias("__back"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__tie"), F.struct(*rows.columns).alias("__row")
+    )
+    both = ends.unionByName(seen, allowMissingColumns=True)
+    both = stage(with_sequence(both, [*keys, "__back", "__kind", "__tie"], name="__at"), "lifetimes-at")
+    found = carry_last(both, keys, ["__at"], {"__held": F.col("__life")}, bucket=seq_bucket("__at", shift))
+    inside = (-F.col("__back")).between(F.col("__held.evidence_from"), F.col("__held.r_end"))
+    return found.filter((F.col("__kind") == 1) & inside).select("__row.*", "__held.*")
+
+
 def match_observations(requests: DataFrame, observations: DataFrame) -> DataFrame:
     """Observation-request pairs: by request id, by task, by storage address, or by time for context.
 
-    ``requests`` carries ``evidence_from``.  Three of the four ways are equi-joins,
-    and the time conditions are cut into cells, so no key gathers a whole trace.
+    ``requests`` carries ``evidence_from``.  An id is looked up as of the observation's
+    time; two of the other ways are equi-joins, and the time conditions are cut into
+    cells, so no key gathers a whole trace.
     A layer with an exact match keeps no probable one.  Correlation limits bound
     the length of a request, so only observations can be long.
     """
@@ -113,11 +137,7 @@ def match_observations(requests: DataFrame, observations: DataFrame) -> DataFram
     obs = obs.withColumnRenamed("seq", "obs_seq")
     same_op = F.col("operation").isNull() | (F.col("operation") == F.col("r_operation"))
     named, free = obs.filter(F.col("correlation_id").isNotNull()), obs.filter(F.col("correlation_id").isNull())
-    exact = (
-        named.join(req.withColumn("correlation_id", F.col("r_id")), ["session_id", "correlation_id"])
-        .filter(same_op & F.col("ts_ns").between(F.col("evidence_from"), F.col("r_end")))
-        .withColumn("is_exact", F.lit(True))
-    )
+    exact = lifetime_at(named, requests, "correlation_id", "ts_ns").filter(same_op).withColumn("is_exact", F.lit(True))
     causal = free.filter(F.col("confidence") != "context_only")
     context = free.filter(F.col("confidence") == "context_only")
     by_task = interval_join(
@@ -300,11 +320,8 @@ def unique_file_candidate(candidates: DataFrame, exact_origins: DataFrame) -> Da
 
 def origin_nodes(requests: DataFrame, origins: DataFrame) -> DataFrame:
     """Stored origins inside each request's evidence window, with the confidence of their link."""
-    req = _lifetimes(requests)
-    o = origins.withColumnRenamed("seq", "origin_seq")
     return (
-        o.join(req.withColumn("request_id", F.col("r_id")), ["session_id", "request_id"])
-        .filter(F.col("ts_ns").between(F.col("evidence_from"), F.col("r_end")))
+        lifetime_at(origins.withColumnRenamed("seq", "origin_seq"), requests, "request_id", "ts_ns")
         .withColumn("node_id", origin_node_id("request_id", "origin_id"))
         .withColumn("edge_id", origin_edge_id("request_id", "origin_id"))
         .withColumn(
@@ -410,11 +427,20 @@ def _no_file(df: DataFrame) -> DataFrame:
     return df.withColumn("path", F.lit(None).cast("string"))
 
 
-def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+# Recorded rows come after all derived ones in the order of admission.
+RECORDED = 10_000
+
+
+def build_graphs(
+    requests: DataFrame, spans: DataFrame, origins: DataFrame, files: DataFrame, recorded: tuple[DataFrame, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of every request in one pass.
 
     ``requests`` carries ``evidence_from``; ``spans`` comes from :func:`request_spans`
-    and ``origins`` from :func:`origin_nodes`.
+    and ``origins`` from :func:`origin_nodes`.  ``recorded`` are stored nodes and edges
+    (``recording.graph_nodes`` and ``graph_edges``): nodes join the request of their
+    transaction whose evidence window holds their start, edges the graphs that have
+    both of their ends, and an edge that would close a cycle is refused.
     """
     base = requests.select(*KEY, "request_id", "operation", "bytes", "pid", "tid", "insert_ts", "issue_ts", "complete_ts")
     request_node = synthetic_id(NODE_REQUEST, "request_id")
@@ -436,7 +462,7 @@ def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, file
             "tid",
             name.alias("name"),
             F.lit(order).alias("ord"),
-            *([c for c in ("path", *_IDENTITY) if c in df.columns]),
+            *([c for c in ("path", *_IDENTITY, "arrival") if c in df.columns]),
         )
         return out if "path" in df.columns else _no_file(out)
 
@@ -479,8 +505,14 @@ def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, file
     enriched = stage(enriched.withColumn("path", F.coalesce("path", "inferred_path")), "origins")
     origin_rows = node(enriched, F.col("node_id"), "bio", "ts_ns", "ts_ns", F.col("match_type"), 4)
 
+    stored_parts = []
+    if recorded is not None:
+        stored = stage(_recorded_nodes(requests, recorded[0], files), "recorded-nodes")
+        rows = node(stored, F.col("node_id"), F.col("kind"), "start_ns", "end_ns", F.col("name"), RECORDED)
+        stored_parts = [rows.withColumn("ord", F.col("arrival") + RECORDED).drop("arrival")]
+
     nodes = req_nodes
-    for part in (queue_nodes, file_nodes, span_nodes, origin_rows):
+    for part in (queue_nodes, file_nodes, span_nodes, origin_rows, *stored_parts):
         nodes = nodes.unionByName(part)
     nodes = stage(valid_nodes(nodes.select(*columns)), "nodes")
 
@@ -556,7 +588,49 @@ def build_graphs(requests: DataFrame, spans: DataFrame, origins: DataFrame, file
     edges = queue_edges
     for part in (file_edges, chain_edges, into_block, out_of_block, origin_edges):
         edges = edges.unionByName(part)
-    return nodes, valid_edges(edges, nodes)
+    if recorded is None:
+        return nodes, valid_edges(edges, nodes)
+    kept = _recorded_edges(base, nodes, stored, recorded[1])
+    edges = stage(valid_edges(edges.unionByName(kept.select(*edges.columns)), nodes), "edges-valid")
+    touched = kept.select(*KEY).distinct()
+    return nodes, edges.join(touched, KEY, "left_anti").unionByName(without_cycles(edges.join(touched, KEY, "left_semi")))
+
+
+def _recorded_nodes(requests: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored nodes under the request they belong to, pathless ones with the path looked up from syscalls."""
+    owned = lifetime_at(nodes.withColumnRenamed("seq", "arrival"), requests, "transaction_id", "start_ns")
+    owned = stage(owned.withColumn("ts_ns", F.col("start_ns")), "recorded-owned")
+    owned = owned.join(inferred_paths(owned, files), [*KEY, "node_id"], "left").withColumn("is_inferred", F.col("inferred_path").isNotNull())
+    return owned.withColumn("path", F.coalesce("path", "inferred_path"))
+
+
+def _recorded_edges(base: DataFrame, nodes: DataFrame, stored: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stored edges under every request of their transaction that can have both ends.
+
+    An end that is a stored node names the request; only an edge between two derived
+    nodes belongs to all requests of the id.
+    """
+    ids = base.select(*KEY, F.col("request_id").alias("transaction_id"))
+    held = nodes.select(*KEY, "node_id", "ord").join(ids, KEY)
+    given = edges.filter(F.col("transaction_id").isNotNull()).withColumnRenamed("seq", "arrival")
+    on = ["session_id", "transaction_id"]
+    found = None
+    for end in ("from_id", "to_id"):
+        rows = held.filter(F.col("ord") >= RECORDED).select(*on, "seq", F.col("node_id").alias(end))
+        part = given.join(rows, [*on, end])
+        found = part if found is None else found.unionByName(part)
+    derived = held.filter(F.col("ord") < RECORDED).select(*on, "node_id").distinct()
+    between = given
+    for end in ("from_id", "to_id"):
+        between = between.join(derived.withColumnRenamed("node_id", end), [*on, end], "left_semi")
+    found = found.unionByName(between.join(ids, on)).distinct()
+    guessed = stored.filter("is_inferred").select(*KEY, F.col("node_id").alias("from_id"), F.lit(True).alias("guessed")).distinct()
+    return stage(
+        found.join(guessed, [*KEY, "from_id"], "left")
+        .withColumn("ord", F.col("arrival") + RECORDED)
+        .withColumn("inferred_path", F.col("inferred_path") | F.coalesce("guessed", F.lit(False))),
+        "recorded-edges",
+    )
 
 
 def related_files(requests: DataFrame, nodes: DataFrame, file_origins: DataFrame, files: DataFrame) -> DataFrame:

@@ -132,6 +132,57 @@ def request_origins(lines: DataFrame) -> DataFrame:
     )
 
 
+# Evidence that marks an edge.
+INFERRED_PATH = "inferred_path_snapshot"
+INCOMPLETE_ORIGIN = "direct_bio_request_incomplete"
+
+
+def graph_nodes(lines: DataFrame) -> DataFrame:
+    """Stored graph nodes in the shape of derived ones."""
+    n = events(lines, "node")
+    return n.select(
+        "session_id",
+        "seq",
+        "node_id",
+        "transaction_id",
+        "kind",
+        F.col("start_ts_ns").alias("start_ns"),
+        F.col("end_ts_ns").alias("end_ns"),
+        F.col("file.fs_device_major").alias("fs_major"),
+        F.col("file.fs_device_minor").alias("fs_minor"),
+        F.col("file.inode").alias("inode"),
+        F.col("file.inode_generation").alias("generation"),
+        F.col("file.mount_id").alias("mount"),
+        F.col("path.path").alias("path"),
+        "operation",
+        "bytes",
+        F.coalesce("pid", F.lit(0)).alias("pid"),
+        F.coalesce("tid", F.lit(0)).alias("tid"),
+        "name",
+    )
+
+
+def graph_edges(lines: DataFrame) -> DataFrame:
+    """Stored graph edges; what their evidence says about path and completeness becomes two flags."""
+
+    def marked(name: str) -> Column:
+        return F.coalesce(F.exists("evidence", lambda x: x["match_type"] == name), F.lit(False))
+
+    e = events(lines, "edge")
+    return e.select(
+        "session_id",
+        "seq",
+        "edge_id",
+        "transaction_id",
+        F.col("from_node_id").alias("from_id"),
+        F.col("to_node_id").alias("to_id"),
+        "relation",
+        "confidence",
+        marked(INFERRED_PATH).alias("inferred_path"),
+        marked(INCOMPLETE_ORIGIN).alias("incomplete"),
+    )
+
+
 def stage_observations(lines: DataFrame) -> DataFrame:
     return events(lines, "pipeline").withColumnRenamed("end_ts_ns", "end_ns").drop("line_no")
 

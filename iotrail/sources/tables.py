@@ -238,8 +238,8 @@ def stage_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and closure of every request, each staged once."""
-    from iotrail.operators.graph import closure
+    """Nodes, edges and ranked causal edges of every request, each staged once."""
+    from iotrail.operators.graph import ranked_edges
     from iotrail.plans import evidence
 
     reqs = evidence_requests(spark, sf_dir)
@@ -254,8 +254,93 @@ def request_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     # build_graphs stages its nodes itself; only the application-wide copy is made here.
     nodes = staged_once(spark, f"nodes|{sf_dir}", lambda: build()[0])
     edges = staged_once(spark, f"edges|{sf_dir}", lambda: build()[1])
-    pairs = staged_once(spark, f"closure|{sf_dir}", lambda: closure(edges))
-    return nodes, edges, pairs
+    ranked = staged_once(spark, f"ranked|{sf_dir}", lambda: ranked_edges(edges))
+    return nodes, edges, ranked
+
+
+def recorded_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph nodes as a producer stores them, for every fourth request: a chain of three above the request.
+
+    Added to each: a node that repeats an id, one that ends before it starts, and one from long before.
+    """
+    rows = request_rows(spark, sf_dir).filter("event_id % 4 = 1")
+    e, ins = F.col("event_id"), F.col("insert_ts")
+    none = F.lit(None).cast("long")
+
+    def row(part: int, at: int, kind: str, start: Column, end: Column, inode: Column = none, path: Column | None = None) -> Column:
+        named = F.lit(None).cast("string") if path is None else path
+        return F.struct(
+            F.lit(part).alias("part"), F.lit(at).alias("at"), F.lit(kind).alias("kind"), start.alias("start_ts_ns"), end.alias("end_ts_ns"), inode.alias("inode"), named.alias("path")
+        )
+
+    named = F.when(e % 3 != 0, F.concat(F.lit("/stored/f"), (F.col("k") % 7).cast("string")))
+    parts = F.array(
+        row(0, 0, "vfs", ins - 4_000, ins + 100, 5000 + F.col("k") % 7, named),
+        row(1, 1, "page_cache", ins - 3_000, ins - 2_000),
+        row(2, 2, "bio", ins - 1_000, none, 6000 + F.col("k") % 5),
+        row(3, 1, "writeback", ins - 3_000, ins - 2_000),
+        row(4, 3, "vfs", ins, ins - 1),
+        row(5, 4, "vfs", ins - 40_000_000_000, ins - 39_000_000_000),
+    )
+    return rows.withColumn("p", F.explode(parts)).select(
+        F.lit(SESSION).alias("session_id"),
+        (e * 64 + F.col("p.part")).alias("seq"),
+        (e * 16 + F.col("p.at") + (1 << 50)).alias("node_id"),
+        e.alias("transaction_id"),
+        "p.kind",
+        "p.start_ts_ns",
+        "p.end_ts_ns",
+        F.lit("probe").alias("origin"),
+        F.when(F.col("p.inode").isNotNull(), F.struct(F.lit(8).cast("long").alias("fs_device_major"), F.lit(32).cast("long").alias("fs_device_minor"), F.col("p.inode").alias("inode"))).alias("file"),
+        F.when(F.col("p.path").isNotNull(), F.struct(F.col("p.path").alias("path"))).alias("path"),
+        "operation",
+        "bytes",
+        "pid",
+        "tid",
+        F.col("p.kind").alias("name"),
+    )
+
+
+def recorded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges over :func:`recorded_nodes`, in an order that closes a cycle in two ways.
+
+    Where 8 leaves 1, the edge back from the lowest node comes first and the chain closes the cycle; else it comes last.
+    Added to each: a repeated id, a loop, and edges to nodes that are not admitted.
+    """
+    from iotrail.functions.scalars import NODE_REQUEST, synthetic_id
+
+    rows = request_rows(spark, sf_dir).filter("event_id % 4 = 1")
+    e = F.col("event_id")
+    at = lambda j: e * 16 + j + (1 << 50)
+    back_first = e % 8 == 1
+
+    def row(order: Column | int, edge: int, a: Column, b: Column, confidence: str, relation: str = "submits") -> Column:
+        place = order if isinstance(order, Column) else F.lit(order)
+        return F.struct(place.alias("order"), F.lit(edge).alias("edge"), a.alias("a"), b.alias("b"), F.lit(confidence).alias("confidence"), F.lit(relation).alias("relation"))
+
+    parts = F.array(
+        row(F.when(back_first, 8).otherwise(19), 3, at(2), at(0), "exact"),
+        row(10, 0, at(0), at(1), "exact"),
+        row(11, 1, at(1), at(2), "probable"),
+        row(12, 2, at(2), synthetic_id(NODE_REQUEST, "event_id"), "exact", "merged_into"),
+        row(13, 4, at(1), at(3), "exact"),
+        row(14, 5, at(4), at(1), "exact"),
+        row(15, 0, at(0), at(2), "exact"),
+        row(16, 7, at(1), at(1), "exact"),
+        row(17, 8, at(0), at(2), "context_only", "context_for"),
+    )
+    partial = F.array(F.struct(F.lit("direct_bio_request_incomplete").alias("match_type")))
+    return rows.withColumn("p", F.explode(parts)).select(
+        F.lit(SESSION).alias("session_id"),
+        (e * 64 + F.col("p.order")).alias("seq"),
+        (e * 16 + F.col("p.edge") + (1 << 51)).alias("edge_id"),
+        e.alias("transaction_id"),
+        F.col("p.a").alias("from_node_id"),
+        F.col("p.b").alias("to_node_id"),
+        "p.relation",
+        "p.confidence",
+        F.when((F.col("p.edge") == 2) & (e % 12 == 1), partial).otherwise(F.array().cast("array<struct<match_type:string>>")).alias("evidence"),
+    )
 
 
 def evidence_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +362,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     from iotrail.plans.attribution import file_origins as build
 
-    return staged_once(spark, f"origins|{sf_dir}", lambda: build(*request_graphs(spark, sf_dir)))
+    return staged_once(spark, f"origins|{sf_dir}", lambda: build(*request_graphs(spark, sf_dir)[:2]))
 
 
 # ---------------------------------------------------------------------------

@@ -156,10 +156,10 @@ def test_overlapping_grandchild_is_not_subtracted_twice(spark):
         [(1, "syscall", 0, 100), (2, "block_queue", 10, 30), (3, "block_request", 20, 60), (4, "uic_context", 0, 90), (5, "scsi_command", 70, 90)],
         [(1, 2, "exact"), (2, 3, "probable"), (1, 4, "exact"), (1, 5, "context_only")],
     )
-    pairs = graph.closure(edges)
-    ex = {r.node_id: r.exclusive_ns for r in graph.exclusive_time(nodes, pairs).collect()}
+    ranked = graph.ranked_edges(edges)
+    ex = {r.node_id: r.exclusive_ns for r in graph.exclusive_time(nodes, ranked).collect()}
     assert ex == {1: 50, 2: 10, 3: 40, 4: 0, 5: 20}
-    path = graph.critical_path(edges, graph.exclusive_time(nodes, pairs)).first()
+    path = graph.critical_path(ranked, graph.exclusive_time(nodes, ranked)).first()
     assert path.critical_path_ns == 100 and path.critical_path == [1, 2, 3]
     m = graph.request_metrics(nodes).first()
     assert (m.total_ns, m.accounted_ns, m.unaccounted_ns) == (100, 100, 0)
@@ -181,14 +181,14 @@ def test_edges_need_both_ends_and_forward_time(spark):
 def test_file_origin_takes_the_strongest_path(spark):
     nodes, edges = small_graph(
         spark,
-        [(1, "block_request", 10, 20), (2, "bio", 5, 5), (3, "file_operation", 0, 9)],
-        [(3, 2, "probable"), (2, 1, "exact"), (3, 1, "probable_async")],
+        [(0, "block_request", 10, 20), (2, "bio", 5, 5), (3, "file_operation", 0, 9)],
+        [(3, 2, "probable"), (2, 0, "exact"), (3, 0, "probable_async")],
     )
     for c in ("fs_major", "fs_minor", "inode", "generation", "mount"):
         nodes = nodes.withColumn(c, F.when(F.col("node_id") == 3, F.lit(7)).cast("long"))
     nodes = nodes.withColumn("path", F.when(F.col("node_id") == 3, "/a"))
     edges = edges.withColumn("inferred_path", F.lit(False)).withColumn("incomplete", F.lit(False))
-    o = file_origins(nodes, edges, graph.closure(edges)).collect()
+    o = file_origins(nodes, edges).collect()
     assert [(r.confidence, r.path, r.inode_label) for r in o] == [("probable", "/a", "<inode 7:7:7>")]
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from iotrail.functions import axes, filters, scalars
@@ -10,6 +13,8 @@ from iotrail.operators import graph
 from iotrail.operators.graph import KEY
 from iotrail.operators.stages import pair_stages, stage_health
 from iotrail.plans import attribution, evidence, summary
+from iotrail.session import staged_once, workspace
+from iotrail.sources import recording
 from iotrail.sources import tables as T
 from verification.base import IO, Suite
 
@@ -202,7 +207,8 @@ def graph_edges(spark, d):
     EVIDENCE,
 )
 def graph_reachability(spark, d):
-    nodes, _, pairs = T.request_graphs(spark, d)
+    nodes, edges, _ = T.request_graphs(spark, d)
+    pairs = graph.closure(edges)
     kinds = nodes.select(*KEY, "node_id", "kind")
     a = kinds.withColumnsRenamed({"node_id": "from_id", "kind": "from_kind"})
     b = kinds.withColumnsRenamed({"node_id": "to_id", "kind": "to_kind"})
@@ -212,8 +218,8 @@ def graph_reachability(spark, d):
 
 @add("exclusive_time", EXCLUSIVE + " SELECT event_id AS request_id, kind, x AS exclusive_ns FROM ex", EVIDENCE)
 def exclusive_time(spark, d):
-    nodes, _, pairs = T.request_graphs(spark, d)
-    return ids(spark, d, graph.exclusive_time(nodes, pairs)).select("request_id", "kind", "exclusive_ns")
+    nodes, _, ranked = T.request_graphs(spark, d)
+    return ids(spark, d, graph.exclusive_time(nodes, ranked)).select("request_id", "kind", "exclusive_ns")
 
 
 @add(
@@ -225,7 +231,8 @@ def exclusive_time(spark, d):
     EVIDENCE,
 )
 def critical_path(spark, d):
-    out = attribution.critical_paths(*T.request_graphs(spark, d))
+    nodes, _, ranked = T.request_graphs(spark, d)
+    out = attribution.critical_paths(nodes, ranked)
     return ids(spark, d, out).select("request_id", "critical_path_ns")
 
 
@@ -262,6 +269,91 @@ def uncovered_intervals(spark, d):
     return ids(spark, d, graph.uncovered(nodes)).select("request_id", "start_ns", "end_ns", "reason")
 
 
+def recorded_graphs(spark, d):
+    """Graphs with stored nodes and edges, which are written as lines of a recording and read back."""
+    built = []
+
+    def build():
+        if not built:
+            path = os.path.join(workspace(spark), f"recorded-graph-{uuid.uuid4().hex}")
+            nodes, edges = T.recorded_nodes(spark, d), T.recorded_edges(spark, d)
+            body = recording.event_lines(nodes, "node", nodes.columns[2:], "seq").unionByName(recording.event_lines(edges, "edge", edges.columns[2:], "seq"))
+            recording.write_lines(body, path)
+            lines = recording.classify_lines(recording.read_lines(spark, path)).withColumn("session_id", F.lit(T.SESSION))
+            reqs = T.evidence_requests(spark, d)
+            origins = evidence.origin_nodes(reqs, T.request_origins(spark, d))
+            stored = (recording.graph_nodes(lines), recording.graph_edges(lines))
+            built.append(evidence.build_graphs(reqs, T.spans(spark, d), origins, T.file_syscalls(spark, d), stored))
+        return built[0]
+
+    return staged_once(spark, f"recorded-nodes|{d}", lambda: build()[0]), staged_once(spark, f"recorded-edges|{d}", lambda: build()[1])
+
+
+STORED = """, rn AS (SELECT event_id, j, CASE j WHEN 0 THEN 'vfs' WHEN 1 THEN 'page_cache' ELSE 'bio' END AS kind,
+      insert_ts - 4000 + 1000 * j + CASE j WHEN 2 THEN 1000 ELSE 0 END AS s, CASE j WHEN 0 THEN insert_ts + 100 WHEN 1 THEN insert_ts - 2000 ELSE insert_ts - 1000 END AS e
+    FROM req, (SELECT unnest([0, 1, 2]) AS j) WHERE event_id % 4 = 1),
+  re AS (SELECT event_id, a, b, w FROM req, (SELECT unnest([{'a': 0, 'b': 1, 'w': 3, 'm': 9}, {'a': 1, 'b': 2, 'w': 2, 'm': 5}, {'a': 2, 'b': 3, 'w': 3, 'm': 9},
+      {'a': 2, 'b': 0, 'w': 3, 'm': 1}, {'a': 0, 'b': 2, 'w': 0, 'm': 5}], recursive := true)) WHERE event_id % 4 = 1 AND (m = 9 OR event_id % 8 = m))"""
+
+
+@add(
+    "recorded_graph_nodes",
+    STORED + " SELECT event_id AS request_id, kind, s AS start_ns, e AS end_ns FROM nd UNION ALL SELECT event_id, kind, s, e FROM rn",
+    EVIDENCE,
+)
+def recorded_graph_nodes(spark, d):
+    nodes, _ = recorded_graphs(spark, d)
+    return ids(spark, d, nodes).select("request_id", "kind", "start_ns", graph.end_or_start().alias("end_ns"))
+
+
+@add(
+    "recorded_graph_edges",
+    STORED
+    + """, ak AS (SELECT unnest([0, 1, 2, 3]) AS j, unnest(['vfs', 'page_cache', 'bio', 'block_request']) AS kind)
+    SELECT event_id AS request_id, x.kind AS from_kind, y.kind AS to_kind, w AS strength, false AS incomplete FROM re JOIN ak x ON x.j = a JOIN ak y ON y.j = b WHERE NOT (a = 2 AND b = 3)
+    UNION ALL SELECT event_id, 'bio', 'block_request', 3, event_id % 12 = 1 FROM re WHERE a = 2 AND b = 3""",
+    EVIDENCE,
+)
+def recorded_graph_edges(spark, d):
+    """Stored edges that were admitted; derived edges are in ``graph_edges``."""
+    nodes, edges = recorded_graphs(spark, d)
+    kinds = nodes.select(*KEY, "node_id", "kind")
+    a = kinds.withColumnsRenamed({"node_id": "from_id", "kind": "from_kind"})
+    b = kinds.withColumnsRenamed({"node_id": "to_id", "kind": "to_kind"})
+    out = edges.filter(F.col("ord") >= evidence.RECORDED).join(a, [*KEY, "from_id"]).join(b, [*KEY, "to_id"])
+    return ids(spark, d, out).select("request_id", "from_kind", "to_kind", rank("confidence").alias("strength"), "incomplete")
+
+
+@add(
+    "recorded_file_origins",
+    """, st AS (SELECT event_id, 6000 + k % 5 AS inode, NULL::VARCHAR AS path, 3 AS strength FROM req WHERE event_id % 4 = 1
+      UNION ALL SELECT event_id, 5000 + k % 7, CASE WHEN event_id % 3 <> 0 THEN '/stored/f' || (k % 7) END, 2 FROM req WHERE event_id % 8 = 5),
+    al AS (SELECT event_id, inode, path, strength, incomplete FROM org UNION ALL SELECT event_id, inode, path, strength, false FROM st)
+    SELECT event_id AS request_id, '<inode 8:32:' || inode || '>' AS inode_label, path,
+      CASE strength WHEN 3 THEN 'exact' WHEN 2 THEN 'probable' WHEN 1 THEN 'probable_async' ELSE 'context_only' END AS confidence,
+      bool_or(incomplete) OVER (PARTITION BY event_id) OR event_id % 12 = 1 AS incomplete FROM al""",
+    EVIDENCE,
+)
+def recorded_file_origins(spark, d):
+    out = attribution.file_origins(*recorded_graphs(spark, d))
+    return ids(spark, d, out).select("request_id", "inode_label", "path", "confidence", "incomplete")
+
+
+@add(
+    "origin_links_reused_ids",
+    """, lf AS (SELECT *, event_id % 8 AS id, lag(complete_ts) OVER (PARTITION BY event_id % 8 ORDER BY complete_ts, event_id) AS before FROM req),
+    wn AS (SELECT *, greatest(insert_ts - 30000000000, coalesce(before + 1, insert_ts - 30000000000)) AS since FROM lf)
+    SELECT wn.event_id AS request_id, ori.event_id * 10 + c AS origin_id FROM ori JOIN wn ON wn.id = ori.event_id % 8 AND ori.ts BETWEEN wn.since AND wn.complete_ts""",
+    EVIDENCE,
+)
+def origin_links_reused_ids(spark, d):
+    """Stored origins when all requests share eight ids: each goes to the lifetime its time falls into."""
+    reqs = T.requests(spark, d).withColumns({"event_id": F.col("request_id"), "request_id": F.col("request_id") % 8})
+    origins = T.request_origins(spark, d).withColumn("request_id", F.col("request_id") % 8)
+    found = evidence.origin_nodes(evidence.evidence_windows(reqs), origins)
+    return found.join(reqs.select(*KEY, "event_id"), KEY).select(F.col("event_id").alias("request_id"), "origin_id")
+
+
 KINDS = union_sql("SELECT * FROM nd WHERE kind <> 'uic_context'", "event_id, kind")
 
 
@@ -442,8 +534,8 @@ def cohort_filter_by_file(spark, d):
     EVIDENCE,
 )
 def graph_axes(spark, d):
-    nodes, edges, pairs = T.request_graphs(spark, d)
-    out = attribution.with_graph_axes(T.requests(spark, d), nodes, attribution.critical_paths(nodes, edges, pairs))
+    nodes, _, ranked = T.request_graphs(spark, d)
+    out = attribution.with_graph_axes(T.requests(spark, d), nodes, attribution.critical_paths(nodes, ranked))
     return out.select("request_id", *[axes.AXES[a](0).alias(a) for a in ("filesystem_ms", "ufs_ms", "critical_path_ms")])
 
 
