@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iotrail.operators.ordered import BUCKET, carry_last, running
+from iotrail.operators.ordered import BUCKET, SHIFT, carry_last, in_blocks, running
 from iotrail.operators.stats import bin_index, edge_lower, edge_upper, equal_width_edges, on_keys
 from iotrail.session import stage
 
@@ -91,15 +91,10 @@ def spatial_payload(requests: DataFrame, bins: int = 16) -> DataFrame:
     return spread.join(counted, [*DEVICE, "bin"], "left").fillna(0, ["read_bytes", "write_bytes"])
 
 
-def reuse_gaps(requests: DataFrame, width_ns: int = 60_000_000_000, order: str = "seq") -> DataFrame:
+def reuse_gaps(requests: DataFrame, order: str = "seq", shift: int = SHIFT) -> DataFrame:
     """Time since the same sector was last accessed in the same direction; unplaced issues excluded."""
     rw = requests.filter(F.col("operation").isin("read", "write") & F.col("issue_ts").isNotNull())
     keys = [*DEVICE, "sector", "operation"]
-    seen = carry_last(
-        rw.select(*keys, "request_id", "issue_ts", order),
-        keys,
-        ["issue_ts", order],
-        {"prev_ts": F.col("issue_ts")},
-        bucket=F.expr(f"issue_ts div {width_ns}"),
-    ).drop(BUCKET)
+    blocks = stage(in_blocks(rw.select(*keys, "request_id", "issue_ts", order), keys, ["issue_ts", order], shift), "reuse-blocks")
+    seen = carry_last(blocks, keys, ["issue_ts", order], {"prev_ts": F.col("issue_ts")}).drop(BUCKET)
     return seen.withColumn("gap_ms", (F.col("issue_ts") - F.col("prev_ts")).cast("double") / 1e6).drop("prev_ts", order)

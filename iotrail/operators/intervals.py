@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from iotrail.operators.ordered import BUCKET, carry_last, time_bucket
+from iotrail.operators.ordered import BUCKET, SHIFT, carry_last, in_blocks
 from iotrail.operators.stats import on_keys
-
-MINUTE_NS = 60_000_000_000
+from iotrail.session import stage
 
 
 def _local_islands(df: DataFrame, keys: list[str], gap_ns: int) -> DataFrame:
@@ -35,16 +34,17 @@ def merge_intervals(
     end: str = "end_ns",
     gap_ns: int = 0,
     keep_empty: bool = False,
-    width_ns: int = MINUTE_NS,
+    shift: int = SHIFT,
 ) -> DataFrame:
     """Union of intervals per key; neighbours at most ``gap_ns`` apart join.
 
-    Reversed intervals are dropped, empty ones too unless ``keep_empty``.
+    Reversed intervals are dropped, empty ones too unless ``keep_empty``.  Rows are
+    merged in blocks of equal depth and the reach of a block is carried into the next.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(start).alias("start_ns"), F.col(end).alias("end_ns"))
     rows = rows.filter(F.col("end_ns") >= F.col("start_ns") if keep_empty else F.col("end_ns") > F.col("start_ns"))
-    local = _local_islands(rows.withColumn(BUCKET, time_bucket("start_ns", width_ns)), keys, gap_ns)
+    local = stage(_local_islands(in_blocks(rows, keys, ["start_ns", "end_ns"], shift), keys, gap_ns), "islands")
     # Islands of a bucket are disjoint, so only the reach of earlier buckets can absorb
     # them, and whatever it absorbs belongs to the last island opened before the bucket.
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +92,7 @@ def clip(df: DataFrame, lower: Column | int, upper: Column | int) -> DataFrame:
     )
 
 
-def gaps(merged: DataFrame, keys: Sequence[str], lower: int, upper: int, width_ns: int = MINUTE_NS) -> DataFrame:
+def gaps(merged: DataFrame, keys: Sequence[str], lower: int, upper: int, shift: int = SHIFT) -> DataFrame:
     """Uncovered parts of [lower, upper] given merged intervals inside it."""
     keys = list(keys)
     closed = merged.select(*keys, "start_ns", "end_ns").unionByName(
@@ -100,16 +100,15 @@ def gaps(merged: DataFrame, keys: Sequence[str], lower: int, upper: int, width_n
         if keys
         else merged.sparkSession.range(1).select(F.lit(upper).alias("start_ns"), F.lit(upper).alias("end_ns"))
     )
-    seen = carry_last(
-        closed, keys, ["start_ns", "end_ns"], {"prev_end": F.col("end_ns")}, bucket=time_bucket("start_ns", width_ns)
-    )
+    blocks = stage(in_blocks(closed, keys, ["start_ns", "end_ns"], shift), "gap-blocks")
+    seen = carry_last(blocks, keys, ["start_ns", "end_ns"], {"prev_end": F.col("end_ns")})
     return seen.select(
         *keys, F.coalesce("prev_end", F.lit(lower)).alias("start_ns"), F.col("start_ns").alias("end_ns")
     ).filter(F.col("end_ns") > F.col("start_ns"))
 
 
 def locate(
-    points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, width_ns: int = MINUTE_NS
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, shift: int = SHIFT
 ) -> DataFrame:
     """Attach to each point the interval with start < ts <= end (disjoint intervals).
 
@@ -126,13 +125,8 @@ def locate(
         F.struct("start_ns", "end_ns").alias("__span"),
     )
     both = packed.unionByName(marks, allowMissingColumns=True)
-    seen = carry_last(
-        both,
-        keys,
-        ["__at", "__kind"],
-        {"interval": F.col("__span")},
-        bucket=time_bucket("__at", width_ns),
-    )
+    blocks = stage(in_blocks(both, keys, ["__at", "__kind"], shift), "locate-blocks")
+    seen = carry_last(blocks, keys, ["__at", "__kind"], {"interval": F.col("__span")})
     hit = F.when(F.col("__at") <= F.col("interval.end_ns"), F.col("interval"))
     return seen.filter(F.col("__kind") == 0).select(
         *keys, "__row.*", hit["start_ns"].alias("interval_start_ns"), hit["end_ns"].alias("interval_end_ns")

@@ -41,6 +41,19 @@ def time_bucket(ts: str, width_ns: int) -> Column:
     return F.expr(f"`{ts}` div {int(width_ns)}")
 
 
+def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], shift: int = SHIFT) -> DataFrame:
+    """Add blocks of at most ``2**shift`` rows along the order of each key.
+
+    The borders come from the rows, not from the clock: rows that crowd into one
+    minute, or share one value, are spread like any others.  Blocks ascend with the
+    order inside a key.  The numbers differ from run to run, so write the result, or
+    what is made of it, before using it twice.
+    """
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    numbered = with_sequence(tied, [*keys, *order, "__tie"], name="__place")
+    return numbered.withColumn(BUCKET, seq_bucket("__place", shift)).drop("__tie", "__place")
+
+
 def _position(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 

@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 
 from iotrail.functions.scalars import operation_of_rwbs
 from iotrail.operators.intervals import locate, merge_intervals
-from iotrail.operators.ordered import BUCKET, carry_last, row_numbers, running
+from iotrail.operators.ordered import BUCKET, carry_last, in_blocks, row_numbers, running
 from iotrail.session import stage
 
-SECTOR_BLOCK = 1 << 24
 STREAM = ["device_encoded", "op"]
 GROUP = [*STREAM, "component"]
 
@@ -39,9 +38,9 @@ def _components(events: DataFrame) -> DataFrame:
     """Attach the start of the connected sector range each event falls in."""
     spans = events.select(*STREAM, F.col("sector").alias("start_ns"), (F.col("sector") + F.greatest("sectors", F.lit(1))).alias("end_ns"))
     # Half-open ranges that merely touch do not overlap, hence the gap of -1.
-    unions = stage(merge_intervals(spans, STREAM, gap_ns=-1, width_ns=SECTOR_BLOCK), "range-unions")
+    unions = stage(merge_intervals(spans, STREAM, gap_ns=-1), "range-unions")
     shifted = unions.select(*STREAM, (F.col("start_ns") - 1).alias("start_ns"), (F.col("end_ns") - 1).alias("end_ns"))
-    placed = locate(events, shifted, STREAM, "sector", width_ns=SECTOR_BLOCK)
+    placed = locate(events, shifted, STREAM, "sector")
     return placed.withColumn("component", F.col("interval_start_ns") + 1).drop("interval_start_ns", "interval_end_ns")
 
 
@@ -304,23 +303,17 @@ def trace_coverage(matches: DataFrame, left: DataFrame) -> DataFrame:
 def trace_timing(events: DataFrame) -> DataFrame:
     """Access pattern and gaps per device from events on the supported clock, in time order."""
     usable = events.filter("clock = 0")
-    minute = F.expr("timestamp_ns div 60000000000")
-    order = ["timestamp_ns", "record_id"]
-    gaps = carry_last(
-        usable.filter("kind in ('issue', 'complete')"), ["device_encoded", "kind"], order, {"prev_ts": F.col("timestamp_ns")}, bucket=minute
-    ).drop(BUCKET)
+    order, keys = ["timestamp_ns", "record_id"], ["device_encoded", "kind"]
+    blocks = stage(in_blocks(usable.filter("kind in ('issue', 'complete')").select(*keys, *order), keys, order), "gap-blocks")
+    gaps = carry_last(blocks, keys, order, {"prev_ts": F.col("timestamp_ns")}).drop(BUCKET)
     return gaps.select("record_id", "kind", "device_encoded", (F.col("timestamp_ns") - F.col("prev_ts")).alias("gap_ns"))
 
 
 def trace_access(events: DataFrame) -> DataFrame:
     issues = events.filter("kind = 'issue' and clock = 0").withColumn("operation", operation_of_rwbs("rwbs"))
-    seen = carry_last(
-        issues,
-        ["device_encoded", "operation"],
-        ["timestamp_ns", "record_id"],
-        {"prev_end": F.col("sector") + F.col("sectors")},
-        bucket=F.expr("timestamp_ns div 60000000000"),
-    ).drop(BUCKET)
+    order, keys = ["timestamp_ns", "record_id"], ["device_encoded", "operation"]
+    blocks = stage(in_blocks(issues.select(*keys, *order, "sector", "sectors"), keys, order), "access-blocks")
+    seen = carry_last(blocks, keys, order, {"prev_end": F.col("sector") + F.col("sectors")}).drop(BUCKET)
     label: Column = (
         F.when(F.col("prev_end").isNull(), "unknown").when(F.col("prev_end") == F.col("sector"), "sequential").otherwise("random")
     )
@@ -340,9 +333,9 @@ def trace_depth(matches: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     ).select("device_encoded", "s.*")
-    swept = running(
-        steps, ["device_encoded"], ["t", "phase", "rec"], sums={"depth": F.col("d")}, bucket=F.expr("t div 60000000000")
-    )
+    order = ["t", "phase", "rec"]
+    blocks = stage(in_blocks(steps, ["device_encoded"], order), "depth-blocks")
+    swept = running(blocks, ["device_encoded"], order, sums={"depth": F.col("d")})
     return swept.filter("phase = 1").select("device_encoded", F.col("rec").alias("issue_record"), F.col("depth").alias("issue_depth"))
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from iotrail.functions.scalars import at_least_zero
 from iotrail.operators.intervals import busy_by_window, clip, gaps, locate, merge_intervals
-from iotrail.operators.ordered import BUCKET, running, time_bucket
+from iotrail.operators.ordered import BUCKET, in_blocks, running
 from iotrail.plans.summary import moved
+from iotrail.session import stage
 
 MIB = 1048576.0
 BURST_GAP_NS = 500_000  # fixed value: a gap of exactly 0.5 ms still joins a burst
@@ -216,10 +217,6 @@ def burst_payload(requests: DataFrame, burst_intervals: DataFrame) -> DataFrame:
     """Cumulative payload at every completion of its burst, ordered by (completion, request)."""
     rows = requests.select("complete_ts", "request_id", moved().alias("moved"))
     placed = locate(rows, burst_intervals, [], "complete_ts").filter(F.col("interval_start_ns").isNotNull())
-    return running(
-        placed,
-        ["interval_start_ns"],
-        ["complete_ts", "request_id"],
-        sums={"cumulative_bytes": F.col("moved")},
-        bucket=time_bucket("complete_ts", 60_000_000_000),
-    ).drop(BUCKET)
+    order = ["complete_ts", "request_id"]
+    blocks = stage(in_blocks(placed, ["interval_start_ns"], order), "burst-blocks")
+    return running(blocks, ["interval_start_ns"], order, sums={"cumulative_bytes": F.col("moved")}).drop(BUCKET)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from iotrail.functions.axes import explore, label_positions, time_ms
 from iotrail.functions.scalars import at_least_zero, device_label, process_label
 from iotrail.operators.graph import KEY
-from iotrail.operators.ordered import BUCKET, row_numbers, time_bucket
+from iotrail.operators.ordered import BUCKET, in_blocks, row_numbers
 from iotrail.operators.sampling import cap_groups, operation_quota, shape_sample
 from iotrail.operators.stats import on_keys
+from iotrail.session import stage
 
-MINUTE_NS = 60_000_000_000
 MAX_POINTS = 12_000  # fixed value: points of a plain scatter
 MAX_GRAPH_POINTS = 2_000  # fixed value: points when request graphs are needed
 
@@ -140,5 +140,7 @@ def cpu_events(requests: DataFrame, origin_ns: int | Column) -> DataFrame:
 def request_gantt(requests: DataFrame, origin_ns: int | Column) -> DataFrame:
     """Row number per request ordered by issue (else completion), completion and request."""
     rows = requests.withColumn("begin", F.coalesce("issue_ts", "complete_ts"))
-    numbered = row_numbers(rows, [], ["begin", "complete_ts", "request_id"], "row", bucket=time_bucket("begin", MINUTE_NS)).drop(BUCKET)
+    order = ["begin", "complete_ts", "request_id"]
+    blocks = stage(in_blocks(rows.select(*order, "issue_ts"), [], order), "gantt-blocks")
+    numbered = row_numbers(blocks, [], order, "row").drop(BUCKET)
     return numbered.select("request_id", "row", time_ms(origin_ns).alias("x"))

@@ -53,7 +53,7 @@ def test_merge_intervals_equals_brute_force(spark):
     rows = [(rng.randrange(2), s, s + rng.choice([0, 1, 3, 40])) for s in (rng.randrange(400) for _ in range(120))]
     df = spark.createDataFrame(rows, "k long, start_ns long, end_ns long")
     for gap in (0, 2):
-        got = sorted((r.k, r.start_ns, r.end_ns) for r in intervals.merge_intervals(df, ["k"], gap_ns=gap, width_ns=16).collect())
+        got = sorted((r.k, r.start_ns, r.end_ns) for r in intervals.merge_intervals(df, ["k"], gap_ns=gap, shift=2).collect())
         want = []
         for k in (0, 1):
             out = []
