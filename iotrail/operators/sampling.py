@@ -183,9 +183,53 @@ def cap_groups(df: DataFrame, group: str, limit: int = 32, other: str = "Other g
     return labelled.withColumn(group, label).drop("__top", "__all")
 
 
-def page(df: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
-    """Rows of one page (0-based) in a total order."""
-    return df.orderBy(*order).offset(size * number).limit(size)
+def page(df: DataFrame, order: Sequence[tuple[str, bool]], size: int, number: int, few: int = 1 << 16, fanout: int = 1024) -> DataFrame:
+    """Rows of one page (0-based), in order; ``order`` names whole-number columns without nulls and whether they descend.
+
+    A directory of counts per value bucket finds the range of the first column that
+    holds the page; ranges shrink by ``fanout`` a round, then the next column tells
+    equal values apart.  Only the last, few rows are sorted, however deep the page lies.
+    Rows equal in all columns keep no particular order.
+    """
+    ends = [F.desc(c) if down else F.asc(c) for c, down in order]
+    return _ranks(df, list(order), ends, size * number, size * (number + 1), few, fanout).orderBy(*ends)
+
+
+def _ranks(rows: DataFrame, order: list[tuple[str, bool]], ends: list[Column], start: int, stop: int, few: int, fanout: int) -> DataFrame:
+    """Rows ``start`` to ``stop`` of the ordered ``rows``."""
+    if not order:
+        return rows.orderBy(*ends).offset(start).limit(stop - start)
+    name, down = order[0]
+    value = -F.col(name) if down else F.col(name)
+    low, high, n = rows.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+    if start >= n:
+        return rows.limit(0)
+    if n <= few:
+        return rows.orderBy(*ends).offset(start).limit(stop - start)
+    if low == high:
+        return _ranks(rows, order[1:], ends, start, stop, few, fanout)
+    width = (high - low) // fanout + 1
+    place = F.call_function("div", value - F.lit(low), F.lit(width))
+    parts, before = [], 0
+    for at, held in sorted((r["at"], r["count"]) for r in rows.groupBy(place.alias("at")).count().collect()):  # at most fanout + 1 buckets
+        if before < stop and before + held > start:
+            parts.append((at, before, held))
+        before += held
+    first, last = low + parts[0][0] * width, low + (parts[-1][0] + 1) * width - 1
+    if sum(held for _, _, held in parts) <= few:
+        return _between(rows, name, down, first, last).orderBy(*ends).offset(start - parts[0][1]).limit(stop - start)
+    out = None
+    for at, skipped, held in parts:
+        inside = _between(rows, name, down, low + at * width, low + (at + 1) * width - 1)
+        part = _ranks(inside, order, ends, max(start - skipped, 0), min(stop - skipped, held), few, fanout)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _between(rows: DataFrame, name: str, down: bool, first: int, last: int) -> DataFrame:
+    """Rows of a range of the column's place in the order, as a plain predicate that scans can use."""
+    low, high = (-last, -first) if down else (first, last)
+    return rows.filter(F.col(name).between(low, high))
 
 
 def retain_newest(df: DataFrame, order: Sequence[Column], rows: int) -> DataFrame:

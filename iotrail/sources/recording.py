@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from iotrail.functions import timing
 from iotrail.functions.scalars import signed_id, unsigned_id
+from iotrail.operators.correlate import TTL_NS, annotate_lifetimes, completed_io
 from iotrail.operators.ordered import BUCKET, row_numbers
 from iotrail.sources.schemas import ENVELOPE, EVENTS, RECORDS, REQUIRED, SCHEMA_VERSION, U64
 
@@ -83,6 +85,81 @@ def block_stream(lines: DataFrame) -> DataFrame:
     return both.withColumnsRenamed({"device_major": "major", "device_minor": "minor"}).drop("line_no")
 
 
+def observed_requests(lines: DataFrame) -> DataFrame:
+    """Requests that a decoded trace stored whole, in the shape of correlated ones.
+
+    With evidence, only what it confirms counts: times on another clock, an unmatched
+    issue, its task, cpu and status stay null, and the issuer's name is the evidence's.
+    Durations are the stored ones.
+    """
+    o = events(lines, "observed_block_completion")
+    e = "evidence"
+    found = o.select(
+        "session_id",
+        "seq",
+        signed_id(F.col("issue.request_id")).alias("request_id"),
+        F.col("issue.device_major").alias("major"),
+        F.col("issue.device_minor").alias("minor"),
+        F.col("insert.ts_ns").alias("insert_ts"),
+        F.col("issue.ts_ns").alias("issue_ts"),
+        F.col("completion.ts_ns").alias("complete_ts"),
+        *[F.col(f"issue.{c}").alias(c) for c in ("operation", "sector", "sectors", "bytes", "pid", "tid", "cpu", "comm")],
+        F.col("completion.status").alias("status"),
+        F.col("completion.cpu").alias("complete_cpu"),
+        F.col("queue_latency_ns").alias("queue_ns"),
+        F.col("device_latency_ns").alias("device_ns"),
+        F.col("total_latency_ns").alias("total_ns"),
+        "size_class",
+        "access_pattern",
+        F.col("detail_timing.issue_gap_ns").alias("issue_gap_ns"),
+        F.col("detail_timing.completion_gap_ns").alias("completion_gap_ns"),
+        F.col("detail_timing.issue_depth").alias("issue_depth"),
+        "queue_depth_at_issue",
+        "queue_depth_after",
+        *[F.col(f"detail_timing.{side}_bandwidth.{a}").alias(f"{side}_rate_{b}") for side in ("issue", "completion") for a, b in (("payload_bytes", "payload"), ("duration_ns", "duration"))],
+        F.when(
+            F.col(e).isNotNull(),
+            F.struct(
+                signed_id(F.col(f"{e}.record_id")).alias("record_id"),
+                F.col(f"{e}.source").alias("source"),
+                F.col(f"{e}.clock").alias("clock"),
+                F.col(f"{e}.issue_timestamp_ns").alias("issue_ts"),
+                F.col(f"{e}.issuer_pid").alias("pid"),
+                F.col(f"{e}.issuer_tid").alias("tid"),
+                F.col(f"{e}.issuer_cpu").alias("cpu"),
+                F.col(f"{e}.completion_status").alias("status"),
+                F.col(f"{e}.process_name").alias("comm"),
+                F.col(f"{e}.timing_confidence").alias("timing_confidence"),
+                F.col(f"{e}.reason").alias("reason"),
+            ),
+        ).alias(e),
+    )
+    on_clock = timing.completion_time().isNotNull()
+    return found.withColumns(
+        {
+            "insert_ts": F.when(on_clock, F.col("insert_ts")),
+            "issue_ts": timing.issue_time(),
+            "complete_ts": timing.completion_time(),
+            "pid": timing.issuer_pid(),
+            "tid": timing.issuer_tid(),
+            "cpu": timing.issuer_cpu(),
+            "comm": F.when(F.col(e).isNull(), F.col("comm")).otherwise(F.col(f"{e}.comm")),
+            "status": timing.completion_status(),
+            "timing_confidence": timing.timing_confidence(),
+        }
+    )
+
+
+def requests(lines: DataFrame, ttl_ns: int = TTL_NS) -> DataFrame:
+    """All requests of a recording: correlated from block events, and observed whole.
+
+    A session holds one kind or both; ``timing_confidence`` of a correlated request is exact.
+    """
+    correlated = completed_io(annotate_lifetimes(block_stream(lines), ttl_ns), ttl_ns).drop("issue_seq")
+    correlated = correlated.withColumn("timing_confidence", F.lit("exact"))
+    return correlated.unionByName(observed_requests(lines), allowMissingColumns=True)
+
+
 def file_syscalls(lines: DataFrame) -> DataFrame:
     f = events(lines, "file_io")
     return f.select(

@@ -39,7 +39,8 @@ EVENTS: dict[str, str] = {
         "device_latency_ns long, total_latency_ns long, queue_depth_at_issue long, queue_depth_after long, "
         f"detail_timing struct<issue_depth: long, issue_gap_ns: long, completion_gap_ns: long, issue_bandwidth: {RATE}, completion_bandwidth: {RATE}>, "
         "access_pattern string, size_class string, "
-        f"evidence struct<source: string, record_id: {U64}, clock: long, issue_ts_ns: long, pid: long, tid: long, cpu: long, status: int, timing_confidence: string, reason: string>"
+        f"evidence struct<source: string, record_id: {U64}, issue_record_candidates: array<{U64}>, issue_timestamp_ns: long, issuer_pid: long, issuer_tid: long, issuer_cpu: long, "
+        "completion_status: int, process_name: string, timing_confidence: string, reason: string, clock: long>"
     ),
     "file_io": (
         "start_ts_ns long, end_ts_ns long, operation string, fd int, requested_bytes long, completed_bytes long, pid long, tid long, comm string, "

@@ -169,12 +169,11 @@ def full_range(spark, d):
 
 
 RANGE = ", rg AS (SELECT min(insert_ts) AS lo, max(complete_ts) AS hi FROM req)"
-INNER = ", rg AS (SELECT min(insert_ts) + 600000000000 AS lo, min(insert_ts) + 1200000000000 AS hi FROM req)"
 
 
 @add(
     "host_bandwidth",
-    INNER
+    RANGE
     + islands_sql("SELECT issue_ts AS s, complete_ts AS e FROM req WHERE minor IN (0, 1)", "")
     + """, bz AS (SELECT cast(sum(least(end_ns, hi) - greatest(start_ns, lo)) AS bigint) AS busy FROM isl, rg WHERE end_ns > lo AND start_ns < hi),
     v AS (SELECT unnest(['total', 'read', 'write']) AS direction),
@@ -187,10 +186,10 @@ INNER = ", rg AS (SELECT min(insert_ts) + 600000000000 AS lo, min(insert_ts) + 1
 )
 def host_bandwidth(spark, d):
     io = T.requests(spark, d)
-    lo = io.agg(F.min("insert_ts")).first()[0] + 600_000_000_000
+    lo, hi = full_range(spark, d)
     devices = [(8, 0), (8, 1)]
     merged = activity.device_activity(io, devices, by_device=False)
-    return activity.host_bandwidth(io.filter("minor in (0, 1)"), merged, lo, lo + 600_000_000_000)
+    return activity.host_bandwidth(io.filter("minor in (0, 1)"), merged, lo, hi)
 
 
 @add(

@@ -818,18 +818,19 @@ def group_cap(spark, d):
 @add(
     "level_of_detail",
     """, p0 AS (SELECT row_number() OVER (ORDER BY complete_ts, event_id) - 1 AS ix, total_ns AS y FROM io),
-    k1 AS (SELECT DISTINCT ix, y FROM (SELECT ix, y, ix = min(ix) OVER c OR ix = max(ix) OVER c OR ix = arg_min(ix, (y, ix)) OVER c OR ix = arg_max(ix, (y, ix)) OVER c AS keep FROM p0 WINDOW c AS (PARTITION BY ix // 16)) WHERE keep),
-    p1 AS (SELECT row_number() OVER (ORDER BY ix) - 1 AS ix, y FROM k1),
-    k2 AS (SELECT DISTINCT ix, y FROM (SELECT ix, y, ix = min(ix) OVER c OR ix = max(ix) OVER c OR ix = arg_min(ix, (y, ix)) OVER c OR ix = arg_max(ix, (y, ix)) OVER c AS keep FROM p1 WINDOW c AS (PARTITION BY ix // 16)) WHERE keep),
-    p2 AS (SELECT row_number() OVER (ORDER BY ix) - 1 AS ix, y FROM k2)
-    SELECT 0 AS level, ix AS idx, y FROM p0 UNION ALL SELECT 1, * FROM p1 UNION ALL SELECT 2, * FROM p2""",
-    IO,
+    lod AS (SELECT 0 AS level, ix, y FROM p0
+      UNION ALL
+      SELECT level + 1, row_number() OVER (ORDER BY ix) - 1, y FROM (
+        SELECT level, ix, y, count(*) OVER () AS n, ix = min(ix) OVER c OR ix = max(ix) OVER c OR ix = arg_min(ix, (y, ix)) OVER c OR ix = arg_max(ix, (y, ix)) OVER c AS keep
+        FROM lod WINDOW c AS (PARTITION BY ix // 16)) WHERE keep AND n > 256)
+    SELECT level, ix AS idx, y FROM lod""",
+    "RECURSIVE " + IO.lstrip(),
 )
 def level_of_detail(spark, d):
-    """Levels 0 to 2 of the pyramid (deeper levels follow the same rule)."""
+    """All levels of the pyramid."""
     rows = sampling.indexed(T.requests(spark, d).select("seq", "complete_ts", "total_ns"), [], ["seq"], F.shiftright("seq", 20))
     levels = sampling.level_of_detail(rows, "complete_ts", "total_ns")
-    return levels.filter("level <= 2").select("level", "idx", "y")
+    return levels.select("level", "idx", "y")
 
 
 @add(
@@ -849,7 +850,85 @@ def visible_slice(spark, d):
 
 @add("page_of_requests", " SELECT request_id, total_ns FROM io ORDER BY total_ns DESC, request_id LIMIT 40 OFFSET 80", IO)
 def page_of_requests(spark, d):
-    return sampling.page(T.requests(spark, d), [F.desc("total_ns"), F.asc("request_id")], 40, 2).select("request_id", "total_ns")
+    return sampling.page(T.requests(spark, d), [("total_ns", True), ("request_id", False)], 40, 2).select("request_id", "total_ns")
+
+
+@add("deep_page_of_requests", " SELECT request_id, total_ns FROM io ORDER BY total_ns, request_id LIMIT 40 OFFSET (SELECT count(*) - 100 FROM io)", IO)
+def deep_page_of_requests(spark, d):
+    """A page near the end, found through the directory of counts."""
+    io = T.requests(spark, d)
+    last = io.count() - 100
+    rows = sampling.page(io, [("total_ns", False), ("request_id", False)], 20, last // 20, few=1000)
+    after = sampling.page(io, [("total_ns", False), ("request_id", False)], 20, last // 20 + 1, few=1000)
+    return rows.unionByName(after).select("request_id", "total_ns")
+
+
+@add(
+    "observed_requests",
+    """ SELECT event_id AS request_id, CASE WHEN clocked THEN complete_ts END AS complete_ts, CASE WHEN clocked AND matched THEN issue_ts END AS issue_ts,
+      CASE WHEN clocked THEN insert_ts END AS insert_ts, CASE WHEN matched THEN pid END AS pid, CASE WHEN seen THEN CASE WHEN matched THEN 'trace-' || pid END ELSE comm END AS comm,
+      CASE WHEN NOT seen OR event_id % 4 = 0 THEN status END AS status, CASE WHEN matched THEN complete_ts - issue_ts END AS device_ns, operation, bytes, sector,
+      CASE WHEN seen THEN CASE WHEN matched THEN 'probable' ELSE 'unresolved' END ELSE 'exact' END AS timing_confidence
+    FROM (SELECT *, event_id % 6 = 0 AS seen, NOT (event_id % 12 = 0) AS clocked, NOT (event_id % 18 = 0) AS matched FROM req WHERE event_id % 3 = 0)""",
+    EV,
+)
+def observed_requests(spark, d):
+    """Stored whole requests, written as lines and read back: unconfirmed values are null."""
+    return recording.observed_requests(observed_lines(spark, d)).select(
+        "request_id", "complete_ts", "issue_ts", "insert_ts", "pid", "comm", "status", "device_ns", "operation", "bytes", "sector", "timing_confidence"
+    )
+
+
+@add(
+    "recording_requests",
+    """ SELECT event_id AS request_id, NULL::BIGINT AS record_id, complete_ts, 'exact' AS timing_confidence FROM req
+    UNION ALL SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id * 7 END, CASE WHEN event_id % 12 <> 0 THEN complete_ts END,
+      CASE WHEN event_id % 6 = 0 THEN CASE WHEN event_id % 18 <> 0 THEN 'probable' ELSE 'unresolved' END ELSE 'exact' END FROM req WHERE event_id % 3 = 0""",
+    EV,
+)
+def recording_requests(spark, d):
+    """A recording with block events and stored whole requests yields both."""
+    both = lines(spark, d).unionByName(observed_lines(spark, d)).withColumn("session_id", F.lit("text"))
+    return recording.requests(both).select("request_id", F.col("evidence.record_id").alias("record_id"), "complete_ts", "timing_confidence")
+
+
+def observed_lines(spark, d):
+    def build():
+        rows = T.request_rows(spark, d).filter("event_id % 3 = 0")
+        e = F.col("event_id")
+        seen, matched = e % 6 == 0, e % 18 != 0
+        block = ["device_major", "device_minor", "sector", "sectors", "bytes", "operation"]
+        rows = rows.withColumns({"request_id": e, "device_major": F.col("major"), "device_minor": F.col("minor")})
+        gap = F.when(matched, F.col("complete_ts") - F.col("issue_ts"))
+        evidence = F.struct(
+            F.lit("trace").alias("source"),
+            (e * 7).alias("record_id"),
+            F.array(e * 7 - 1).alias("issue_record_candidates"),
+            F.when(matched, F.col("issue_ts")).alias("issue_timestamp_ns"),
+            F.when(matched, F.col("pid")).alias("issuer_pid"),
+            F.when(matched, F.col("tid")).alias("issuer_tid"),
+            F.when(e % 4 == 0, F.col("status")).alias("completion_status"),
+            F.when(matched, F.concat(F.lit("trace-"), F.col("pid").cast("string"))).alias("process_name"),
+            F.when(matched, "probable").otherwise("unresolved").alias("timing_confidence"),
+            F.lit("as found").alias("reason"),
+            F.when(e % 12 == 0, 3).otherwise(0).alias("clock"),
+        )
+        stored = rows.select(
+            (e + (1 << 40)).alias("seq"),
+            F.struct(F.col("insert_ts").alias("ts_ns"), "request_id", *block).alias("insert"),
+            F.struct(F.col("issue_ts").alias("ts_ns"), "request_id", *block, "pid", "tid", "cpu", "comm").alias("issue"),
+            F.struct(F.col("complete_ts").alias("ts_ns"), "request_id", "device_major", "device_minor", "status").alias("completion"),
+            gap.alias("latency_ns"),
+            gap.alias("device_latency_ns"),
+            F.lit("unknown").alias("access_pattern"),
+            F.when(F.col("bytes") >= 32768, "large").otherwise("small").alias("size_class"),
+            F.when(seen, evidence).alias("evidence"),
+        )
+        path = os.path.join(workspace(spark), f"observed-{uuid.uuid4().hex}")
+        recording.write_lines(recording.event_lines(stored, "observed_block_completion", stored.columns[1:], "seq"), path)
+        return recording.classify_lines(recording.read_lines(spark, path))
+
+    return staged_once(spark, f"observed|{d}", build)
 
 
 @add("newest_requests", " SELECT request_id FROM io ORDER BY complete_ts DESC, request_id DESC LIMIT 5000", IO)
