@@ -178,36 +178,52 @@ class Trees:
 
 
 class Memo:
-    """Values by key in two generations of bounded size: a full young one becomes the old one, and
-    what is asked for again moves back, so frequent keys stay. Long keys are not kept."""
+    """Values by key in two generations of bounded bytes: a full young one becomes the old one, and
+    what is asked for again moves back, so frequent keys stay. Long keys are gone with the next question."""
 
-    def __init__(self, make, entries: int):
-        self.make, self.entries = make, entries
+    LONG, ENTRY = 1000, 200  # characters of a long key; bytes of an entry beside its key and value
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.held = make, size, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def get(self, keys: set[str]) -> dict[str, bytes]:
-        """A mapping that holds every key of the set."""
+        """A mapping that holds every key of the set, until the next call."""
+        for k in self.long:
+            del self.young[k]
+        self.long = []
         new = keys - self.young.keys()
         if not new:
             return self.young
         found = {k: v for k in new if (v := self.old.get(k)) is not None}
         ask = list(new - found.keys())
         found.update(zip(ask, self.make(ask), strict=True))
-        if len(self.young) + len(found) > self.entries:
+        self.long = [k for k in ask if len(k) > self.LONG]
+        grown = self._bytes(found) - self._bytes({k: found[k] for k in self.long})
+        if self.held + grown > self.size:
             self.old, self.young = self.young, {k: v for k in keys if (v := self.young.get(k)) is not None}
+            self.held = self._bytes(self.young)
         self.young.update(found)
-        if len(self.young) <= self.entries:
+        self.held += grown
+        if self.held <= self.size:
             return self.young
-        whole, self.young = self.young, {}
+        whole, self.young, self.held, self.long = self.young, {}, 0, []
         return whole
 
+    def _bytes(self, entries: dict[str, bytes]) -> int:
+        return self.ENTRY * len(entries) + sum(map(len, entries)) + sum(map(len, entries.values()))
+
 
 class Encoder:
-    """Encodes texts piece by piece of the split pattern; ``merge`` gives the ids of a list of pieces."""
+    """Encodes texts unit by unit; ``merge`` gives the ids of a list of pieces, which are what ``pattern`` splits
+    units into, or the units themselves where it splits on its own (no pattern)."""
 
-    def __init__(self, merge, pattern: str, units: int = 350_000, pieces: int = 300_000, whole: regex.Pattern | None = None):
-        self.whole = whole  # a unit in which this is found is one piece
+    def __init__(self, merge, pattern: str | None = None, units: int = 40 << 20, pieces: int = 40 << 20):
+        if pattern is None:
+            self.units = UnitTexts(merge, units)
+            return
         self.split = regex.compile(pattern.replace(r"\s", "<W>").replace("[^<W>", f"[^{WHITE}").replace("<W>", f"[{WHITE}]").replace(r"(?!\S)", f"(?![^{WHITE}])"))
         self.pieces = Memo(merge, pieces)
         self.units = UnitTexts(self._units, units)
@@ -219,10 +235,7 @@ class Encoder:
         return cls(lambda pieces: trees.merge([p.encode() for p in pieces]), pattern, **sizes)
 
     def _units(self, units: list[str]) -> list[bytes]:
-        if self.whole and self.whole.search("".join(units)):
-            split = [[unit] if self.whole.search(unit) else self.split.findall(unit) for unit in units]
-        else:
-            split = [self.split.findall(unit) for unit in units]
+        split = [self.split.findall(unit) for unit in units]
         ids = self.pieces.get({p for x in split for p in x})
         return [b"".join([ids[p] for p in x]) for x in split]
 
@@ -241,9 +254,9 @@ class UnitTexts:
     """Encodes texts by units that end before a blank after a visible character: no match of a
     byte-level split pattern spans such a place. ``make`` encodes a list of units."""
 
-    def __init__(self, make, entries: int, block: int = 1 << 21):
-        self.spaced = Memo(lambda keys: make([" " + k for k in keys]), entries)
-        self.plain = Memo(make, entries)
+    def __init__(self, make, size: int, block: int = 1 << 21):
+        self.spaced = Memo(lambda keys: make([" " + k for k in keys]), size)
+        self.plain = Memo(make, size)
         white = WHITE + MAYBE_WHITE
         self.cut = regex.compile(f"(?<=[^{white}])(?= )")
         self.other_white, self.block = white.replace(" ", ""), block

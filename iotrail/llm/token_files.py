@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from iotrail.llm.bpe import MAYBE_WHITE, Encoder
+from iotrail.llm.bpe import Encoder
 from iotrail.llm.common import fresh_folder, per_process, slices, table, texts, tokenizer_file
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -135,26 +135,44 @@ class FrameReader:
             yield place, raw[stop - int(sizes[place]) : stop]
 
 
-#: Characters on which the library's split may differ from the pattern; units with one go to it whole.
-DOUBTFUL = regex.compile(f"[{MAYBE_WHITE}\x85]")
+
+#: Units that the library encodes in one text, with a special string between any two.
+JOINED = 100
 
 
 def encoder(path: str, **sizes: int) -> Encoder:
-    """Whole-text encoder of a tokenizer file; the library encodes each new piece, special strings as text."""
+    """Whole-text encoder of a tokenizer file; the library splits and encodes each new unit.
+
+    Special strings in a text become their ids, as in the library's plain call. They also part the units of one call:
+    nothing merges over them, and their id shows where a unit ends. They must hold no white space.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = tokenizer.get_added_tokens_decoder()
+    special = [x.content for x in added.values()]
+    if any(x.split() != [x] for x in special):
+        raise ValueError("special strings with white space are not supported")
+    border, end = next(((x.content, i) for i, x in added.items() if x.special and not (x.lstrip or x.rstrip or x.single_word or x.normalized)), ("", -1))
+    holds_special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
+
+    def plain(units: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in tokenizer.encode_batch_fast(units, add_special_tokens=False))]
+
+    def joined(units: list[str]) -> list[bytes]:
+        ids = np.array(tokenizer.encode_batch_fast([border.join(units)], add_special_tokens=False)[0].ids, "<u4")
+        at, raw = (4 * np.flatnonzero(ids == end)).tolist(), ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(raw)], strict=True)]
 
     def make(units: list[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(units), 10_000):
-            out += [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in tokenizer.encode_batch_fast(units[start : start + 10_000], add_special_tokens=False))]
+        out: list[bytes] = []
+        for start in range(0, len(units), JOINED):
+            part = units[start : start + JOINED]
+            out += plain(part) if not border or holds_special.search("".join(part)) else joined(part)
         return out
 
-    return Encoder(make, public_tokenizers.PATTERN, **sizes, whole=DOUBTFUL)
+    return Encoder(make, **{"units": 100 << 20, **sizes})
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
