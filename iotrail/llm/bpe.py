@@ -197,11 +197,12 @@ class Memo:
         new = keys - self.young.keys()
         if not new:
             return self.young
-        found = {k: v for k in new if (v := self.old.get(k)) is not None}
-        ask = list(new - found.keys())
-        found.update(zip(ask, self.make(ask), strict=True))
+        again = new & self.old.keys()
+        ask = list(new - again)
+        found = dict(zip(ask, self.make(ask), strict=True))
+        found.update((k, self.old[k]) for k in again)
         self.long = [k for k in ask if len(k) > self.LONG]
-        grown = self._bytes(found) - self._bytes({k: found[k] for k in self.long})
+        grown = self._bytes(found) - (self._bytes({k: found[k] for k in self.long}) if self.long else 0)
         if self.held + grown > self.size:
             self.old, self.young = self.young, {k: v for k in keys if (v := self.young.get(k)) is not None}
             self.held = self._bytes(self.young)

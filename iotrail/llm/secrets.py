@@ -37,7 +37,8 @@ BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 WRAPPED_RUN = re.compile(r"-----BEGIN [A-Z0-9 ]{1,40}-----(?:\s|\\+[nrt])*((?:[A-Za-z0-9+/=\s]|\\+[nrt])+?)(?:\s|\\+[nrt])*-----END ")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
 DOTTED_RUN = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
-LONG_WORD = 20
+#: Bytes of the longest key that is sought within a longer run or over line breaks; a run that is a key as a whole has no limit.
+KEY_BYTES = 1 << 16
 
 #: Where an encoding can begin: a DER SEQUENCE, a public key blob (length and first two letters of its type), the OpenSSH
 #: container, JSON. Look-ahead, so every position is tried.
@@ -130,17 +131,6 @@ def unpadded(run: str) -> bytes | None:
         return None
 
 
-def is_signed_token(run: str) -> bool:
-    """Header and claims are JSON objects, the header names an algorithm, the signature decodes."""
-    header, claims, signature = run.split(".")
-    try:
-        head = json.loads(unpadded(header) or b"")
-        body = json.loads(unpadded(claims) or b"")
-    except (ValueError, UnicodeDecodeError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict) and unpadded(signature) is not None
-
-
 def _key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
@@ -158,28 +148,69 @@ def der_size(head: bytes) -> int | None:
     return 2 + count + size if 2 + count >= len(head) or head[2 + count] in (0x02, 0x30) else None
 
 
-def ssh_size(data: bytes) -> int | None:
-    """Bytes of the key container or public key blob that ``data`` begins with; None if its fields overrun or its type is not listed."""
+def ssh_size(data: bytes) -> tuple[int | None, int | None]:
+    """``(bytes, None)`` of the key container or public key blob that ``data`` begins with.
+
+    ``(None, bytes)`` asks for so many bytes to go on, ``(None, None)`` says that the type is not listed.
+    """
     at, left, nested_keys = (15, 3, True) if data.startswith(b"openssh-key-v1\0") else (0, 1, False)
     first = None
     while left:
         if at + 4 > len(data):
-            return None
+            return None, at + 4
         (size,) = struct.unpack_from(">I", data, at)
         if at + 4 + size > len(data):
-            return None
+            return None, at + 4 + size
         first = data[at + 4 : at + 4 + size] if first is None else first
         at, left = at + 4 + size, left - 1
         if not left and nested_keys:  # as many public keys, and the private part
             if at + 4 > len(data):
-                return None
+                return None, at + 4
             left, nested_keys = struct.unpack_from(">I", data, at)[0] + 1, False
             at += 4
         elif not left and at == 4 + len(first) and not data.startswith(b"openssh"):
             left = SSH_FIELDS.get(first, 0) - 1
             if left < 0:
-                return None
-    return at
+                return None, None
+    return at, None
+
+
+def sized_key(text: str, at: int, line: re.Pattern, per_byte: tuple[int, int], decode) -> tuple[int, str, int] | None:
+    """``(bytes, encoding, end)`` of the key at ``at``, read only as far as its length fields say."""
+    chars, size_of = per_byte
+    want = 66
+    while True:
+        run, end = _walk(text, at, line, -(-want * chars // size_of))
+        data = decode(run[: len(run) // chars * chars]) or b""
+        size, more = ssh_size(data)
+        if size is not None:
+            return size, *_walk(text, at, line, -(-size * chars // size_of))
+        if more is None or more <= want and len(data) < want or more > KEY_BYTES or more * chars > (len(text) - at) * size_of:
+            return None
+        want = max(2 * want, more)
+
+
+def fills_run(text: str, at: int, end: int, per_byte: tuple[int, int], decode, known: dict) -> bool:
+    """Whether length-prefixed fields from ``at`` end with the run. ``known`` holds places of the run already followed."""
+    chars, size_of = per_byte
+    total, b, seen = (end - at) * size_of // chars, 0, []
+    if size_of == 3 and (end - at) % 4 == 1:
+        return False
+    while True:
+        key = (at % chars, at // chars * size_of + b)
+        if b == total or key in known:
+            result = b == total or known[key]
+            break
+        c = at + b // size_of * chars
+        piece = decode(text[c : min(end, c + 4 * chars)]) or b""
+        size = int.from_bytes(piece[b % size_of : b % size_of + 4], "big")
+        seen.append(key)
+        if b + 4 > total or b + 4 + size > total:
+            result = False
+            break
+        b += 4 + size
+    known.update(dict.fromkeys(seen, result))
+    return result
 
 
 def _walk(text: str, at: int, line: re.Pattern, most: int) -> tuple[str, int]:
@@ -202,6 +233,7 @@ def encoded_keys(text: str, start: re.Pattern, line: re.Pattern, per_byte: tuple
     """Keys that begin at a match of ``start``; ``per_byte`` characters to bytes. The next candidate is sought behind a found key."""
     chars, size_of = per_byte
     found, behind = [], 0
+    run_end, known = 0, {}
     for m in start.finditer(text):
         at = m.start()
         if at < behind:
@@ -210,7 +242,7 @@ def encoded_keys(text: str, start: re.Pattern, line: re.Pattern, per_byte: tuple
         if head[0] in "M3":
             size = der_size(decode(head[: 8 * chars // 4 if size_of == 3 else 16]) or b"")
             need = None if size is None else -(-size * chars // size_of)
-            if need is None or at + need > len(text):
+            if need is None or size > KEY_BYTES or at + need > len(text):
                 continue
             run, end = _walk(text, at, line, need)
             if len(run) < need or not (data := decode(run)) or not is_der_key(data):
@@ -220,18 +252,20 @@ def encoded_keys(text: str, start: re.Pattern, line: re.Pattern, per_byte: tuple
             front = decode(text[at : at + 10 * chars // size_of // chars * chars]) or b""
             if not front.startswith(b"openssh-") and not front[4:].startswith((b"ssh-", b"ecds", b"sk-")):
                 continue
-            run, end = _walk(text, at, line, len(text))
-            data = decode(run[: len(run) // chars * chars])
-            size = ssh_size(data or b"")
-            if size is None:  # unlisted types end with their run, which is one line
-                whole = line.match(text, at)
-                run, end = whole[0], whole.end()
+            key = sized_key(text, at, line, per_byte, decode)
+            if key is None:  # unlisted types end with their run, which is one line
+                if at >= run_end:
+                    run_end, known = line.match(text, at).end(), {}
+                container = front.startswith(b"openssh-")
+                if not container and not fills_run(text, at, run_end, per_byte, decode, known):
+                    continue
+                run, end = text[at:run_end], run_end
                 data = decode(run)
                 if not data or not is_ssh_key(data):
                     continue
             else:
+                size, run, end = key
                 need = -(-size * chars // size_of)
-                run, end = _walk(text, at, line, need)
                 data = decode(run)
                 if len(run) < need or not data or not is_ssh_key(data[:size]):
                     continue
@@ -258,15 +292,45 @@ def signed_tokens(text: str) -> list[tuple[int, int, str]]:
             signature = signature[:-1] if len(signature) % 4 == 1 else signature
             step = 1
             if len(header) >= 8 and len(claims) >= 2 and len(signature) >= 16 and _is_json(claims):
-                for own in [0, *(x.start() for x in JSON_START.finditer(header) if x.start())]:
-                    if is_signed_token(f"{header[own:]}.{claims}.{signature}"):
-                        found.append((starts[k] + own, starts[k + 2] + len(signature), "jwt"))
-                        step = 3
-                        break
+                own = token_header(header)
+                if own is not None and unpadded(signature) is not None:
+                    found.append((starts[k] + own, starts[k + 2] + len(signature), "jwt"))
+                    step = 3
             k += step
     return found
 
 
+def token_header(part: str) -> int | None:
+    """First place from which ``part`` is the JSON object of a token header. The four alignments are decoded once each."""
+    decoder, decoded = json.JSONDecoder(), {}
+    for own in [0, *(x.start() for x in JSON_START.finditer(part) if x.start())]:
+        turn = own % 4
+        if turn not in decoded:
+            raw = unpadded(part[turn:])
+            decoded[turn] = None if raw is None else raw.decode("utf-8", "surrogateescape") if raw.isascii() else raw
+        whole = decoded[turn]
+        if whole is None:
+            continue
+        at = (own - turn) // 4 * 3
+        try:
+            if isinstance(whole, str):
+                head, end = decoder.raw_decode(whole, at)
+                whole_used = not whole[end:].strip()
+            else:
+                head, whole_used = json.loads(whole[at:]), True
+        except (ValueError, UnicodeDecodeError, RecursionError):
+            continue
+        if whole_used and isinstance(head, dict) and isinstance(head.get("alg"), str):
+            return own
+    return None
+
+
+def is_signed_token(run: str) -> bool:
+    """Header and claims are JSON objects, the header names an algorithm, the signature decodes."""
+    header, claims, signature = run.split(".")
+    return token_header(header) == 0 and _is_json(claims) and unpadded(signature) is not None
+
+
 def _is_json(part: str) -> bool:
     try:
         return isinstance(json.loads(unpadded(part) or b""), dict)
@@ -292,7 +356,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     if any(k in low for k in KEYWORDS):
         found += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     wrapped = "-----BEGIN " in text
-    if wrapped or any(len(word) >= LONG_WORD for word in text.split()):
+    if text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text)] if "AKIA" in text else []
         found += [(*m.span(), "hex") for m in HEX.finditer(text)]
         keys, whole = encoded_keys(text, BASE64_START, BASE64_LINE, (4, 3), unpadded), []

@@ -172,7 +172,7 @@ def encoder(path: str, **sizes: int) -> Encoder:
             out += plain(part) if not border or holds_special.search("".join(part)) else joined(part)
         return out
 
-    return Encoder(make, **{"units": 100 << 20, **sizes})
+    return Encoder(make, **{"units": 140 << 20, **sizes})
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -43,3 +43,27 @@ def test_tokens_behind_words():
 def test_runs_without_structure():
     broken = KEY[:40] + "AAAA" + KEY[44:]
     assert spans("keys/" + broken[:-8]) == [] and spans("MII" * 100 + " " + "30" * 100 + " " + "AAAAB3Nz" * 30) == []
+
+
+def test_time_is_linear_on_repeated_beginnings():
+    """Five megabytes of places where an encoding could begin."""
+    import time
+
+    for unit in ("AAAAB3NzaC1yc2EA", "MIIEowIBAAKCAQEA", "eyJhbGciOiJIUzI1NiJ9", "b3BlbnNzaC1rZXktdjEA\n", "AAAAB3NzaC1yc2EAAAAHc3NoLXJzYQAAAAdzc2gtcnNh"):
+        text = unit * (5_000_000 // len(unit))
+        started = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - started < 60, unit
+    text = "eyJhbGciOiJIUzI1NiJ9" * 100_000 + ".eyJzdWIiOiIxIn0." + "c2ln" * 8
+    started = time.perf_counter()
+    secrets.scan(text)
+    assert time.perf_counter() - started < 60
+
+
+def test_keys_wrapped_at_few_columns_are_found():
+    import base64
+
+    blob = b"\x00\x00\x00\x0bssh-ed25519\x00\x00\x00\x20" + bytes(range(32))
+    text = base64.b64encode(blob).decode()
+    wrapped = "\n".join(text[i : i + 16] for i in range(0, len(text), 16))
+    assert [k for _, _, k in secrets.scan(f"key:\n{wrapped}\nend")] == ["ssh"]
