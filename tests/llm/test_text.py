@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from iotrail.llm import language, language_model, packing, secrets, sharding
+from iotrail.llm import bilinear, language, language_model, packing, secrets, sharding
 from iotrail.llm.common import crc32_of_id
 
 F = language.F
@@ -140,12 +140,23 @@ def test_scores_equal_plain_sums(docs, clash, nothing):
 
 
 def test_model_is_normalised_and_learns():
+    """30 classes, each mostly followed by one other: every context's probabilities add up to one and beat the shares."""
     rng = np.random.default_rng(1)
-    counts = rng.poisson(2, (30, 30)) + 60 * np.eye(30)[rng.permutation(30)]
-    table = language_model.train(counts, rounds=200)
-    assert np.allclose((10**table).sum(1), 1)
-    share = counts.sum(0) / counts.sum()
-    assert (counts * table).sum() > (counts * np.log10(share)).sum() * 0.9
+    follow, shape = rng.permutation(30), bilinear.Shape(30)
+    ranks = [0]
+    for u in rng.random(20000):
+        ranks.append(int(follow[ranks[-1]]) if u < 0.7 else int(u * 1e6) % 30)
+    line = shape.place(np.array(ranks))
+    valid = np.arange(len(line)) >= bilinear.REACH
+    params, share = bilinear.begin(shape, np.bincount(line, minlength=shape.all))
+    before = bilinear.log_probabilities(params, shape, line, valid).sum()
+    assert math.isclose(before, np.log(share[line[valid]]).sum(), rel_tol=1e-4)
+    for seed in range(5):
+        bilinear.train(params, share, shape, line, valid, seed)
+    assert bilinear.log_probabilities(params, shape, line, valid).sum() > before * 0.75
+    context = line[: bilinear.REACH]
+    each = [np.exp(bilinear.log_probabilities(params, shape, np.append(context, shape.place(k)), np.arange(bilinear.REACH + 1) == bilinear.REACH)[-1]) for k in range(30)]
+    assert abs(sum(each) - 1) < 1e-5
 
 
 def plain_best_fit(lengths, sources, clusters, capacity):
