@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from iotrail.sources import tables as T
 from iotrail.session import workspace
-from iotrail.streaming import live
+from iotrail.streaming import live, sessions, toplist
 from verification.activity import TTL, correlation_sql
 from verification.base import EV, IO, Suite
 from verification.cohorts import BOUNDS_SQL
@@ -228,3 +228,76 @@ def segment_events(spark, d):
     events = T.requests(spark, d).select("session_id", "request_id", F.col("complete_ts").alias("ts_ns"))
     found = live.segment_events(events, live.trigger_transitions(trigger_windows(spark, d), POLICY))
     return found.select("trigger_ns", "request_id")
+
+
+# -- bounded top list, session ends, late evidence ----------------------------------------
+
+SHARE = 0.004
+
+
+@add(
+    "stream_top_issuers_bounded",
+    f""", t AS (SELECT pid, cast(sum(total_ns) AS bigint) AS cumulative_ns FROM io WHERE total_ns > 0 GROUP BY 1)
+    SELECT pid, cumulative_ns FROM t WHERE cumulative_ns > {SHARE} * (SELECT sum(cumulative_ns) FROM t)""",
+    IO,
+)
+def stream_top_issuers_bounded(spark, d):
+    """Issuers with more than a share of the waiting time, found with counters of fixed number."""
+    weights = T.requests(spark, d).select("complete_ts", F.col("pid").cast("string").alias("key"), F.col("total_ns").alias("weight"))
+    lists = drain(spark, toplist.top_counters(chunked(spark, weights, "complete_ts", "issuers")), "counters", "update")
+    found = toplist.above_share(toplist.latest_lists(lists), weights, SHARE)
+    return found.select(F.col("key").cast("long").alias("pid"), F.col("weight").alias("cumulative_ns"))
+
+
+STRETCH = 86_400_000_000
+
+
+def dealt_records(spark, d):
+    """A session per day of the clock; every second one ends with a footer, the others fall silent."""
+    stretch = F.expr(f"complete_ts div {STRETCH}")
+    rows = T.requests(spark, d).select(F.concat(F.lit("s"), stretch).alias("session_id"), F.col("complete_ts").alias("ts_ns"), (stretch % 2 == 0).alias("even"))
+    footers = rows.filter("even").groupBy("session_id").agg(F.max("ts_ns").alias("ts_ns")).withColumn("footer", F.lit(True))
+    return rows.select("session_id", "ts_ns", F.lit(False).alias("footer")).unionByName(footers)
+
+
+@add(
+    "stream_session_ends",
+    f""", s AS (SELECT 's' || complete_ts // {STRETCH} AS session_id, (complete_ts // {STRETCH}) % 2 = 0 AS even, count(*) AS n, min(complete_ts) AS first_ns, max(complete_ts) AS last_ns FROM req GROUP BY ALL)
+    SELECT session_id, CASE WHEN even THEN 'footer' ELSE 'idle' END AS ended, n + even::int AS events, first_ns, last_ns FROM s
+    WHERE even OR (last_ns + {STRETCH}) // 1000000 + 1 < (SELECT max(complete_ts) FROM req) // 1000000""",
+    EV,
+)
+def stream_session_ends(spark, d):
+    stream = chunked(spark, dealt_records(spark, d), "ts_ns", "records")
+    return drain(spark, sessions.session_ends(stream, STRETCH), "ends").drop("batch")
+
+
+@add(
+    "late_origin_refresh",
+    """, o AS (SELECT event_id, minor, bytes, k % 3 = 0 OR (k % 3 = 1 AND minor = 2) AS named FROM req)
+    SELECT 'dev' || minor AS session_id, count(*) FILTER (named) AS named, cast(coalesce(sum(bytes) FILTER (named), 0) AS bigint) AS named_bytes, count(*) AS requests,
+      CASE WHEN minor = 2 THEN 1 ELSE 0 END AS version FROM o GROUP BY minor""",
+    EV,
+)
+def late_origin_refresh(spark, d):
+    """Origins of one session arrive after its result was written: only that session is computed again."""
+    requests = T.requests(spark, d).select(F.concat(F.lit("dev"), "minor").alias("session_id"), "minor", F.expr("sector div 8").alias("k"), "request_id", "bytes")
+    path, evidence = folder(spark, "coverage"), folder(spark, "origins")
+    origin = requests.select("session_id", "request_id", F.concat(F.lit("/data/f"), "k").alias("path"), "k", "minor")
+    origin.filter("k % 3 = 0").drop("k", "minor").write.parquet(f"{evidence}/batch=0")
+    origin.filter("k % 3 = 1 AND minor = 2").drop("k", "minor").write.parquet(f"{evidence}/batch=1")
+    arrived = spark.read.schema("session_id string, request_id long, path string, batch long").parquet(evidence)
+
+    def coverage(upto):
+        def compute(only):
+            origins = only(arrived.filter(F.col("batch") <= upto)).groupBy("session_id", "request_id").agg(F.min("path").alias("path"))
+            rows = only(requests).join(origins, ["session_id", "request_id"], "left")
+            named = F.col("path").isNotNull()
+            return rows.groupBy("session_id").agg(
+                F.count_if(named).alias("named"), F.coalesce(F.sum(F.when(named, F.col("bytes"))), F.lit(0)).alias("named_bytes"), F.count(F.lit(1)).alias("requests")
+            )
+
+        return compute
+
+    sessions.refresh_results(spark, path, 0, None, coverage(0))
+    return sessions.refresh_results(spark, path, 1, sessions.dirty_sessions(arrived, 0), coverage(1)).withColumn("version", F.col("version").cast("int"))
