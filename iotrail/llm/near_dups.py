@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,13 +132,13 @@ def compare_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, held: np.nda
     return out, more
 
 
-def _candidates(members: DataFrame, least: float, offers: int | None, percent: int) -> DataFrame:
+def _candidates(members: DataFrame, least: float, offers: int | None, percent: int, k: int) -> DataFrame:
     """``(a, b, key, more)``: likely pairs of each band group; a row without a pair says that the band has more.
 
-    Without a limit ``members`` carry their sets and the pairs are verified links.
+    Without a limit ``members`` carry their packed texts and the pairs are verified links.
     """
     schema = "a long, b long, key long, more boolean"
-    names = ["key", "first", "second", "own", "band", "rep", "comp", "n", "registers", *(["shingles"] if offers is None else [])]
+    names = ["key", "first", "second", "own", "band", "rep", "comp", "n", "registers", *(["packed"] if offers is None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_over = None
@@ -159,12 +160,19 @@ def _candidates(members: DataFrame, least: float, offers: int | None, percent: i
 
     def groups(part: pa.Table, starts: list[int]) -> pa.RecordBatch:
         key, first, second, own, band, rep, comp, n = (part.column(c).to_numpy() for c in names[:8])
-        sets = part.column("shingles").combine_chunks() if offers is None else None
+        packed = part.column("packed").to_pylist() if offers is None else None
         held = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint8).reshape(part.num_rows, -1)
         rows: list[tuple] = []
         for a, b in zip(starts, [*starts[1:], part.num_rows]):
             if b - a > 1:
-                linked = (lambda i, j, a=a: similar(sets[a + i].values.to_numpy(), sets[a + j].values.to_numpy(), percent)) if offers is None else None
+                made: dict[int, np.ndarray] = {}
+
+                def linked(i: int, j: int, a=a, made=made) -> bool:
+                    for x in (i, j):
+                        if x not in made:
+                            made[x] = unpacked([packed[a + x]], k)[0]
+                    return similar(made[i], made[j], percent)
+
                 pairs, more = compare_group(rep[a:b], comp[a:b], n[a:b], held[a:b], own[a:b], first[a] != second[a], int(band[a]), least, offers, linked)
                 rows += [(x, y, int(key[a]), False) for x, y in pairs]
                 if more:
@@ -181,34 +189,36 @@ def similar(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(first) + len(second) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def unpacked(packed: list[bytes], k: int) -> list[np.ndarray]:
+    """The whole sets of packed texts."""
+    plain = zstandard.ZstdDecompressor().decompress
+    return S.shingle_sets([plain(x) for x in packed], k)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """``(u, v)`` of the pairs whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x, y = batch.column(2), batch.column(3)
-            keep = [similar(x[i].values.to_numpy(), y[i].values.to_numpy(), percent) for i in range(batch.num_rows)]
-            mask = pa.array(keep, pa.bool_())
+            x, y = (unpacked(batch.column(i).to_pylist(), k) for i in (2, 3))
+            mask = pa.array([similar(a, b, percent) for a, b in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    left = texts.select(F.col("rep").alias("a"), F.col("packed").alias("x"))
+    right = texts.select(F.col("rep").alias("b"), F.col("packed").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
+def _asked_texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(rep, packed)``: compressed texts of the asked documents, once for each text of an id; less to move than their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches):
-            sets = [x.view(np.int64) for x in S.shingle_sets(text_bytes(batch.column(1)), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
-
-    return rows.mapInArrow(run, "rep long, shingles array<long>")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x) for x in text_bytes(batch.column(1))], pa.binary())], ["rep", "packed"])
 
-def _asked_sets(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Sets of the asked documents, once for each text of an id."""
-    own = rows.join(asked, "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    return _sets(own.select("doc_id", "text"), k)
+    own = rows.join(asked, "doc_id").select("doc_id", "text").mapInArrow(run, "rep long, packed binary")
+    return own.groupBy("rep", F.xxhash64("packed")).agg(F.first("packed").alias("packed")).select("rep", "packed")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, offers: tuple = OFFERS) -> DataFrame:
@@ -237,16 +247,16 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         )
         if limit is None:
             asked = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "asked")
-            members = members.join(_asked_sets(rows, asked, k), "rep")
-        offered = stage(_candidates(members, least, limit, percent), "candidates")
+            members = members.join(_asked_texts(rows, asked), "rep")
+        offered = stage(_candidates(members, least, limit, percent, k), "candidates")
         pairs = offered.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if limit is None:
             links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         else:
             asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-            sets = stage(_asked_sets(rows, asked, k), "sets")
-            links = stage(_verified(pairs, sets, percent), "links")
-            drop_staged(sets)
+            texts = stage(_asked_texts(rows, asked), "texts")
+            links = stage(_verified(pairs, texts, percent, k), "links")
+            drop_staged(texts)
         # What earlier rounds joined goes on as one edge per node.
         found = components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         more = offered.filter("more").select("key").distinct()
