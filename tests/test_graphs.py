@@ -128,3 +128,25 @@ def test_rows_of_reused_ids_go_to_the_lifetime_of_their_time(spark):
     for shift in (20, 2):
         got = sorted((r.k, r.seq) for r in lifetime_at(df, requests, "id", "ts", shift).collect())
         assert got == want and want
+
+
+def test_written_tables_do_not_grow_with_the_depth_and_both_ways_agree(spark, monkeypatch):
+    rnd = random.Random(11)
+    deep = ([(i, "vfs", 10 * i, 10 * i + 15) for i in range(30)], [(i, i + 1, "exact") for i in range(29)])
+    plain, written = graph.stage, []
+    monkeypatch.setattr(graph, "stage", lambda df, name: written.append(name) or plain(df, name))
+
+    def walked(graphs):
+        nodes, edges = tables(spark, graphs)
+        ranked = graph.ranked_edges(edges)
+        exclusive = graph.exclusive_time(nodes, ranked)
+        found = [ranked, exclusive, graph.critical_path(ranked, exclusive), graph.closure(edges)]
+        return [sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str) for df in found]
+
+    ranks, own, path, pairs = walked([deep])
+    assert len(written) <= 10
+    assert len(pairs) == 29 * 30 // 2 and path == [([*range(30)], 305, 0, "s")]
+    some = [random_graph(rnd, 5, 7, True) for _ in range(8)]
+    small = walked(some)
+    monkeypatch.setattr(graph, "IN_TASK", 4)
+    assert small == walked(some)
