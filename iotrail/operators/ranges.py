@@ -135,22 +135,23 @@ def _step(issues: _Pending, inserts: _Pending, e):
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ordered fold over (group, piece); leading rows of a piece are its start state."""
-    current, issues, inserts = None, _Pending(), _Pending()
+    """Ordered fold over (group, span); leading rows of a span are its start state, its pieces follow one after another."""
+    current, key, issues, inserts = None, None, _Pending(), _Pending()
 
     def closing():
         for kind, pending in (("issue", issues), ("insert", inserts)):
             for start, n, (count, record, doubtful, insert) in pending.rows():
-                yield (*current, record, f"left_{kind}", count, None, False, False, insert, start, n, doubtful)
+                yield (*key, record, f"left_{kind}", count, None, False, False, insert, start, n, doubtful)
 
     for batch in batches:
         rows: list[tuple] = []
         for e in batch.itertuples(index=False):
-            key = (e.device_encoded, e.op, e.component, e.piece)
-            if key != current:
+            group = (e.device_encoded, e.op, e.component)
+            if (*group, e.span) != current:
                 if current is not None:
                     rows += closing()
-                current, issues, inserts = key, _Pending(), _Pending()
+                current, issues, inserts = (*group, e.span), _Pending(), _Pending()
+            key = (*group, e.piece)
             if e.kind.startswith("left_"):
                 insert = None if pd.isna(e.insert_record) else int(e.insert_record)
                 target = issues if e.kind == "left_issue" else inserts
@@ -169,46 +170,57 @@ def _frame(rows: list) -> pd.DataFrame:
     return df.astype({"insert_record": "Int64", "only_issue": "Int64"})
 
 
-def fold_ranges(events: DataFrame, piece_rows: int = 1 << 20) -> DataFrame:
+def fold_ranges(events: DataFrame, piece_rows: int = 1 << 20, span_rows: int = 1 << 20) -> DataFrame:
     """Outcome of every completion plus what is left pending, per connected range.
 
     ``role`` is completion, queued (an issue that consumed an insert),
-    unpaired_requeue, left_issue or left_insert.
+    unpaired_requeue, left_issue or left_insert.  All pieces are folded side by side
+    first.  What is pending at a border reaches every later piece, so neighbours are
+    folded again in spans of about ``span_rows`` rows, one piece after the other in one
+    task: rounds grow with the spans of a range, not with its pieces.
     """
     placed = stage(_components(events.select(*STREAM, "record_id", "timestamp_ns", "kind", "sector", "sectors")), "range-placed")
     numbered = row_numbers(
         placed, GROUP, ["timestamp_ns", "record_id"], "rn", bucket=F.expr("timestamp_ns div 60000000000")
     ).drop(BUCKET)
+    per_span = max(span_rows // piece_rows, 1)
+    span = F.expr(f"piece div {per_span}")
     pieces = stage(numbered.withColumn("piece", F.expr(f"(rn - 1) div {piece_rows}")), "range-events")
-    keys = [*GROUP, "piece"]
+    keys, spans = [*GROUP, "piece"], [*GROUP, "span"]
     blank = [F.lit(None).cast("long").alias("insert_record"), F.lit(False).alias("doubtful"), F.lit(1).cast("long").alias("n")]
     body = pieces.select(*keys, "rn", "record_id", "kind", "sector", "sectors", *blank)
 
     def run(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*keys).sortWithinPartitions(*keys, "rn").drop("rn").mapInPandas(_fold, _OUT)
+        return rows.repartition(*spans).sortWithinPartitions(*spans, "piece", "rn").drop("rn").mapInPandas(_fold, _OUT)
 
-    result = stage(run(body), "range-fold")
-    assumed = None
-    while True:
+    def starts_of(result: DataFrame) -> DataFrame:
+        """What each piece hands to the next one; after the first round only spans hand over."""
         ends = result.filter(F.col("role").startswith("left_"))
         starts = ends.join(
             pieces.select(*keys).distinct().withColumn("piece", F.col("piece") - 1), keys, "left_semi"
         ).withColumn("piece", F.col("piece") + 1)
-        starts = stage(
-            starts.select(
-                *keys, (F.col("ord") - (1 << 40)).alias("rn"), "record_id", F.col("role").alias("kind"), "sector", "sectors", "insert_record", "doubtful", F.col("candidates").alias("n")
-            ),
-            "range-starts",
-        )
-        before = assumed if assumed is not None else starts.limit(0)
-        changed = stage(
-            starts.exceptAll(before).unionByName(before.exceptAll(starts)).select(*keys).distinct(), "range-changed"
+        return starts.select(
+            *keys, F.lit(-1).cast("long").alias("rn"), "record_id", F.col("role").alias("kind"), "sector", "sectors", "insert_record", "doubtful", F.col("candidates").alias("n")
         )
-        if changed.isEmpty():
-            return result
-        redo = body.unionByName(starts).join(changed, keys, "left_semi")
-        result = stage(result.join(changed, keys, "left_anti").unionByName(run(redo)), "range-fold")
+
+    result = stage(run(body.withColumn("span", F.col("piece"))), "range-fold")
+    first = starts_of(result)
+    changed = stage(first.select(*GROUP, span.alias("span")).distinct(), "range-changed")
+    whole = body.withColumn("span", span)
+    assumed = None
+    while not changed.isEmpty():
+        starts = stage(starts_of(result).filter(F.col("piece") % per_span == 0).withColumn("span", span), "range-starts")
+        if assumed is not None:
+            changed = stage(
+                starts.exceptAll(assumed).unionByName(assumed.exceptAll(starts)).select(*spans).distinct(), "range-changed"
+            )
+            if changed.isEmpty():
+                break
+        redo = whole.unionByName(starts).join(changed, spans, "left_semi")
+        kept = result.withColumn("span", span).join(changed, spans, "left_anti").drop("span")
+        result = stage(kept.unionByName(run(redo)), "range-fold")
         assumed = starts
+    return result
 
 
 def match_trace(

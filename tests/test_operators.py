@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from iotrail.functions import confidence, scalars
 from iotrail.functions.filters import CohortFilter, latency_bucket_range
 from iotrail.operators import graph, intervals, ordered, sampling, stats
+from iotrail.operators import ranges
 from iotrail.operators.ranges import fold_ranges, load_events, match_trace
 from iotrail.plans import activity
 from iotrail.plans.attribution import file_origins
@@ -226,6 +227,25 @@ def test_trace_matching_outcomes(spark):
     assert reasons(match_trace(df, lossy=True))[0] == ("trace loss", None)
 
 
+def test_pieces_settle_in_rounds_of_spans(spark, monkeypatch):
+    """Requests that stay open reach every later piece; that must not cost a round per piece."""
+    rows = []
+    for t in range(0, 80, 4):
+        rows += [("issue", t, 0, 8 + t % 8, "R", 0), ("issue", t + 1, 64 - t % 16, 8, "R", 0), ("complete", t + 2, 64 - t % 16, 8, "R", 0), ("insert", t + 3, 4, 64, "R", 0)]
+    df = trace_rows(spark, rows)
+
+    def settled(**kw):
+        found = fold_ranges(df, **kw).filter("role not like 'left%'")
+        return sorted(map(str, found.select("record_id", "role", "candidates", "only_issue", "usable", "closes", "insert_record").collect()))
+
+    want = settled()
+    written, plain = [], ranges.stage
+    monkeypatch.setattr(ranges, "stage", lambda d, name: written.append(name) or plain(d, name))
+    assert settled(piece_rows=4) == want
+    assert written.count("range-fold") <= 3
+    assert settled(piece_rows=4, span_rows=40) == want
+
+
 def test_touching_ranges_stay_independent(spark):
     df = trace_rows(spark, [("issue", 1, 0, 8, "R", 0), ("issue", 2, 8, 8, "R", 0), ("complete", 3, 0, 8, "R", 0), ("complete", 4, 8, 8, "R", 0)])
     assert reasons(match_trace(df)) == [("unique match", 2), ("unique match", 2)]
