@@ -5,6 +5,7 @@ from fold import correlate
 from pyspark.sql import functions as F
 
 from iotrail.operators import correlate as C
+from iotrail.operators.ordered import split_keys
 
 SCHEMA = (
     "session_id string, seq long, kind string, ts_ns long, request_id long, major long, minor long, operation string, "
@@ -81,3 +82,13 @@ def test_rolling_rate_needs_64_full_gaps(spark):
     for dev, rate in ((0, 0.9765625), (1, 1.953125)):
         values = [r.mib for r in out.filter(F.col("minor") == dev).orderBy("seq").collect()]
         assert values[:64] == [None] * 64 and values[64:] == [rate, rate]
+
+
+def test_a_trace_without_collisions_moves_no_row_for_chains(spark):
+    events = [(t, r, k) for r in range(40) for t, k in ((3 * r, "insert"), (3 * r + 1, "issue"), (3 * r + 2, "complete"))]
+    df = frame(spark, [(k, t, r, 0) for t, r, k in events])
+    life = C.annotate_lifetimes(df, 1000, time_sorted=True, shift=5)
+    assert life.filter("matched").count() == 40
+    assert "__issue_seq" not in life._jdf.queryExecution().toString()
+    crossing = {r.request_id for r in split_keys(df, C.KEY, F.shiftright("seq", 5)).collect()}
+    assert crossing == {r for r in range(40) if (3 * r) // 32 != (3 * r + 2) // 32}
