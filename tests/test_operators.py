@@ -277,6 +277,28 @@ def test_recording_lines_are_isolated(spark, tmp_path):
     assert clean.integrity_ok is True and clean.total_lines == 2
 
 
+def test_lines_of_split_files_are_numbered_without_moving_text(spark, tmp_path):
+    want = {}
+    for name, n in (("a.ndjson", 500), ("b.ndjson", 90)):
+        (tmp_path / name).write_text("".join(f'{{"record":"mystery","at":{i}}}\n' for i in range(1, n + 1)))
+        want[name] = n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = recording.read_lines(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().toString()
+        rows = [(r.session_id.rsplit("/", 1)[1], r.line_no, r.value) for r in lines.collect()]
+        assert lines.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "hashpartitioning" not in plan
+    assert sorted(r[:2] for r in rows) == [(f, i) for f, n in sorted(want.items()) for i in range(1, n + 1)]
+    assert all(f'"at":{i}}}' in value for _, i, value in rows)
+    checked = recording.integrity(recording.classify_lines(recording.read_lines(spark, str(tmp_path))))
+    steps = checked._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("HashAggregate" in x and "count" in x for x in steps) and not any("SortAggregate" in x and "count" in x for x in steps)
+    assert {r.total_lines for r in checked.collect()} == set(want.values())
+
+
 def test_exports_never_replace_their_source(spark, tmp_path):
     df = spark.range(1).select(F.lit("x").alias("value"))
     with pytest.raises(ValueError):
