@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from iotrail.operators.ordered import BUCKET, running
+from iotrail.session import stage
 
 LATENCY_BOUNDS = [1000 << i for i in range(32)]  # fixed values: 1 us doubled 31 times
 PERCENTILES = (0, 25, 50, 75, 90, 95, 99, 100)  # fixed values: percentiles of a summary export
@@ -175,9 +176,13 @@ def bin_index(value: Column) -> Column:
 
 
 def equal_width_histogram(df: DataFrame, groups: Sequence[str], value: str, bins: int) -> DataFrame:
-    """Histogram with ``bins`` equal bins; [lo, hi), last bin closed, empty bins kept."""
+    """Histogram with ``bins`` equal bins; [lo, hi), last bin closed, empty bins kept.
+
+    The edges are written first, so that their join is planned by their size: rows of a group
+    need not meet in one task, and are counted where they are read.
+    """
     groups = list(groups)
-    edges = equal_width_edges(df, groups, value, bins)
+    edges = stage(equal_width_edges(df, groups, value, bins), "histogram-edges")
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     counted = (

@@ -113,7 +113,8 @@ def stream_percentiles(spark, d):
     IO,
 )
 def stream_heavy_hitters(spark, d):
-    stream = chunked(spark, T.requests(spark, d), "complete_ts", "io")
+    read = T.requests(spark, d).select("comm", "pid", "total_ns", "operation", "bytes", "complete_ts")
+    stream = chunked(spark, read, "complete_ts", "io")
     totals = live.latest_snapshot(drain(spark, live.heavy_hitter_counts(stream), "hitters", "complete"))
     return totals.orderBy(F.desc("cumulative_ns"), F.asc("pid")).limit(20)
 
