@@ -223,6 +223,13 @@ def fold_ranges(events: DataFrame, piece_rows: int = 1 << 20, span_rows: int = 1
     return result
 
 
+def _with_record(rows: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Left join on a record number; rows without one are spread by their own number, as they may be most of the trace."""
+    own = F.struct(F.col(key).isNull().alias("free"), F.coalesce(key, "record_id").alias("id"))
+    wanted = F.struct(F.lit(False).alias("free"), F.col(key).alias("id"))
+    return rows.withColumn("__key", own).join(records.withColumn("__key", wanted).drop(key), "__key", "left").drop("__key")
+
+
 def match_trace(
     events: DataFrame, lossy: bool = False, piece_rows: int = 1 << 20, folded: DataFrame | None = None
 ) -> DataFrame:
@@ -248,7 +255,7 @@ def match_trace(
     insert = events.filter("kind = 'insert'").select(
         F.col("record_id").alias("insert_record"), F.col("timestamp_ns").alias("q_ts"), F.col("clock").alias("q_clock")
     )
-    full = matched.join(issue, "issue_record", "left").join(insert, "insert_record", "left")
+    full = _with_record(_with_record(matched, issue, "issue_record"), insert, "insert_record")
     # Reason of each outcome, first one that applies.
     reason = (
         F.when(F.col("candidates") == 0, "no issue candidate")

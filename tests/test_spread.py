@@ -8,7 +8,7 @@ import io
 import pytest
 
 from iotrail import session
-from iotrail.operators import correlate, ordered, stats
+from iotrail.operators import correlate, ordered, ranges, stats
 from iotrail.sources import tables
 
 
@@ -68,3 +68,15 @@ def test_histogram_joins_written_edges(spark, monkeypatch):
     found = stats.equal_width_histogram(df, ["operation"], "value", 4)
     assert {r.bin: r.n for r in found.collect()} == {0: 250, 1: 250, 2: 250, 3: 250}
     assert written == ["histogram-edges"] and "BroadcastHashJoin" in plan(found)
+
+
+def test_rows_without_a_record_are_spread(spark):
+    rows = spark.createDataFrame([(1, 10), (2, None), (3, 11), (4, None), (10, None), (None, None)], "record_id long, issue_record long")
+    records = spark.createDataFrame([(10, 100), (10, 101), (2, 102), (None, 103)], "issue_record long, i_ts long")
+    joined = ranges._with_record(rows, records, "issue_record")
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    found = sorted((tuple(r) for r in joined.select("record_id", "issue_record", "i_ts").collect()), key=key)
+    assert found == sorted([(1, 10, 100), (1, 10, 101), (2, None, None), (3, 11, None), (4, None, None), (10, None, None), (None, None, None)], key=key)
+    spread = rows.repartition(64, "issue_record").filter("issue_record IS NULL")
+    assert spread.rdd.glom().filter(len).count() == 1  # what a join on the number alone did
+    assert "hashpartitioning(issue_record" not in plan(joined.hint("merge"))
