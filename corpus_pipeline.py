@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from iotrail.llm import exact_dedup, language, near_dups, packing, secrets
 from iotrail.llm.common import SPACES, keep_rows, stage, table
 
+#: Rows of a block are 2 to this power, the size of Spark's bitmaps.
+BLOCK_BITS = 15
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts whose two likeliest languages are too close to tell apart.
@@ -33,11 +36,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8): the smallest id, then the first row.
 
     Each row is a document of its own, whatever its id; a null id is the smallest. The row's key is written with it.
+    What stays is one bit a row, in blocks of rows, so that no list of rows as long as the table meets the texts.
     """
     keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     listed = near_dups.near_duplicates(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     first = keyed.select("__row", F.col("doc_id").alias("__id")).join(listed, "__row").groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first"))
-    return keyed.join(stage(first.select("first.__row"), "kept"), "__row", "left_semi").select(*docs.columns)
+    block, at = F.shiftright("__row", BLOCK_BITS).alias("__block"), F.col("__row") % (1 << BLOCK_BITS)
+    bits = first.select("first.__row").groupBy(block).agg(F.bitmap_construct_agg(at).alias("bits"), F.max(at).alias("last"))
+    bits = stage(bits.select("__block", F.col("bits").substr(F.lit(1), F.floor(F.col("last") / 8).cast("int") + 1).alias("__bits")), "kept")
+    byte = F.conv(F.hex(F.col("__bits").substr(F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return keyed.withColumn("__block", block).join(bits, "__block").filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

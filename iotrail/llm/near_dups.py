@@ -204,20 +204,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
             mask = pa.array([similar(a, b, percent) for a, b in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
-    left = texts.select(F.col("rep").alias("a"), F.col("packed").alias("x"))
-    right = texts.select(F.col("rep").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+    both = pairs.join(texts.alias("x"), F.col("a") == F.col("x.rep")).join(texts.alias("y"), F.col("b") == F.col("y.rep"))
+    return both.select("a", "b", F.col("x.packed").alias("x"), F.col("y.packed").alias("y")).mapInArrow(run, "u long, v long")
 
 
 def _asked_texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(rep, packed)``: compressed texts of the asked documents, once for each text of an id; less to move than their sets."""
+    """``(rep, packed)``: compressed texts of the asked documents, once for each text of an id. All are compressed before
+    the join, where those of large tables move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x) for x in text_bytes(batch.column(1))], pa.binary())], ["rep", "packed"])
 
-    own = rows.join(asked, "doc_id").select("doc_id", "text").mapInArrow(run, "rep long, packed binary")
+    own = rows.select("doc_id", "text").mapInArrow(run, "rep long, packed binary").join(asked, "rep")
     return own.groupBy("rep", F.xxhash64("packed")).agg(F.first("packed").alias("packed")).select("rep", "packed")
 
 
@@ -234,6 +234,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     listed = stage(sketches(rows, k), "sketches")
     classes = stage(listed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("registers").alias("registers")), "classes")
     buckets = stage(_shared_bands(classes), "bands").withColumn("comp", F.col("rep"))
+    texts = stage(_asked_texts(rows, buckets.select("rep").distinct()), "texts")  # no other class is ever compared
     found = None
     for limit in offers:
         size = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high"))
@@ -246,17 +247,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
             .withColumn("second", F.greatest("own", "other"))
         )
         if limit is None:
-            asked = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "asked")
-            members = members.join(_asked_texts(rows, asked), "rep")
+            members = members.join(texts, "rep")
         offered = stage(_candidates(members, least, limit, percent, k), "candidates")
         pairs = offered.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if limit is None:
             links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         else:
-            asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-            texts = stage(_asked_texts(rows, asked), "texts")
             links = stage(_verified(pairs, texts, percent, k), "links")
-            drop_staged(texts)
         # What earlier rounds joined goes on as one edge per node.
         found = components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         more = offered.filter("more").select("key").distinct()
@@ -264,6 +261,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
             break
         joined = buckets.drop("comp").join(more, "key", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left")
         buckets = stage(joined.withColumn("comp", F.coalesce("root", "rep")).drop("root"), "bands")
+    drop_staged(texts)
     return _labelled(listed, classes, found)
 
 
